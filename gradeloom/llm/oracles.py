@@ -33,3 +33,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_chars >= word_chars * 0.5 AS kept, left_chars
 FROM counted
 """
+
+#: Targets by raising the common level source by source; words are taken in the order of the hash key.
+MIX = r"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                     md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+                   3 * source_size AS cap FROM sums),
+levels AS (SELECT a.source, ((SELECT sum(source_size) FROM sums) - coalesce(sum(b.cap) FILTER (WHERE b.cap / b.weight < a.cap / a.weight), 0))
+                  / sum(b.weight) FILTER (WHERE b.cap / b.weight >= a.cap / a.weight) AS level
+           FROM weighed a, weighed b GROUP BY a.source),
+targets AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT max(level) FROM levels)) AS target FROM weighed),
+ordered AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS budget,
+                   sum(size) OVER (PARTITION BY docs.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+            FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget % source_size - start)) ELSE 0 END)::BIGINT AS taken
+FROM ordered
+"""

@@ -18,11 +18,30 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_chars")
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read_documents(spark, sf_dir))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan_mix, size_table
+
+    docs = read_documents(spark, sf_dir)
+    return plan_mix(size_table(docs), docs.count()).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transport_stream import media_table
+
+    return media_table(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_line_rules,)}
+    return {f.__name__: f for f in (op3_pack, op7_mix, op9_transport_stream, op10_line_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op10_line_rules": oracles.LINE_RULES}
+    return {"op7_mix": oracles.MIX, "op10_line_rules": oracles.LINE_RULES}
