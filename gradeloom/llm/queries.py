@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_documents
 
@@ -24,6 +25,13 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir))
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import KINDS, masked_column
+
+    docs = masked_column(read_documents(spark, sf_dir).select("doc_id", "text"), "masked")
+    return docs.select("doc_id", "masked.text", *(F.col(f"masked.{k}").alias(f"n_{k}") for k in KINDS))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix, size_table
 
@@ -31,6 +39,12 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(size_table(docs), docs.count()).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_components
+
+    return near_components(read_documents(spark, sf_dir))
+
+
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .transport_stream import media_table
 
@@ -38,7 +52,7 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_pack, op7_mix, op9_transport_stream, op10_line_rules)}
+    return {f.__name__: f for f in (op3_pack, op4_pseudonyms, op7_mix, op8_simhash, op9_transport_stream, op10_line_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
