@@ -48,11 +48,14 @@ def _weight(rank: Column, weights: tuple[float, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
 
 
-def plan_mix(sized: DataFrame, n_rows: int, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size of every row -> the same with source_size, target, budget and taken."""
+def plan_mix(sized: DataFrame, n_rows: int, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size of every row -> the same with source_size, target, budget and taken.
+
+    n_rows says how finely the work is dealt out; columns named in carry go along.
+    """
     bits = _ranges(n_rows)
     rows = sized.select(
-        "doc_id", "source", "size",
+        "doc_id", "source", "size", *carry,
         F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key"),
     )
@@ -85,7 +88,7 @@ def plan_mix(sized: DataFrame, n_rows: int, weights: tuple[float, ...] = WEIGHTS
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     taken = (F.col("epochs") * F.col("size") + part).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "budget", taken.alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "budget", taken.alias("taken"), *carry)
 
 
 def size_table(docs: DataFrame) -> DataFrame:
@@ -96,25 +99,19 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epo
     """The mixed corpus in the columns of docs: a document that is taken k times stands there k times,
     and one that is taken in part stands there once more, cut after the words that the mix takes.
 
-    Rows that share doc_id, source and size are given what the mix takes from them in any order.
+    Rows that agree in doc_id, source and text are one row here, which gets what all of them are given.
     """
     q = "__mix_"
-    plan = plan_mix(size_table(docs), docs.count(), weights, max_epochs, share, seed).where("taken > 0")
-    # Equal (doc_id, source, size) rows are told apart by their number; with unique ids it is always 1.
-    twin = Window.partitionBy("doc_id", "source", "size")
-    plan = plan.withColumn(f"{q}n", F.row_number().over(twin.orderBy("taken")))
-    plan = plan.select(F.col("doc_id").alias(f"{q}id"), F.col("source").alias(f"{q}source"), F.col("size").alias(f"{q}size"), f"{q}n", F.col("taken").alias(f"{q}taken"))
-    texts = docs.withColumn(f"{q}s", size_of(F.col("text")))
-    texts = texts.withColumn(f"{q}m", F.row_number().over(Window.partitionBy("doc_id", "source", f"{q}s").orderBy(F.xxhash64("text"))))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col(f"{q}id")) & F.col("source").eqNullSafe(F.col(f"{q}source"))
-        & (F.col(f"{q}s") == F.col(f"{q}size")) & (F.col(f"{q}m") == F.col(f"{q}n"))
-    )
-    joined = texts.join(plan, same)
+    row_key = F.xxhash64("doc_id", F.col("source").isNull(), "source", "text")
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), row_key.alias(f"{q}key"))
+    plan = plan_mix(sized, docs.count(), weights, max_epochs, share, seed, (f"{q}key",)).where("taken > 0")
+    plan = plan.groupBy(f"{q}key").agg(F.max("size").alias(f"{q}size"), F.sum("taken").alias(f"{q}taken"))
+    joined = docs.withColumn(f"{q}key", row_key).join(plan, f"{q}key")
+    # The join has dealt the rows out by key already; one of equal rows stands for all.
+    joined = joined.withColumn(f"{q}n", F.row_number().over(Window.partitionBy(f"{q}key").orderBy(f"{q}size"))).where(F.col(f"{q}n") == 1)
     whole = F.floor(F.col(f"{q}taken") / F.col(f"{q}size")).cast("int")
     part = (F.col(f"{q}taken") % F.col(f"{q}size")).cast("int")
-    joined = joined.withColumn(f"{q}part", part).withColumn(f"{q}copies", F.array_compact(F.concat(
-        F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    joined = joined.withColumn(f"{q}words", F.explode(f"{q}copies"))
+    none = F.array().cast("array<int>")
+    joined = joined.withColumn(f"{q}words", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(none))))
     cut = F.when(F.col(f"{q}words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), 1, F.greatest(F.col(f"{q}words"), F.lit(1))), " "))
     return joined.select(*(cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
