@@ -19,6 +19,12 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_chars")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(read_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -32,6 +38,12 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "masked.text", *(F.col(f"masked.{k}").alias(f"n_{k}") for k in KINDS))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read_documents(spark, sf_dir)).drop("kept")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix, size_table
 
@@ -52,7 +64,7 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_pack, op4_pseudonyms, op7_mix, op8_simhash, op9_transport_stream, op10_line_rules)}
+    return {f.__name__: f for f in (op1_substring, op3_pack, op4_pseudonyms, op5_suffix, op7_mix, op8_simhash, op9_transport_stream, op10_line_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
