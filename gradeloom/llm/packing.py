@@ -16,7 +16,9 @@ rows are packed row by row; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +34,9 @@ END_ID = 1
 BLOCK_TOKENS = 1_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers; a speed matter only.
-CACHE_WORDS = 400_000
-_CACHES: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Words and word parts whose ids a worker remembers; a speed matter only.
+CACHE_WORDS, CACHE_PARTS = 400_000, 1_000_000
+_LOADED: dict[str, Words] = {}
 
 
 def default_tokenizer() -> str:
@@ -43,13 +45,87 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _CACHES:
+class Words:
+    """Ids of words by one tokenizer file, as little-endian unsigned 32-bit, with memory of words seen.
+
+    Where the file's rules are the common ones (lower case, letters apart from other characters, bytes
+    as characters), a run of letters with marks behind it is looked up in two parts, and a new part
+    goes to the merge model directly. Any other word, and any other file, takes the whole way.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _CACHES[path] = Tokenizer.from_file(path), {}
-    return _CACHES[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        self.in_parts = _rule_names(rules["normalizer"]) == ["NFC", "Replace", "Lowercase"] and _letter_rule(rules["pre_tokenizer"])
+        special = [x["content"] for x in rules["added_tokens"]]
+        self.in_parts &= all(not x.isalpha() and not set(x.encode()) <= set(MARKS) for x in special)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.as_chars = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(others)})
+
+    def _whole(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: bytes) -> bytes:
+        """Ids of a lower-case run of letters or a run of marks."""
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
+            seen = part.decode("ascii") if part.isascii() else part.decode("latin-1").translate(self.as_chars)
+            found = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        return found
+
+    def _new(self, raw: bytes) -> bytes:
+        if self.in_parts:
+            core = raw.rstrip(MARKS)
+            if core.isalpha():  # of ASCII letters alone
+                low = core.lower()
+            else:
+                text = core.decode("utf-8", "replace")
+                low = text.lower().encode() if text.isalpha() and _plain_lower(text) else b""
+            if low:
+                ids = self._part(low)
+                return ids + self._part(raw[len(core) :]) if len(core) < len(raw) else ids
+        return self._whole(raw.decode("utf-8", "replace"))
+
+    def ids(self, words: list[bytes]) -> bytes:
+        known = self.words
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = self._new(w)
+        return b"".join([known[w] for w in words])
+
+
+#: Marks that may follow a word; an apostrophe is not among them, as it starts a part of its own with letters.
+MARKS = b".,;:!?*%&$#|"
+
+
+def _plain_lower(text: str) -> bool:
+    """Lower case goes character by character and stays letters of the same form."""
+    low = text.lower()
+    return len(low) == len(text) and unicodedata.is_normalized("NFC", text) and "\u03c3" not in low and "\u03c2" not in low and unicodedata.is_normalized("NFC", low)
+
+
+def _rule_names(rule: dict | None) -> list[str]:
+    return [x["type"] for x in rule["normalizers"]] if rule and rule["type"] == "Sequence" else []
+
+
+def _letter_rule(rule: dict | None) -> bool:
+    """Letters in runs, digits one by one, other marks in runs; then bytes as characters."""
+    steps = rule["pretokenizers"] if rule and rule["type"] == "Sequence" else []
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return False
+    pattern = steps[0]["pattern"].get("Regex", "")
+    return pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and all(x.startswith("'") for x in pattern.split("|")[:-3])
 
 
 def encode_documents(texts: list[bytes], path: str, end_id: int = END_ID) -> list[bytes]:
@@ -58,20 +134,10 @@ def encode_documents(texts: list[bytes], path: str, end_id: int = END_ID) -> lis
     The vocabulary's rules drop white space and never join across it, so a text's ids are those of
     its words in turn; words seen before are looked up.
     """
-    tokenizer, cache = _tokenizer(path)
-    end = int(end_id).to_bytes(4, "little")
-    split = [t.split() for t in texts]  # bytes.split() cuts at the six ASCII white space characters
-    fresh = list(set().union(*split).difference(cache)) if split else []
-    if len(cache) + len(fresh) > CACHE_WORDS:
-        cache.clear()
-        fresh = list(set().union(*split))
-    for at in range(0, len(fresh), 4096):
-        part = fresh[at : at + 4096]
-        encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        for w, e in zip(part, encoded, strict=True):
-            cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-    get = cache.__getitem__
-    return [b"".join(map(get, words)) + end for words in split]
+    if path not in _LOADED:
+        _LOADED[path] = Words(path)
+    words, end = _LOADED[path], int(end_id).to_bytes(4, "little")
+    return [words.ids(t.split()) + end for t in texts]  # bytes.split() cuts at the six ASCII white space characters
 
 
 def balance(lengths: list[int], capacity: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:

@@ -94,3 +94,18 @@ def test_mixing_matches_brute_force(spark):
     taken = mixed.collect()
     assert sum(len(asc_words(r.text)) for r in taken) == sum(w[3] for w in want)
     assert mixing.mix_documents(table(spark, [])).count() == 0
+
+
+def test_ids_are_the_tokenizers_own():
+    import random
+
+    path = packing.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    bits = ["The", "été", "ÉTÉ", "ß", "İstanbul", "ΣΑΣ", "Ǆ", "éa", "don't", "it's", "'s", "x1y2", "...", "%%%", "<|endoftext|>", "<|startoftext|>!", "汉字", "ﬁne", "a　b", "a\x1cb", "​z", "🎉!", "naïve,", "A.B", "K̊", "Å", "ªº", "ʰa", "٣", "Ⅷ", "foo|", "|", "#tag", "$9.99", "_x_", "힣", "ñ.", "…", "«mot»", "İ.", "ﬀ,"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) + rng.choice([" ", "\n", "", "\t", ". ", ","]) for _ in range(rng.randrange(1, 20)))
+        ids = np.frombuffer(packing.encode_documents([text.encode()], path)[0], "<u4").tolist()
+        assert ids == tok.encode(text, add_special_tokens=False).ids + [1], text
+    real = [b for b in bits if packing._LOADED[path].in_parts]
+    assert real, "the quick way should be on for the usual file"
