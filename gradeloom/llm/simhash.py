@@ -37,7 +37,7 @@ from .components import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 TREE_ROWS = 16_384
 #: Pairs of a query and a node that are looked at in one step.
-FRONTIER = 2_000_000
+FRONTIER = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -109,77 +109,91 @@ class Forest:
             kids.append(rest[new])
             at = rest[new][np.cumsum(new) - 1][~new]
             rest = rest[~new]
+        self.levels = [(k // 65, c) for k, c in zip(keys, kids, strict=True)]
         self.keys, self.kids = np.concatenate(keys), np.concatenate(kids)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.kids = self.keys[order], self.kids[order]
 
-    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, node) of values within radius, in parts."""
-        stack = [(np.arange(len(queries)), roots)]
-        while stack:
-            q, node = stack.pop()
-            if len(q) > FRONTIER:
-                half = len(q) // 2
-                stack += [(q[:half], node[:half]), (q[half:], node[half:])]
-                continue
+    def one_label(self, label: np.ndarray) -> np.ndarray:
+        """For each node the label that its whole subtree has, or -1."""
+        low, high = label.copy(), label.copy()
+        for parent, kid in reversed(self.levels):
+            np.minimum.at(low, parent, low[kid])
+            np.maximum.at(high, parent, high[kid])
+        return np.where(low == high, low, -1)
+
+    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int, own: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, node) of values within radius, in parts of at most FRONTIER.
+
+        A subtree all of whose nodes have the query's own label is left out: its links are known.
+        """
+        # Work that waits is held as ranges of children, which are small, and opened part by part.
+        q, node = np.arange(len(queries)), roots
+        stack = []
+        while True:
+            new = known[node] != own[q]
+            q, node = q[new], node[new]
             d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
             near = d <= radius
             if near.any():
                 yield q[near], node[near]
             low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
             n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right") - low
-            if total := int(n.sum()):
-                q = np.repeat(q, n)
-                at = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                stack.append((q, self.kids[at]))
-
-
-def spanning(pairs: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-    """For each of size nodes the least node that pairs lead to."""
-    label = np.arange(size)
-    a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-    b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        old = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
+            some = n > 0
+            if some.any():
+                stack.append((q[some], low[some], n[some]))
+            if not stack:
+                return
+            q, low, n = stack.pop()
+            upto = np.cumsum(n)
+            if upto[-1] > FRONTIER and len(q) > 1:
+                cut = max(1, int(np.searchsorted(upto, FRONTIER)))
+                stack.append((q[cut:], low[cut:], n[cut:]))
+                q, low, n, upto = q[:cut], low[:cut], n[:cut], upto[:cut]
+            q = np.repeat(q, n)
+            node = self.kids[np.arange(int(upto[-1])) - np.repeat(upto - n, n) + np.repeat(low, n)]
+
+
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each node's is a node of its component with the label itself) after joining the pairs a, b."""
+    label = label.copy()
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
         while True:
-            nxt = label[label]
-            if (nxt == label).all():
+            further = label[label]
+            if (further == label).all():
                 break
-            label = nxt
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-        if (old == label).all() and not len(a):
-            break
-    return label
+            label = further
 
 
 def _search_shards(radius: int):
     """Rows (shard, part, role, fp), sorted, to links; role 1 is in the tree, 2 asks, 3 both."""
 
     def links(shard: np.ndarray, role: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        # A value may stand in a part twice, in the tree and as a query; nodes are numbered by value.
+        # A value may stand in several shards; labels are kept by value.
         nodes, number = np.unique(fp, return_inverse=True)
         tree, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         forest = Forest(fp[tree].view(np.uint64), shard[tree])
         root = np.array([forest.roots.get(s, -1) for s in shard[asks].tolist()], np.int64)
         asks, root = asks[root >= 0], root[root >= 0]
-        pairs = []
-        seen = 0
         label = np.arange(len(nodes))
-        for q, node in forest.search(fp[asks].view(np.uint64), root, radius):
-            a, b = number[asks[q]], number[tree[node]]
-            differ = label[a] != label[b]
-            if differ.any():
-                pairs.append((a[differ], b[differ]))
-                seen += int(differ.sum())
-                if seen > FRONTIER:
-                    label = spanning([*pairs, (np.arange(len(nodes)), label)], len(nodes))
-                    pairs, seen = [], 0
-        label = spanning([*pairs, (np.arange(len(nodes)), label)], len(nodes))
+        home, kid = forest.keys // 65, forest.kids
+        near = forest.keys % 65 <= radius
+        label = spanning(label, number[tree[home[near]]], number[tree[kid[near]]])
+        at, size = 0, 512
+        while at < len(asks):
+            # Labels grow from part to part, so that ever more subtrees are left out.
+            part = slice(at, at + size)
+            known = forest.one_label(label[number[tree]])
+            mine = number[asks[part]]
+            for q, node in forest.search(fp[asks[part]].view(np.uint64), root[part], radius, label[mine], known):
+                label = spanning(label, mine[q], number[tree[node]])
+            at, size = at + size, min(size * 4, 65_536)
         moved = np.flatnonzero(label != np.arange(len(nodes)))
         return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
 
