@@ -25,6 +25,12 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal_quality import grade_documents
+
+    return grade_documents(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -64,7 +70,7 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring, op3_pack, op4_pseudonyms, op5_suffix, op7_mix, op8_simhash, op9_transport_stream, op10_line_rules)}
+    return {f.__name__: f for f in (op1_substring, op2_ordinal_quality, op3_pack, op4_pseudonyms, op5_suffix, op7_mix, op8_simhash, op9_transport_stream, op10_line_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
