@@ -50,6 +50,12 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_documents(spark, sf_dir)).drop("kept")
 
 
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import grade_documents
+
+    return grade_documents(read_documents(spark, sf_dir))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix, size_table
 
@@ -70,7 +76,7 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring, op2_ordinal_quality, op3_pack, op4_pseudonyms, op5_suffix, op7_mix, op8_simhash, op9_transport_stream, op10_line_rules)}
+    return {f.__name__: f for f in (op1_substring, op2_ordinal_quality, op3_pack, op4_pseudonyms, op5_suffix, op6_masked_lm, op7_mix, op8_simhash, op9_transport_stream, op10_line_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
