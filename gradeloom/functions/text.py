@@ -170,8 +170,11 @@ def cell_text(text: Column) -> Column:
 
 
 def url_part(text: Column) -> Column:
-    """Percent encoding with %20 for blanks."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent encoding of all but letters, digits and -._~; blanks are %20."""
+    out = F.url_encode(text)
+    for found, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(found), F.lit(wanted))
+    return out
 
 
 def url_text(text: Column) -> Column:

@@ -76,45 +76,47 @@ def tagged_lines(text: Column, fmt: ReportFormat) -> Column:
     line_type = "array<struct<kind:string,section:string,line:string>>"
     sections = F.array(*map(F.lit, fmt.sections)) if fmt.sections else F.array().cast("array<string>")
 
-    def step(state: Column, raw: Column) -> Column:
-        bare = T.strip(raw)
-        label, value = T.strip_colon(T.label_of(bare)), T.value_of(bare)
-        is_name = (label == fmt.name_label) if fmt.name_label else F.lit(False)
-        is_overall = (label == fmt.overall_label) if fmt.overall_label else F.lit(False)
-        opens = F.coalesce(F.array_contains(sections, label), F.lit(False))
-        is_name, is_overall = F.coalesce(is_name, F.lit(False)), F.coalesce(is_overall, F.lit(False)) & ~F.coalesce(is_name, F.lit(False))
-        drop = (bare == "") | bare.rlike("^=+$")
-        now = F.when(drop, state["section"]).when(is_name | is_overall, F.lit(None).cast("string")).when(opens, label).otherwise(state["section"])
+    # Each stage is a pass of its own, so that no expression is worked out twice for a line.
+    bare = F.transform(T.lines_of(T.unix_lines(F.coalesce(text, F.lit("")), lone=False)), lambda x: F.struct(x.alias("raw"), T.strip(x).alias("bare")))
+    split = F.transform(bare, lambda x: F.struct(
+        x["raw"].alias("raw"), (F.regexp_replace(x["bare"], "^=+", "") == "").alias("drop"), T.label_of(x["bare"]).alias("label"), T.value_of(x["bare"]).alias("value")))
+    split = F.transform(split, lambda x: F.struct(x["raw"].alias("raw"), x["drop"].alias("drop"), F.coalesce(T.strip_colon(x["label"]), F.lit("")).alias("label"), x["value"].alias("value")))
+    nothing = F.lit(None).cast("string")
+    none = F.array().cast(line_type)
+
+    def step(state: Column, x: Column) -> Column:
+        is_name = (x["label"] == fmt.name_label) if fmt.name_label else F.lit(False)
+        is_overall = (x["label"] == fmt.overall_label) if fmt.overall_label else F.lit(False)
+        opens = F.array_contains(sections, x["label"])
         row = lambda kind, section, line: F.array(F.struct(F.lit(kind).alias("kind"), section.alias("section"), line.alias("line")))
-        none = F.array().cast(line_type)
-        nothing = F.lit(None).cast("string")
+        now = F.when(x["drop"], state["section"]).when(is_name | is_overall, nothing).when(opens, x["label"]).otherwise(state["section"])
         add = (
-            F.when(drop, none)
-            .when(is_name, row("name", nothing, value))
-            .when(is_overall, row("overall", nothing, value))
-            .when(opens, F.when(value != "", row("body", label, value)).otherwise(none))
-            .when(state["section"].isNotNull(), row("body", state["section"], raw))
+            F.when(x["drop"], none)
+            .when(is_name, row("name", nothing, x["value"]))
+            .when(is_overall, row("overall", nothing, x["value"]))
+            .when(opens, F.when(x["value"] != "", row("body", x["label"], x["value"])).otherwise(none))
+            .when(state["section"].isNotNull(), row("body", state["section"], x["raw"]))
             .otherwise(none)
         )
         return F.struct(now.alias("section"), F.concat(state["out"], add).alias("out"))
 
-    start = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast(line_type).alias("out"))
-    return F.aggregate(T.lines_of(T.unix_lines(F.coalesce(text, F.lit("")), lone=False)), start, step)["out"]
+    start = F.struct(nothing.alias("section"), none.alias("out"))
+    return F.aggregate(split, start, step)["out"]
 
 
 def numbered_items(lines: Column) -> Column:
     """Items of numbered lines: a number starts one, other lines go on; lines before any number are one."""
 
-    def step(items: Column, raw: Column) -> Column:
-        line = T.rstrip(raw)
-        starts, content = line.rlike(ITEM), T.strip(F.regexp_extract(line, ITEM, 1))
+    cut = F.transform(lines, lambda x: F.struct(T.strip(x).alias("more"), F.regexp_extract(T.rstrip(x), ITEM, 0).alias("whole"), F.regexp_extract(T.rstrip(x), ITEM, 1).alias("content")))
+
+    def step(items: Column, x: Column) -> Column:
         n = F.size(items)
-        last, more = F.try_element_at(items, F.lit(-1)), T.strip(line)
+        last = F.try_element_at(items, F.lit(-1))
+        longer = F.when(last == "", x["more"]).otherwise(F.concat(last, F.lit("\n"), x["more"]))
         rest = F.slice(items, 1, F.greatest(n - 1, F.lit(0)))
-        longer = F.when(last == "", more).otherwise(F.concat(last, F.lit("\n"), more))
-        return F.when(more == "", items).when(starts, F.concat(items, F.array(content))).when(n == 0, F.array(more)).otherwise(F.concat(rest, F.array(longer)))
+        return F.when(x["more"] == "", items).when(x["whole"] != "", F.concat(items, F.array(T.strip(x["content"])))).when(n == 0, F.array(x["more"])).otherwise(F.concat(rest, F.array(longer)))
 
-    found = F.aggregate(lines, F.array().cast("array<string>"), step)
+    found = F.aggregate(cut, F.array().cast("array<string>"), step)
     return F.filter(F.transform(found, T.strip), lambda x: x != "")
 
 
@@ -123,11 +125,11 @@ def by_question(items: Column) -> Column:
     none = F.array(F.lit(UNKNOWN_QUESTION))
 
     def pairs(item: Column) -> Column:
-        ids = T.question_ids(item)
-        return F.transform(F.when(F.size(ids) == 0, none).otherwise(ids), lambda q: F.struct(q.alias("q"), item.alias("item")))
+        ids = F.transform(F.array(T.question_ids(item)), lambda x: F.when(F.size(x) == 0, none).otherwise(x))[0]
+        return F.transform(ids, lambda q: F.struct(q.alias("q"), item.alias("item")))
 
-    all_pairs = F.flatten(F.transform(items, pairs))
-    return F.transform(F.array(all_pairs), lambda ps: F.transform(
+    # Bound once, as it is used twice.
+    return F.transform(F.array(F.flatten(F.transform(items, pairs))), lambda ps: F.transform(
         F.array_distinct(F.transform(ps, lambda p: p["q"])),
         lambda q: F.struct(q.alias("question"), F.transform(F.filter(ps, lambda p: p["q"] == q), lambda p: p["item"]).alias("items")),
     ))[0]

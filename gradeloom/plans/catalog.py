@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.plans import submissions
+from gradeloom.plans import domain, ordering, submissions, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (submissions,)
+_MODULES = (submissions, texts, ordering, domain)
 
 
 def queries() -> dict[str, Query]:
-    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+    return {name: query for module in _MODULES for name, query in module.REGISTRY.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+    return {name: sql for module in _MODULES for name, sql in module.REGISTRY.oracles.items()}

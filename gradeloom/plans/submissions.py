@@ -6,28 +6,15 @@ months for weeks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.verdicts import NEEDS_REVIEW, failure_report
 from gradeloom.operators import decisions
+from gradeloom.plans.registry import Registry, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+REGISTRY = Registry()
+query = REGISTRY.query
 
 
 STATUS = "CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'F' THEN 'failed' ELSE 'skipped' END"
@@ -158,8 +145,6 @@ def required_fields(spark, sf_dir):
 (SELECT strftime(o_orderdate, '%Y-%m') AS week, epoch(min(o_orderdate))::DOUBLE AS created_at FROM orders GROUP BY 1))""")
 def week_listing(spark, sf_dir):
     """Weeks by the time they began. There is one row a week, so their order is found in one task."""
-    from pyspark.sql import Window
-
     weeks = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("week")).agg(F.unix_timestamp(F.min("o_orderdate").cast("timestamp")).cast("double").alias("created_at"))
     return weeks.select("week", F.row_number().over(Window.orderBy("created_at", "week")).alias("rank"), "created_at")
 
