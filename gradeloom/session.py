@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+HOME = Path(__file__).resolve().parent
+
 
 def build_session(app: str = "gradeloom", master: str | None = None, **extra: str) -> SparkSession:
     """A session with UTC and adaptive execution. Settings given by spark-submit win over these."""
@@ -21,3 +26,18 @@ def build_session(app: str = "gradeloom", master: str | None = None, **extra: st
         "spark.ui.enabled": os.environ.get("GRADELOOM_UI", "false"),
     }
     return builder.config(map=conf | extra).getOrCreate()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send the package to the executors unless they find it by PYTHONPATH or the working folder."""
+    home = str(HOME.parent)
+    found = [os.path.realpath(p) for p in (os.environ.get("PYTHONPATH") or "").split(os.pathsep) if p] + [os.path.realpath(os.getcwd())]
+    context = spark.sparkContext
+    if home in found or getattr(context, "_gradeloom_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="gradeloom")) / "gradeloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(HOME.rglob("*.py")):
+            z.write(f, f.relative_to(HOME.parent))
+    context.addPyFile(str(path))
+    context._gradeloom_shipped = True

@@ -14,13 +14,13 @@ PAGE = r"(?i)^page_(\d+)\.png$"
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """student_id and body of the text files of a folder, whole."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return rows.select(T.stem_of(T.url_text(F.col("_metadata.file_path"))).alias("student_id"), F.col("value").alias("body"))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """student_id and payload of the JSON files of a folder, as texts."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return rows.select(T.stem_of(T.url_text(F.col("_metadata.file_path"))).alias("student_id"), F.col("value").alias("payload"))
 
 
