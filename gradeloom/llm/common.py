@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -42,14 +44,54 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         yield batch.slice(at)
 
 
+def releasing(run: Callable) -> Callable:
+    """A batch function that gives freed memory back to the system when it ends.
+
+    A worker serves tasks of several stages; what one of them needed would else be held beside the next.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return wrapped
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one is made only where there is none, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoint")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; sets one only where the session has none, as in tests."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoint")
-        context.setCheckpointDir(folder)
+    """Cut the lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, which takes less room than a checkpoint."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table that written() made, once nothing will read it again."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

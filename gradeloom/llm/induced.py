@@ -88,8 +88,8 @@ def _next_other(text: np.ndarray) -> np.ndarray:
 class _Inducer:
     """One pass over the queues; `down` is the second pass, from the greatest symbol to the least."""
 
-    def __init__(self, text: np.ndarray, rises: np.ndarray, queues: BucketQueues, symbols: int, depth: int, down: bool):
-        self.text, self.rises, self.queues, self.depth, self.down = text, rises, queues, depth, down
+    def __init__(self, code: np.ndarray, queues: BucketQueues, symbols: int, depth: int, down: bool):
+        self.code, self.queues, self.depth, self.down = code, queues, depth, down
         self.least = np.zeros(symbols, queues.kind)  # since the last inducer of each symbol
         self.empty = np.ones(symbols, bool)
 
@@ -98,15 +98,13 @@ class _Inducer:
         if not len(pos):
             return
         before = pos - 1
-        use = before >= 0
-        ch = self.text[before]
-        use &= self.rises[before] == self.down
-        at = np.flatnonzero(use)
+        code = self.code[before]  # of the closing symbol, a rise, for position 0: it is put in by hand
+        at = np.flatnonzero(((code & 1) == self.down) & (code > 1))
         low = int(common.min())
         if not len(at):
             np.minimum(self.least, low, out=self.least)
             return
-        ch = ch[at]
+        ch = code[at] >> 1
         order = np.argsort(ch, kind="stable")
         at, ch = at[order], ch[order]
         first = np.concatenate([[True], ch[1:] != ch[:-1]])
@@ -150,7 +148,11 @@ def _refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> tuple[np.n
 
     Returns those still tied, and changes rank in place.
     """
-    order = np.lexsort((key, rank[active]))
+    old = rank[active]
+    if key.dtype == np.int64 and len(rank) < 2**31:
+        order = np.argsort(old << 32 | key, kind="stable")
+    else:
+        order = np.lexsort((key, old))
     item, key = active[order], key[order]
     old = rank[item]
     group = np.concatenate([[True], old[1:] != old[:-1]])
@@ -182,8 +184,16 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = 256 << 20) -> tuple
     kind = np.dtype(np.uint8 if depth < 255 else np.uint16 if depth < 65535 else np.int64)
     if len(text) == 0:
         return np.zeros(0, np.int64), np.zeros(0, kind)
-    symbols = int(text.max()) + 2
-    text = np.append(text.astype(np.int32 if symbols > 65535 else np.uint16) + 1, 0).astype(np.int32 if symbols > 65535 else np.uint16)
+    # The symbols that occur are numbered from 1 on; the closing one is 0.
+    if int(text.max()) < 1 << 22:
+        present = np.bincount(text) > 0
+        dense = np.cumsum(present)[text]
+        symbols = int(present.sum()) + 1
+    else:
+        found, dense = np.unique(text, return_inverse=True)
+        dense, symbols = dense + 1, len(found) + 1
+    size = np.uint8 if symbols <= 128 else np.uint16 if symbols <= 32768 else np.int64
+    text = np.append(dense, 0).astype(size)
     n = len(text)
     index = np.int32 if n < 2**31 else np.int64
     other = _next_other(text)
@@ -191,12 +201,13 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = 256 << 20) -> tuple
     after = np.append(text, 0)[other]
     rises = after > text
     rises[-1] = True
+    code = text * size(2) + rises
     lms = np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
-    order = lms[_lms_order(text, rises, lms, depth, symbols)].astype(index)
+    order = lms[_lms_order(code, lms, depth, symbols)].astype(index)
     common = _pair_common(text, order, depth, kind)
     # First pass: falls, in ascending order of symbols; each symbol's LMS suffixes come after its falls.
     queues = BucketQueues(symbols, memory, kind)
-    up = _Inducer(text, rises, queues, symbols, depth, down=False)
+    up = _Inducer(code, queues, symbols, depth, down=False)
     bounds = np.searchsorted(text[order], np.arange(symbols + 1))
     falls: list[list] = []
     for s in range(symbols):
@@ -214,7 +225,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = 256 << 20) -> tuple
     # Second pass: rises, in descending order; a tuple's value is its common prefix with the one above it.
     queues = BucketQueues(symbols, memory, kind)
     queues.put(0, np.array([n - 1], index), np.zeros(1, kind))
-    fall = _Inducer(text, rises, queues, symbols, depth, down=True)
+    fall = _Inducer(code, queues, symbols, depth, down=True)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for s in range(symbols - 1, -1, -1):
         mine = []
@@ -245,38 +256,47 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = 256 << 20) -> tuple
     return sa[1:], lcp[1:]  # without the closing symbol
 
 
-def _lms_order(text: np.ndarray, rises: np.ndarray, lms: np.ndarray, depth: int, symbols: int) -> np.ndarray:
+def _windows(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Eight bytes from each position on as one number, the first symbol on top; and symbols a number."""
+    width = 8 // values.itemsize
+    padded = np.append(values, np.zeros(width - 1, values.dtype)).astype(values.dtype.newbyteorder(">"))
+    view = np.lib.stride_tricks.as_strided(padded, (len(values), width), (values.itemsize, values.itemsize))
+    return np.ascontiguousarray(view).view(">u8").ravel().astype(np.uint64), width
+
+
+def _lms_order(code: np.ndarray, lms: np.ndarray, depth: int, symbols: int) -> np.ndarray:
     """Numbers of the LMS suffixes in order, to depth symbols."""
     m = len(lms)
     if m < 2:
         return np.arange(m)
-    n = len(text)
-    stop = np.append(lms[1:], n - 1)  # an LMS substring reaches to the next one's first symbol
-    bits = max(1, int(2 * symbols + 1).bit_length())
-    width = 64 // bits if bits < 32 else 1
-    code = text.astype(np.uint64) * np.uint64(2) + rises.astype(np.uint64)
+    n = len(code)
+    length = np.append(lms[1:], n - 1) - lms + 1  # an LMS substring reaches to the next one's first symbol
+    words, width = _windows(code)
+    shift = np.uint64(64 // width)
 
     def word(items: np.ndarray, t: int) -> np.ndarray:
-        key = np.zeros(len(items), np.uint64)
-        for k in range(width):
-            at = lms[items] + t * width + k
-            key = key << np.uint64(bits) | np.where(at <= stop[items], code[np.minimum(at, n - 1)], np.uint64(0))
-        return key
+        # Symbols beyond the substring's end are cleared.
+        cut = (width - np.minimum(length[items] - t * width, width)).astype(np.uint64) * shift
+        return words[np.minimum(lms[items] + t * width, n - 1)] >> cut << cut
 
     rank = np.zeros(m, np.int64)
-    tied, t = np.arange(m), 0
-    length = stop - lms + 1
+    first = np.argsort(key := word(np.arange(m), 0), kind="stable")
+    key = key[first]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    rank[first] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
+    tied, t = first[~(new & np.append(new[1:], True))], 1
     ended = []
     while len(tied):
-        tied = _refine(rank, tied, word(tied, t))
-        t += 1
         done = length[tied] <= t * width
         ended.append(tied[done])
         tied = tied[~done]
-    tied = np.concatenate(ended)
+        if len(tied):
+            tied = _refine(rank, tied, word(tied, t))
+        t += 1
+    tied = np.concatenate(ended) if ended else tied
     if not len(tied):
         return np.argsort(rank, kind="stable")
-    names = np.unique(rank)
+    names = np.flatnonzero(np.bincount(rank, minlength=m))
     if len(names) <= MAX_QUEUES and m > 64:
         order, _ = suffix_order(np.searchsorted(names, rank), depth)
         return order
@@ -289,30 +309,23 @@ def _pair_common(text: np.ndarray, order: np.ndarray, depth: int, kind: np.dtype
     if len(order) < 2:
         return out
     n = len(text)
-    wide = text.dtype == np.uint16
-    if wide:  # four symbols at a time
-        padded = np.append(text, np.zeros(3, np.uint16))
-        words = np.lib.stride_tricks.as_strided(padded, (n, 4), (2, 2)).copy().view("<u8").ravel()
-    else:
-        words = text
-    step = 4 if wide else 1
+    words, width = _windows(text)
+    bits = 64 // width
     a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
     pair, at = np.arange(1, len(order)), 0
     while len(pair) and at < depth:
-        x = words[np.minimum(a + at, n - 1)]
-        y = words[np.minimum(b + at, n - 1)]
-        same = (x == y) & (a + at < n) & (b + at < n)
+        x, y = words[np.minimum(a, n - 1)], words[np.minimum(b, n - 1)]
+        same = (x == y) & (np.maximum(a, b) < n)
         off = np.flatnonzero(~same)
         if len(off):
             differ = x[off] ^ y[off]
-            if wide:
-                low = differ & (~differ + np.uint64(1))
-                zeros = np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 16
-                zeros[differ == 0] = 0
-            else:
-                zeros = np.zeros(len(off), np.int64)
+            # The number of equal symbols on top; no bit is set below the highest one's place.
+            for k in (1, 2, 4, 8, 16, 32):
+                differ |= differ >> np.uint64(k)
+            zeros = (64 - np.bitwise_count(differ).astype(np.int64)) // bits
+            zeros[differ == 0] = 0
             out[pair[off]] = np.minimum(at + zeros, depth)
-        a, b, pair = a[same], b[same], pair[same]
-        at += step
+        a, b, pair = a[same] + width, b[same] + width, pair[same]
+        at += width
     out[pair] = depth
     return out

@@ -3,11 +3,11 @@
 A text is a row of units (words, or bytes). Wanted is every window of `window` units that starts at two
 places or more, in one document or in several. Rows for all windows would be many times the input, so:
 
-1. Anchors. In every window the part of `anchor` units with the least hash is chosen. The choice depends
-   on the window's content alone, so equal windows choose equal anchors at the same offset: no repeat is
-   lost, while only about 2 in (window - anchor + 2) positions are anchors.
+1. Anchors. In every window the part of `anchor` units with the least hash is chosen, the first of equals. The
+   choice depends on the window's content alone, so equal windows choose equal anchors at the same
+   offset: no repeat is lost, while only about 2 in (window - anchor + 2) positions are anchors.
 2. Anchors that occur once are dropped, counted with partial sums over all documents.
-3. The context of an anchor is all that a window around it can hold. Equal contexts are collapsed before
+3. The context of an anchor is what the windows that choose it hold. Equal contexts are collapsed before
    any text moves: one stands for all, with their number, so a group of copies costs one context.
 4. Contexts are dealt out by anchor and decided in blocks by the operator's own method. What it finds
    for a context holds for all places that have it, and goes back to the documents as stretches.
@@ -26,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_bytes
+from .common import dropped, releasing, slices, text_bytes, written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_NONE = np.uint64(2**64 - 1)
+#: Enough for the places in a text; the rest of a hash orders parts.
+_PLACE_BITS = 31
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 #: Units that are hashed in one go, and context units that are decided in one block.
-CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 1 << 21
+CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 3 << 18
+#: Text of a batch that is held as separate objects at once.
+SLICE_BYTES = 4_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -125,29 +128,30 @@ class Search:
     cut: Callable[[list[bytes]], Units]
     least_bytes: int  # a text with fewer bytes has no window
 
-    def anchors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor hash, context hash, text number and unit (in its text) of each anchor."""
+    def anchors(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """For each anchor: its hash, its context's hash, its text, the unit (in its text) at which the context
+        starts, how far in the anchor stands, and how many windows the context holds."""
         u = self.cut(texts)
         w, k = self.window, self.anchor
-        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(u.hashes) < w:
-            return none
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
         prefix = prefix_hash(u.hashes)
         part = window_hash(prefix, k)
-        part[part == _NONE] = 0
         span = w - k + 1
-        least = _sliding(part, span, np.minimum)
-        least[u.owner[: len(least)] != u.owner[w - 1 :]] = _NONE  # not within one text
-        # An anchor is a part that is the least of some window: sought from the windows' side.
-        inner = np.zeros(len(part) + span - 1, np.uint64)
-        inner[span - 1 : span - 1 + len(least)] = np.where(least == _NONE, np.uint64(0), least + np.uint64(1))
-        at = np.flatnonzero(_sliding(inner, span, np.maximum)[: len(part)] == part + np.uint64(1))
-        own = u.owner[at]
-        low = np.maximum(u.first[own], at - (w - k))
-        high = np.minimum(u.first[own + 1], at + w)
-        sides = (at - low).astype(np.uint64) * np.uint64(2 * w) + (high - at).astype(np.uint64)
-        context = mix(range_hash(prefix, low, high) + sides * _ODD)
-        return part[at], context, own, at - u.first[own]
+        # The upper bits order parts, the lower ones name the place: the least is the first of the least.
+        placed = part >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS) | np.arange(len(part), dtype=np.uint64)
+        chosen = (_sliding(placed, span, np.minimum) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        chosen[u.owner[: len(chosen)] != u.owner[w - 1 :]] = -1  # not within one text
+        # The windows that choose an anchor are neighbours.
+        low = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        starts = np.diff(np.append(low, len(chosen)))
+        some = chosen[low] >= 0
+        low, starts = low[some], starts[some]
+        at = chosen[low]
+        lead, own = at - low, u.owner[low]
+        shape = lead.astype(np.uint64) * np.uint64(2 * w) + starts.astype(np.uint64)
+        context = mix(range_hash(prefix, low, low + starts + w - 1) + shape * _ODD)
+        return part[at], context, own, low - u.first[own], lead, starts
 
     def chunks(self, texts: list[bytes]) -> Iterator[list[int]]:
         """Numbers of the texts that can hold a window, in groups of about CHUNK_UNITS bytes."""
@@ -168,100 +172,155 @@ class Block:
     """Contexts to decide together: units one after another, each context with its place and number."""
 
     first: np.ndarray  # where each context's units start, and one more for the end
-    starts: np.ndarray  # how many of a context's units can start a window
     place: np.ndarray  # hash of where it stands in its document
     count: np.ndarray  # how many places have it
 
-    def repeated(self, at: np.ndarray, run: np.ndarray) -> np.ndarray:
+    def repeated(self, at: np.ndarray, run: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Which runs of equal windows, in order at, have two places. run: first of each run."""
-        owner = np.searchsorted(self.first, at, side="right") - 1
         where = self.place[owner] + (at - self.first[owner]).astype(np.uint64)
         many = np.maximum.reduceat(self.count[owner], run) > 1
         return many | (np.minimum.reduceat(where, run) != np.maximum.reduceat(where, run))
 
 
+def _shared(group: np.ndarray, rows: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """For each row the longest beginning that it shares with another row of its group, at least.
+
+    rows holds units in columns; have says how many of them are real.
+    """
+    n, width = rows.shape
+    item = rows.dtype.itemsize
+    keyed = np.concatenate([group.reshape(n, 1).view(np.uint8), rows.view(np.uint8).reshape(n, width * item)], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{8 + width * item}").ravel(), kind="stable")
+    out = np.zeros(n, np.int64)
+    if n > 1:
+        a, b = order[:-1], order[1:]
+        differ = np.concatenate([rows[a] != rows[b], np.ones((n - 1, 1), bool)], axis=1)
+        same = np.minimum(np.argmax(differ, axis=1), np.minimum(have[a], have[b]))
+        same[group[a] != group[b]] = 0
+        np.maximum.at(out, a, same)
+        np.maximum.at(out, b, same)
+    return out
+
+
+def _trimmed(search: Search, u: Units, group: np.ndarray, before: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, low, high, twin): the part of each context that can be in a repeat at all.
+
+    A window that holds the anchor and starts elsewhere too has to the right of the anchor no more than
+    the context shares with another one of the same anchor, and to the left likewise. Contexts with
+    too little are left out. Those that agree in what is left have one number in twin.
+    """
+    w, k, n = search.window, search.anchor, len(before)
+    at = u.first[:-1] + before
+    right, left = u.first[1:] - at - k, before
+    units = u.hashes
+    if len(u.joined) == len(units):  # bytes; 255 counts as 254, which can only keep more
+        units = np.minimum(np.frombuffer(u.joined, np.uint8), 254) + np.uint8(1)
+    step = np.arange(w - k)
+
+    def side(first: np.ndarray, sign: int, have: np.ndarray) -> np.ndarray:
+        rows = units[np.clip(first[:, None] + sign * step, 0, len(units) - 1)]
+        rows[step >= have[:, None]] = 0
+        return np.where(count > 1, have, _shared(group, rows, have))
+
+    r, lft = side(at + k, 1, right), side(at - 1, -1, left)
+    use = np.flatnonzero(lft + k + r >= w)
+    low, high = (at - lft)[use], (at + k + r)[use]
+    prefix = prefix_hash(u.hashes)
+    sides = lft[use].astype(np.uint64) * np.uint64(2 * w) + r[use].astype(np.uint64)
+    _, twin = np.unique(mix(range_hash(prefix, low, high) + sides * _ODD), return_inverse=True)
+    return use, low, high, twin
+
+
 def named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
 
 
 def _anchor_rows(search: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             rid = batch.column(0).to_numpy()
             texts = text_bytes(batch.column(1))
             for own in search.chunks(texts):
-                g, c, i, pos = search.anchors([texts[j] for j in own])
+                g, c, i, low, lead, starts = search.anchors([texts[j] for j in own])
                 if len(g):
                     name = rid[np.array(own)[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(name), pa.array(pos.astype(np.int32))], names=["g", "c", "rid", "pos"])
+                    small = [pa.array(x.astype(np.int32)) for x in (low, lead, starts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(name), *small], names=["g", "c", "rid", "low", "lead", "starts"])
 
     return run
 
 
 def _context_rows(search: Search):
-    """doc_id, text, rid, list of (pos, g, c, n) -> contexts with their text."""
+    """doc_id, text, rid, list of (low, lead, starts, g, c, n) -> contexts with their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, k = search.window, search.anchor
-        for batch in batches:
+        w = search.window
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             texts, rids = text_bytes(batch.column(1)), batch.column(2).to_numpy()
             lists = batch.column(3)
             flat = lists.flatten()
             off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            pos = flat.field(0).to_numpy()
+            at, starts = flat.field(0).to_numpy(), flat.field(2).to_numpy()
             for own in search.chunks(texts):
                 u = search.cut([texts[j] for j in own])
                 pick = np.concatenate([np.arange(off[j], off[j + 1]) for j in own])
                 text = np.repeat(np.arange(len(own)), [off[j + 1] - off[j] for j in own])
                 if not len(pick):
                     continue
-                at = u.first[text] + pos[pick]
-                low, high = np.maximum(u.first[text], at - (w - k)), np.minimum(u.first[text + 1], at + w)
+                low = u.first[text] + at[pick]
+                high = low + starts[pick] + w - 1
                 a, b = u.starts[low].tolist(), u.ends[high - 1].tolist()
                 body = [u.joined[x:y] for x, y in zip(a, b, strict=True)]
                 rid = rids[np.array(own)[text]]
-                place = mix(rid.view(np.uint64)) + (low - u.first[text]).astype(np.uint64)
+                place = mix(rid.view(np.uint64)) + at[pick].astype(np.uint64)
                 for s in range(0, len(pick), 8192):
                     e = s + 8192
                     part = pa.array(pick[s:e])
                     yield pa.RecordBatch.from_arrays(
-                        [flat.field(1).take(part), flat.field(2).take(part), flat.field(3).take(part), pa.array(place[s:e].view(np.int64)), pa.array((at - low)[s:e].astype(np.int32)), pa.array(body[s:e], pa.binary())],
-                        names=["g", "c", "n", "place", "before", "body"],
+                        [flat.field(3).take(part), flat.field(4).take(part), flat.field(5).take(part), pa.array(place[s:e].view(np.int64)), flat.field(1).take(part), pa.array(body[s:e], pa.binary())],
+                        names=["g", "c", "n", "place", "lead", "body"],
                     )
 
     return run
 
 
 def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
-    """Contexts sorted by anchor -> the stretches of each, relative to the anchor."""
+    """Contexts sorted by anchor -> the stretches of each, counted from where it starts."""
 
     def verdicts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        body = text_bytes(t.column("body").combine_chunks())
-        u = search.cut(body)
-        before = t.column("before").to_numpy().astype(np.int64)
-        block = Block(u.first, before + 1, t.column("place").to_numpy().view(np.uint64), t.column("n").to_numpy())
-        hit = np.flatnonzero(decide(block, u))  # units at which a repeated window starts
-        owner = np.searchsorted(u.first, hit, side="right") - 1
-        rel = hit - u.first[owner] - before[owner]
+        g, c = t.column("g").to_numpy(), t.column("c").to_numpy()
+        before, count = t.column("lead").to_numpy().astype(np.int64), t.column("n").to_numpy()
+        u = search.cut(text_bytes(t.column("body").combine_chunks()))
+        use, low, high, twin = _trimmed(search, u, g, before, count)
+        _, one = np.unique(twin, return_index=True)  # a context for each set of twins
+        body = [u.joined[x:y] for x, y in zip(u.starts[low[one]].tolist(), u.ends[high[one] - 1].tolist(), strict=True)]
+        cut = search.cut(body)
+        places = t.column("place").to_numpy().view(np.uint64)[use] + (low - u.first[use]).astype(np.uint64)
+        block = Block(cut.first, places[one], np.bincount(twin, count[use], len(one)).astype(np.int64))
+        hit = np.flatnonzero(decide(block, cut)) if len(one) else np.zeros(0, np.int64)  # where repeated windows start
+        owner = np.searchsorted(cut.first, hit, side="right") - 1
+        rel = hit - cut.first[owner]
         # Starts that are no further apart than a window's length cover one stretch.
         new = np.ones(len(hit), bool)
-        if len(hit):
-            new[1:] = (owner[1:] != owner[:-1]) | (rel[1:] - rel[:-1] > search.window)
+        new[1:] = (owner[1:] != owner[:-1]) | (rel[1:] - rel[:-1] > search.window)
         s = np.flatnonzero(new)
         e = np.append(s[1:], len(hit)) - 1 if len(s) else s
-        own = pa.array(owner[s])
+        # Each context of a set gets the stretches that its twin was found to have.
+        per = np.bincount(owner[s], minlength=len(one))
+        many = per[twin]
+        at = np.repeat((np.cumsum(per) - per)[twin], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        own = np.repeat(use, many)
+        begin = np.repeat(low - u.first[use], many)  # of what is left, in the context
         return pa.RecordBatch.from_arrays(
-            [t.column("g").combine_chunks().take(own), t.column("c").combine_chunks().take(own), pa.array(rel[s].astype(np.int32)), pa.array((rel[e] + search.window).astype(np.int32))],
+            [pa.array(g[own]), pa.array(c[own]), pa.array((begin + rel[s[at]]).astype(np.int32)), pa.array((begin + rel[e[at]] + search.window).astype(np.int32))],
             names=["g", "c", "low", "high"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             held.append(batch)
             size += batch.column(5).nbytes
             if size >= BLOCK_UNITS:
@@ -283,16 +342,17 @@ def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
 
 def stretches(texts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray]) -> DataFrame:
     """(rid, spans): for each document the unit ranges that repeated windows cover; texts is named()."""
-    anchors = checkpointed(texts.select("rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_anchor_rows(search), "g long, c long, rid long, pos int"))
+    anchors = written(texts.select("rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(_anchor_rows(search)), "g long, c long, rid long, low int, lead int, starts int"))
     often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    seen = checkpointed(anchors.join(often, "g", "left_semi"))
-    groups = seen.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "pos")).alias("one"))
-    asked = groups.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("one.pos").alias("pos"), "g", "c", "n")).alias("asked"))
+    seen = written(anchors.join(often, "g", "left_semi"))
+    dropped(anchors)
+    groups = seen.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "low", "lead", "starts")).alias("one"))
+    asked = groups.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.low", "one.lead", "one.starts", "g", "c", "n")).alias("asked"))
     # The same exchange of texts by name serves this join and the one that applies the stretches.
     contexts = texts.join(asked, "rid").select("doc_id", "text", "rid", "asked")
-    contexts = contexts.mapInArrow(_context_rows(search), "g long, c long, n long, place long, before int, body binary")
-    found = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_decide_rows(search, decide), "g long, c long, low int, high int")
-    placed = seen.join(found, ["g", "c"]).select("rid", F.struct((F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high")).alias("span"))
+    contexts = contexts.mapInArrow(releasing(_context_rows(search)), "g long, c long, n long, place long, lead int, body binary")
+    found = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(releasing(_decide_rows(search, decide)), "g long, c long, low int, high int")
+    placed = seen.select("g", "c", "rid", F.col("low").alias("at")).join(found, ["g", "c"]).select("rid", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")).alias("span"))
     return placed.groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
 
@@ -312,10 +372,10 @@ def apply_stretches(texts: DataFrame, spans: DataFrame, make, schema: str) -> Da
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             rows = [make(t, merged([(x["low"], x["high"]) for x in s]) if s else []) for t, s in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c) for c in zip(*rows, strict=True))], names=names)
 
     joined = texts.join(spans, "rid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id long, {schema}")
+    return joined.mapInArrow(releasing(run), f"doc_id long, {schema}")

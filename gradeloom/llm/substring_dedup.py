@@ -52,15 +52,13 @@ def doubling(first: int, last: int):
         value = hashes[at]
         while len(at):
             order, run = _runs(value)
-            often = block.repeated(at[order], run)
+            often = block.repeated(at[order], run, units.owner[at[order]])
             group = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(at))))
             stay = often[group]
             at, group = at[order][stay], group[stay]
             if length == last:
                 hit = np.zeros(n, bool)
                 hit[at] = True
-                owner = units.owner[at]
-                hit[at[at - block.first[owner] >= block.starts[owner]]] = False
                 return hit
             number[:] = -1
             number[at] = group

@@ -34,21 +34,25 @@ def by_suffixes(window: int, memory: int = 128 << 20):
         n, contexts = len(units.joined), len(block.first) - 1
         # Contexts one after another with a symbol between them that no text has.
         text = np.zeros(n + contexts, np.uint16)
+        owner_of = np.zeros(n + contexts, np.int32)
         shifted = np.arange(n) + units.owner
         text[shifted] = np.frombuffer(units.joined, np.uint8).astype(np.uint16) + 1
+        owner_of[shifted] = units.owner
+        owner_of[block.first[1:] + np.arange(contexts)] = np.arange(contexts)
+        # Places from which a window may start: few suffixes are looked at further.
+        may = np.zeros(n + contexts, bool)
+        may[shifted] = np.arange(n) + window <= block.first[units.owner + 1]
         sa, common = suffix_order(text, window, memory)
         # Suffixes that share the first window bytes have one number; those that start a window are kept.
         group = np.cumsum(common < window)
-        bounds = block.first + np.arange(contexts + 1)
-        spot = sa.astype(np.int64)
-        owner = np.searchsorted(bounds, spot, side="right") - 1
+        valid = may[sa]
+        spot, group = sa[valid].astype(np.int64), group[valid]
+        owner = owner_of[spot]
         at = spot - owner
-        valid = (at - block.first[owner] < block.starts[owner]) & (at + window <= block.first[owner + 1])
-        at, group = at[valid], group[valid]
         hit = np.zeros(n, bool)
         if len(at):
             run = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            often = np.repeat(block.repeated(at, run), np.diff(np.append(run, len(at))))
+            often = np.repeat(block.repeated(at, run, owner), np.diff(np.append(run, len(at))))
             hit[at[often]] = True
         return hit
 
