@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as str.strip() has it; neither trim() nor Java's \s covers all of it.
 SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as characters, for trims, which need no pattern.
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Breaks as str.splitlines() has them.
 BREAK = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 #: The names that an identifier gets when nothing is left of it.
@@ -14,11 +16,11 @@ UNKNOWN_STUDENT, NEW_WEEK = "unknown_student", "new_week"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+$", "")
+    return F.rtrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse_space(text: Column) -> Column:
@@ -34,7 +36,7 @@ def safe_name(name: Column, fallback: str = UNKNOWN_STUDENT) -> Column:
 
 
 def strip_colon(text: Column) -> Column:
-    return strip(F.regexp_replace(strip(text), "[：:]+$", ""))
+    return strip(F.rtrim(strip(text), F.lit("：:")))
 
 
 def strip_quotes(text: Column) -> Column:
@@ -76,14 +78,22 @@ def after_first(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
 
 
-def label_of(line: Column) -> Column:
-    """The label before the first colon of either width; null without a label."""
-    return F.nullif(F.regexp_extract(line, rf"^[{SPACE}]*([^：:]+?)[{SPACE}]*[：:]", 1), F.lit(""))
+def colon_at(line: Column) -> Column:
+    """Place of the first colon of either width, from 1 on; 0 without one."""
+    wide, plain = F.instr(line, "："), F.instr(line, ":")
+    return F.when(wide == 0, plain).when(plain == 0, wide).otherwise(F.least(wide, plain))
 
 
-def value_of(line: Column) -> Column:
-    """What follows a label's colon, stripped."""
-    return strip(F.regexp_extract(line, rf"^[{SPACE}]*[^：:]+?[{SPACE}]*[：:][{SPACE}]*((?s:.*))$", 1))
+def label_of(line: Column, at: Column | None = None) -> Column:
+    """The label before the first colon of either width; null without a label. at: the colon's place, if known."""
+    at = colon_at(line) if at is None else at
+    return F.nullif(strip(F.substring(line, F.lit(1), at - 1)), F.lit(""))
+
+
+def value_of(line: Column, at: Column | None = None) -> Column:
+    """What follows a label's colon, stripped; empty without a colon."""
+    at = colon_at(line) if at is None else at
+    return F.when(at > 0, strip(F.substring(line, at + 1, F.length(line)))).otherwise(F.lit(""))
 
 
 def suffix_of(name: Column) -> Column:
@@ -217,7 +227,8 @@ def question_ids(text: Column) -> Column:
     number = r"[0-9]+(?:\.[0-9]+)+(?:\s*\([0-9]+\))?"
     called = F.regexp_extract_all(text, F.lit(rf"第\s*({number})\s*题"), F.lit(1))
     any_ = F.regexp_extract_all(text, F.lit(rf"({number})"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(called, any_), collapse_space))
+    found = F.array_distinct(F.transform(F.concat(called, any_), collapse_space))
+    return F.when(F.contains(text, F.lit(".")), found).otherwise(F.array().cast("array<string>"))
 
 
 def has_matrix(text: Column) -> Column:

@@ -38,7 +38,8 @@ DEFAULT_FORMAT = "\n".join([
     RULE,
 ])
 
-ITEM = rf"^[{T.SPACE}]*(?:[-*][{T.SPACE}]*)?[0-9]+[.、)][{T.SPACE}]*((?s:.*))$"
+#: What numbers an item, at the start of a stripped line.
+ITEM_MARK = rf"^(?:[-*][{T.SPACE}]*)?[0-9]+[.、)]"
 SECTION_TYPE = "map<string,struct<raw_text:string,items:array<string>>>"
 QUESTION_TYPE = "map<string,array<string>>"
 PAYLOAD = f"student_name_or_id string, overall string, modules {SECTION_TYPE}"
@@ -78,9 +79,11 @@ def tagged_lines(text: Column, fmt: ReportFormat) -> Column:
 
     # Each stage is a pass of its own, so that no expression is worked out twice for a line.
     bare = F.transform(T.lines_of(T.unix_lines(F.coalesce(text, F.lit("")), lone=False)), lambda x: F.struct(x.alias("raw"), T.strip(x).alias("bare")))
+    bare = F.transform(bare, lambda x: F.struct(x["raw"].alias("raw"), x["bare"].alias("bare"), T.colon_at(x["bare"]).alias("at")))
+    # A label ends before the first colon, so none is left to strip from it.
     split = F.transform(bare, lambda x: F.struct(
-        x["raw"].alias("raw"), (F.regexp_replace(x["bare"], "^=+", "") == "").alias("drop"), T.label_of(x["bare"]).alias("label"), T.value_of(x["bare"]).alias("value")))
-    split = F.transform(split, lambda x: F.struct(x["raw"].alias("raw"), x["drop"].alias("drop"), F.coalesce(T.strip_colon(x["label"]), F.lit("")).alias("label"), x["value"].alias("value")))
+        x["raw"].alias("raw"), (F.btrim(x["bare"], F.lit("=")) == "").alias("drop"),
+        F.when(x["at"] > 1, T.strip(F.substring(x["bare"], F.lit(1), x["at"] - 1))).otherwise("").alias("label"), T.value_of(x["bare"], x["at"]).alias("value")))
     nothing = F.lit(None).cast("string")
     none = F.array().cast(line_type)
 
@@ -107,14 +110,16 @@ def tagged_lines(text: Column, fmt: ReportFormat) -> Column:
 def numbered_items(lines: Column) -> Column:
     """Items of numbered lines: a number starts one, other lines go on; lines before any number are one."""
 
-    cut = F.transform(lines, lambda x: F.struct(T.strip(x).alias("more"), F.regexp_extract(T.rstrip(x), ITEM, 0).alias("whole"), F.regexp_extract(T.rstrip(x), ITEM, 1).alias("content")))
+    bare = F.transform(lines, lambda x: T.strip(x))
+    cut = F.transform(bare, lambda x: F.struct(x.alias("more"), F.regexp_replace(x, ITEM_MARK, "").alias("rest")))
 
     def step(items: Column, x: Column) -> Column:
         n = F.size(items)
         last = F.try_element_at(items, F.lit(-1))
         longer = F.when(last == "", x["more"]).otherwise(F.concat(last, F.lit("\n"), x["more"]))
         rest = F.slice(items, 1, F.greatest(n - 1, F.lit(0)))
-        return F.when(x["more"] == "", items).when(x["whole"] != "", F.concat(items, F.array(T.strip(x["content"])))).when(n == 0, F.array(x["more"])).otherwise(F.concat(rest, F.array(longer)))
+        starts = F.length(x["rest"]) < F.length(x["more"])
+        return F.when(x["more"] == "", items).when(starts, F.concat(items, F.array(T.strip(x["rest"])))).when(n == 0, F.array(x["more"])).otherwise(F.concat(rest, F.array(longer)))
 
     found = F.aggregate(cut, F.array().cast("array<string>"), step)
     return F.filter(F.transform(found, T.strip), lambda x: x != "")
