@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, WS_CHARS, words_of
+from .common import WS_CHARS, WS_CLASS, words_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -48,12 +48,14 @@ def _weight(rank: Column, weights: tuple[float, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
 
 
-def plan_mix(sized: DataFrame, n_rows: int, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size of every row -> the same with source_size, target, budget and taken.
 
-    n_rows says how finely the work is dealt out; columns named in carry go along.
+    Columns named in carry go along. The sizes are written down once: they are read for the sums and again
+    for the placing, and counting them says how finely the work is dealt out.
     """
-    bits = _ranges(n_rows)
+    sized = written(sized)
+    bits = _ranges(sized.count())
     rows = sized.select(
         "doc_id", "source", "size", *carry,
         F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name"),
@@ -104,7 +106,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epo
     q = "__mix_"
     row_key = F.xxhash64("doc_id", F.col("source").isNull(), "source", "text")
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), row_key.alias(f"{q}key"))
-    plan = plan_mix(sized, docs.count(), weights, max_epochs, share, seed, (f"{q}key",)).where("taken > 0")
+    plan = plan_mix(sized, weights, max_epochs, share, seed, (f"{q}key",)).where("taken > 0")
     plan = plan.groupBy(f"{q}key").agg(F.max("size").alias(f"{q}size"), F.sum("taken").alias(f"{q}taken"))
     joined = docs.withColumn(f"{q}key", row_key).join(plan, f"{q}key")
     # The join has dealt the rows out by key already; one of equal rows stands for all.

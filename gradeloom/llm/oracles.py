@@ -52,3 +52,17 @@ SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget % source_size - start)) ELSE 0 END)::BIGINT AS taken
 FROM ordered
 """
+
+#: All windows of 35 words, those that start at two places, and the words that they cover.
+SUBSTRING = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, i, md5(array_to_string(words[i:i+34], ' ')) AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM docs)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM starts) WHERE n > 1),
+covered AS (SELECT DISTINCT doc_id, i + j AS p FROM again, (SELECT unnest(range(0, 35)) AS j)),
+spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before <> p - 1) AS n_spans
+          FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM covered) GROUP BY doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM placed ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -59,8 +59,7 @@ def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix, size_table
 
-    docs = read_documents(spark, sf_dir)
-    return plan_mix(size_table(docs), docs.count()).select("doc_id", "size", "source_size", "target", "taken")
+    return plan_mix(size_table(read_documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +81,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op7_mix": oracles.MIX, "op10_line_rules": oracles.LINE_RULES}
+    return {"op1_substring": oracles.SUBSTRING, "op7_mix": oracles.MIX, "op10_line_rules": oracles.LINE_RULES}
