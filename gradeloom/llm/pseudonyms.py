@@ -259,18 +259,28 @@ _FINDERS: tuple[tuple[str, re.Pattern, Callable[[str], bool]], ...] = (
     ("date", re.compile(_EDGE + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})" + _END), lambda x: read_date(x) is not None),
     ("ssn", re.compile(_EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END), is_ssn),
     ("ip", re.compile(r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|\.[0-9])"), is_ip),
-    ("phone", re.compile(r"(?<![0-9A-Za-z_+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})" + _END), is_phone),
-    ("card", re.compile(_EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END), is_card),
+    ("card", re.compile(_EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _END), is_card),
+    ("phone", re.compile(r"(?<![0-9A-Za-z_+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})" + _END), is_phone),
 )
 _LOCAL = re.compile(r"[^\s@<>()\[\]{},;:\"'|\\/=]+$")
 _DOMAIN = re.compile(r"[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?(?:\.[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?)*\.[A-Za-z]{2,24}(?![0-9A-Za-z_])")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def _longest(m: re.Match, kind: str, test: Callable[[str], bool]) -> tuple[int, int, str] | None:
+    """The match if it is valid, or else its longest valid beginning that ends with a group."""
+    value = m.group()
+    while not test(value):
+        cut = max(value.rfind(c) for c in " -.")
+        if cut <= 0 or kind not in ("phone", "iban", "card"):
+            return None
+        value = value[:cut].rstrip(" -.")
+    return m.start(), m.start() + len(value), kind
+
+
 def find_personal(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of validated values, without overlaps, in the order of the text."""
     found: list[tuple[int, int, str]] = []
-    free = lambda a, b: all(b <= x or y <= a for x, y, _ in found)
     at = text.find("@")
     while at >= 0:
         m = _DOMAIN.match(text, at + 1)
@@ -280,12 +290,16 @@ def find_personal(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", at + 1)
     first = _DIGIT.search(text)
     if first:
-        # Every number format has a digit near its start: look only at the stretches around digits.
+        # Every number format has a digit near its start: look only from a little before the first digit.
         start = max(0, first.start() - 70)
-        for kind, pattern, test in _FINDERS:
-            for m in pattern.finditer(text, start):
-                if test(m.group()) and free(m.start(), m.end()):
-                    found.append((m.start(), m.end(), kind))
+        # What is found is blanked out, so that a later format can't reach into it.
+        open_ = text
+        for kind, pattern, test in [("email", None, None), *_FINDERS]:
+            spans = list(found) if pattern is None else [x for m in pattern.finditer(open_, start) if (x := _longest(m, kind, test))]
+            if pattern is not None:
+                found += spans
+            for a, b, _ in spans:
+                open_ = open_[:a] + "\0" * (b - a) + open_[b:]
     return sorted(found)
 
 

@@ -46,6 +46,15 @@ def test_look_alikes_stay():
         assert ps.mask_text(f"see {text} here", MADE) == (f"see {text} here", [])
 
 
+def test_values_next_to_each_other():
+    text = "call +1 (826) 555-4081 190.137.223.204 or 4068516892505468 12 times, DE89370400440532013000 ABCD, +49 30 1234567 4068 5168 9250 5468 a@b.org"
+    masked, found = ps.mask_text(text, MADE)
+    assert [k for _, _, k in found] == ["phone", "ip", "card", "iban", "phone", "card", "email"]
+    for value in ("+1 (826) 555-4081", "190.137.223.204", "4068516892505468", "DE89370400440532013000", "1234567", "4068 5168 9250 5468", "a@b.org"):
+        assert value in text and value not in masked
+    assert " 12 times" in masked and " ABCD," in masked
+
+
 def test_dates_are_one_to_one():
     days = [f"{d:02d}/{m:02d}/{y}" for y, m, d in itertools.product((1999, 2000), range(1, 13), range(1, 29))]
     assert len({MADE.date(x) for x in days}) == len(days)
