@@ -12,6 +12,10 @@ places or more, in one document or in several. Rows for all windows would be man
 4. Contexts are dealt out by anchor and decided in blocks by the operator's own method. What it finds
    for a context holds for all places that have it, and goes back to the documents as stretches.
 
+An anchor with more than `hot` different contexts (a passage that very many documents share has them at its
+edges) would make one task large. The windows of such contexts are counted one by one instead, by two
+hashes of 64 bits each and with partial sums, so that no task needs the contexts of an anchor together.
+
 A document is named by the hash of its doc_id and text throughout; two rows that agree in both share the
 name and count as two places.
 """
@@ -37,6 +41,8 @@ _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 3 << 18
 #: Text of a batch that is held as separate objects at once.
 SLICE_BYTES = 4_000_000
+#: Different contexts of one anchor beyond which its windows are counted one by one.
+HOT = 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -340,18 +346,61 @@ def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
     return run
 
 
-def stretches(texts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray]) -> DataFrame:
+def _decided(contexts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray]) -> DataFrame:
+    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(releasing(_decide_rows(search, decide)), "g long, c long, low int, high int")
+
+
+def _window_rows(search: Search):
+    """Contexts of hot anchors -> two hashes of each of their windows, with its context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
+            u = search.cut(text_bytes(batch.column(5)))
+            one = window_hash(prefix_hash(u.hashes), search.window)
+            two = window_hash(prefix_hash(mix(u.hashes + _ODD)), search.window)
+            at = np.flatnonzero(u.owner[: len(one)] == u.owner[search.window - 1 :])
+            own = u.owner[at]
+            offset = at - u.first[own]
+            pick = pa.array(own)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(offset.astype(np.int32))],
+                names=["g", "c", "n", "one", "two", "at"],
+            )
+
+    return run
+
+
+def _count_windows(contexts: DataFrame, search: Search) -> DataFrame:
+    """(g, c, low, high) of the windows that have two places, for contexts of hot anchors.
+
+    A window of a document is in one context only, that of the anchor it chooses, so numbers are of places.
+    """
+    rows = contexts.mapInArrow(releasing(_window_rows(search)), "g long, c long, n long, one long, two long, at int")
+    often = rows.groupBy("one", "two").agg(F.sum("n").alias("n"))
+    often = often.where("n > 1").select("one", "two")
+    hit = rows.select("g", "c", "one", "two", "at").join(often, ["one", "two"], "left_semi")
+    return hit.select("g", "c", F.col("at").alias("low"), (F.col("at") + search.window).alias("high"))
+
+
+def stretches(texts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray], hot: int = HOT) -> DataFrame:
     """(rid, spans): for each document the unit ranges that repeated windows cover; texts is named()."""
     anchors = written(texts.select("rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(_anchor_rows(search)), "g long, c long, rid long, low int, lead int, starts int"))
-    often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    # As a table of its own the smaller side has its own exchange, so Spark can split frequent anchors.
+    often = written(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
     seen = written(anchors.join(often, "g", "left_semi"))
     dropped(anchors)
+    dropped(often)
     groups = seen.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "low", "lead", "starts")).alias("one"))
     asked = groups.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.low", "one.lead", "one.starts", "g", "c", "n")).alias("asked"))
     # The same exchange of texts by name serves this join and the one that applies the stretches.
     contexts = texts.join(asked, "rid").select("doc_id", "text", "rid", "asked")
     contexts = contexts.mapInArrow(releasing(_context_rows(search)), "g long, c long, n long, place long, lead int, body binary")
-    found = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(releasing(_decide_rows(search, decide)), "g long, c long, low int, high int")
+    found = _decided(contexts, search, decide)
+    crowded = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("g")
+    if not crowded.isEmpty():
+        crowded = written(crowded)
+        contexts = written(contexts)
+        found = _decided(contexts.join(crowded, "g", "left_anti"), search, decide).unionByName(_count_windows(contexts.join(crowded, "g", "left_semi"), search))
     placed = seen.select("g", "c", "rid", F.col("low").alias("at")).join(found, ["g", "c"]).select("rid", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")).alias("span"))
     return placed.groupBy("rid").agg(F.collect_set("span").alias("spans"))
 

@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Block, Search, Units, apply_stretches, cut_words, named, prefix_hash, stretches, window_hash
+from .repeats import HOT, Block, Search, Units, apply_stretches, cut_words, named, prefix_hash, stretches, window_hash
 
 WINDOW, FIRST = 35, 9
 SCHEMA = "n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -84,8 +84,8 @@ def _keep(text: bytes, spans: list[list[int]]) -> tuple[int, int, int, str, str]
     return len(words), len(words) - len(kept), len(spans), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, hot: int = HOT) -> DataFrame:
     """A row for each document: its number of words, how many went, and the text that stays."""
     texts = named(docs)
     search = Search(window, first, cut_words, 2 * window - 1)
-    return apply_stretches(texts, stretches(texts, search, doubling(first, window)), _keep, SCHEMA)
+    return apply_stretches(texts, stretches(texts, search, doubling(first, window), hot), _keep, SCHEMA)

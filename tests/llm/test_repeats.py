@@ -49,8 +49,8 @@ def key(x):
     return tuple(-1 if v is None else v for v in x)
 
 
-@pytest.mark.parametrize("block", [1 << 21, 3000])
-def test_words_match_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, hot", [(1 << 21, repeats.HOT), (3000, 5), (3000, 0)])
+def test_words_match_brute_force(spark, block, hot, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_UNITS", block)
     rows = shared_rows()
     units = [(r[1] or "").encode().split() for r in rows]
@@ -58,21 +58,21 @@ def test_words_match_brute_force(spark, block, monkeypatch):
     for r, u, flags in zip(rows, units, brute(units, 35)):
         kept = b" ".join(w for w, f in zip(u, flags) if not f)
         want.append(key((r[0], len(u), sum(flags), hashlib.sha256(kept).hexdigest())))
-    got = substring_dedup.remove_repeats(table(spark, rows)).collect()
+    got = substring_dedup.remove_repeats(table(spark, rows), hot=hot).collect()
     assert sorted(key((g.doc_id, g.n_words, g.n_removed, g.kept_sha256)) for g in got) == sorted(want)
     assert all(hashlib.sha256(g.kept_text.encode()).hexdigest() == g.kept_sha256 for g in got)
     assert sum(w[2] for w in want) > 2000
 
 
-@pytest.mark.parametrize("memory", [128 << 20, 20000])
-def test_bytes_match_brute_force(spark, memory):
+@pytest.mark.parametrize("memory, hot", [(128 << 20, repeats.HOT), (20000, 5)])
+def test_bytes_match_brute_force(spark, memory, hot):
     rows = [r for r in shared_rows() if len(r[1] or "") < 8000]
     units = [(r[1] or "").encode() for r in rows]
     want = []
     for r, u, flags in zip(rows, units, brute(units, 200)):
         kept = bytes(b for b, f in zip(u, flags) if not f)
         want.append(key((r[0], len(u), sum(flags), runs(flags), hashlib.sha256(kept).hexdigest())))
-    got = suffix_dedup.remove_repeats(table(spark, rows), memory=memory).collect()
+    got = suffix_dedup.remove_repeats(table(spark, rows), memory=memory, hot=hot).collect()
     assert sorted(key((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256)) for g in got) == sorted(want)
     assert sum(w[2] for w in want) > 5000
 
