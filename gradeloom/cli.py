@@ -33,13 +33,19 @@ def stored(spark: SparkSession, path: Path, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(str(path)) if path.exists() and any(path.rglob("*.parquet")) else empty(spark, schema)
 
 
+def kept(outcomes: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """The outcomes as a table, which a lost executor can't change."""
+    path = str(space.results / "outcomes" / name)
+    outcomes.write.mode("overwrite").parquet(path)
+    return outcomes.sparkSession.read.schema(outcomes.schema).parquet(path)
+
+
 def preprocess(spark: SparkSession, space: Workspace, reprocess: bool = False, rasterise=None, transcode=None) -> DataFrame:
     """Expand the week's archives into pages and write them with the summary; returns the outcomes."""
     have = stored(spark, space.pages, "student_id string, page_no int")
     found = archives.read_archives(spark, str(space.raw))
     outcomes, pages = archives.preprocess(found, have, reprocess, rasterise, transcode)
-    outcomes = outcomes.persist()  # decided before the pages that it looks at are written over
-    outcomes.count()
+    outcomes = kept(outcomes, space, "preprocess")  # decided before the pages that it looks at are written over
     files.write_pages(pages, str(space.pages))
     write_summary(outcomes.withColumn("line", decisions.preprocess_line(F.col("student_id"), F.col("detail"))), space, "preprocess_summary")
     return outcomes
@@ -59,8 +65,8 @@ def grade(spark: SparkSession, space: Workspace, subject: dict[str, str], answer
     scoring.with_failure_reports(scored).write.mode("overwrite").parquet(str(fresh))  # a call can't be repeated
     scored = spark.read.parquet(str(fresh))
     skipped = decided.where("action = 'skip'").select("student_id", F.lit("skipped").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
-    outcomes = scored.select("student_id", "status", "attempts", "error").unionByName(skipped).persist()
-    outcomes.count()
+    outcomes = scored.select("student_id", "status", "attempts", "error").unionByName(skipped)
+    outcomes = kept(outcomes, space, "grade")
     scored.select("student_id", "body").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("student_id").parquet(str(results / REPORTS))
     parsed = V.parse_reports(stored(spark, results / REPORTS, schema), "body", V.read_format(subject["output_format"]))
     parsed.select("student_id", files.payload_column(F.concat("student_id", F.lit(".txt"))).alias("payload")).write.mode("overwrite").parquet(str(results / PARSED))
