@@ -249,6 +249,8 @@ def component_names(prints: DataFrame, radius: int = RADIUS, tree_rows: int = TR
     roots = components(links, "a", "b").withColumnRenamed("node", "fp")
     named = values.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # With an exchange of its own for the join, Spark can split a component that has very many fingerprints.
+    names = names.repartition("component_id")
     return named.join(names, "root").select("fp", "component_id")
 
 
