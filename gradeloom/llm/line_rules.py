@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, WS_CLASS, words_of
+from .common import WS_CHARS, WS_CLASS
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -64,50 +64,53 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, F.lit(0)).otherwise(count).cast("long")
 
 
-def line_passes(line: Column) -> Column:
-    """The verdict on one line; lines without a word pass."""
-
-    def judge(core: Column) -> Column:
-        words = F.split(core, WS_CLASS)
-
-        def with_words(w: Column) -> Column:
-            n = F.size(w)
-            bars = F.size(F.filter(w, lambda x: x.isin("|", ">", "»")))
-            symbols = F.length(F.regexp_replace(core, r"[^#*$%&|<>]+", ""))
-            return ~(
-                (bars >= 3) & (bars * 4 >= n)
-                | (symbols >= 3) & (symbols * 12 > F.length(core))
-                | (n >= 8) & (F.size(F.array_distinct(w)) * 3 < n)
-                | (n <= 12) & core.rlike(BOILERPLATE)
-                | (n >= SENTENCE_WORDS) & ~core.rlike(CLOSED)
-            )
+def read_lines(text: Column) -> Column:
+    """The lines of a text, each with its words and its number of symbols; everything else follows from these."""
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(WS_CHARS)).alias("core")))
+    return F.transform(bare, lambda x: F.struct(
+        x["line"].alias("line"), x["core"].alias("core"),
+        F.when(x["core"] == "", F.array().cast("array<string>")).otherwise(F.split(x["core"], WS_CLASS)).alias("words"),
+        F.length(F.regexp_replace(x["core"], r"[^#*$%&|<>]+", "")).alias("symbols"),
+    ))
 
-        return (core == "") | _bound(words, with_words)
 
-    return _bound(F.btrim(line, F.lit(WS_CHARS)), judge)
+def line_passes(line: Column) -> Column:
+    """The verdict on one line as read_lines gives it; lines without a word pass."""
+    words, core, symbols = line["words"], line["core"], line["symbols"]
+    n = F.size(words)
+    bars = F.size(F.filter(words, lambda x: x.isin("|", ">", "»")))
+    return (n == 0) | ~(
+        (bars >= 3) & (bars * 4 >= n)
+        | (symbols >= 3) & (symbols * 12 > F.length(core))
+        | (n >= 8) & (F.size(F.array_distinct(words)) * 3 < n)
+        | (n <= 12) & core.rlike(BOILERPLATE)
+        | (n >= SENTENCE_WORDS) & ~core.rlike(CLOSED)
+    )
 
 
 def judge_documents(docs: DataFrame, text: str = "text", prefix: str = "", min_left: float = MIN_LEFT) -> DataFrame:
-    """All columns of docs and, under `prefix`, the counts, the verdicts and the cleaned text."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    p = lambda x: f"{prefix}{x}"
-    chars = lambda s: F.length(F.regexp_replace(s, WS_CLASS, ""))
-    out = docs.withColumn(p("words"), words_of(F.col(text))).withColumn(p("lines"), F.split(body, "\n", -1))
-    out = out.withColumn(p("left"), F.filter(p("lines"), line_passes))
-    out = out.withColumn(p("clean_text"), F.array_join(p("left"), "\n"))
-    full = F.filter(p("lines"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
+    """All columns of docs and, under `prefix`, the counts, the verdicts and the cleaned text.
+
+    Columns of docs that have a result's name are replaced; a prefix keeps them.
+    """
+    p, own = (lambda x: f"{prefix}{x}"), (lambda x: f"__own_{x}")
+    all_words = lambda lines: F.flatten(F.transform(lines, lambda x: x["words"]))
+    out = docs.withColumn(own("lines"), read_lines(F.col(text)))
+    out = out.withColumn(own("left"), F.filter(own("lines"), line_passes)).withColumn(own("words"), all_words(own("lines")))
+    full = F.transform(F.filter(own("lines"), lambda x: x["core"] != ""), lambda x: x["line"])
     out = out.withColumns({
-        p("n_words"): F.size(p("words")).cast("long"),
-        p("word_chars"): F.length(F.array_join(p("words"), "")).cast("long"),
-        p("n_symbols"): F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
+        p("clean_text"): F.array_join(F.transform(own("left"), lambda x: x["line"]), "\n"),
+        p("n_words"): F.size(own("words")).cast("long"),
+        p("word_chars"): F.length(F.array_join(own("words"), "")).cast("long"),
+        p("n_symbols"): F.aggregate(own("lines"), F.lit(0), lambda a, x: a + x["symbols"]).cast("long"),
         p("n_dup_lines"): _bound(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        p("n_repeat_words"): repeat_words(F.col(p("words"))),
-        p("left_chars"): chars(F.col(p("clean_text"))).cast("long"),
+        p("n_repeat_words"): repeat_words(F.col(own("words"))),
+        p("left_chars"): F.length(F.array_join(all_words(own("left")), "")).cast("long"),
     })
     failed = (F.col(p("n_words")) < MIN_WORDS) | (F.col(p("n_repeat_words")) * 100 > F.col(p("n_words")) * MAX_REPEAT_PERCENT)
     out = out.withColumn(p("base_failed"), failed)
     kept = ~F.col(p("base_failed")) & (F.col(p("left_chars")) >= F.col(p("word_chars")) * min_left)
-    return out.withColumn(p("kept"), kept).drop(p("words"), p("lines"), p("left"))
+    return out.withColumn(p("kept"), kept).drop(own("words"), own("lines"), own("left"))
 
 
 def clean_documents(docs: DataFrame, text: str = "text", min_left: float = MIN_LEFT) -> DataFrame:
