@@ -139,8 +139,9 @@ def queue_order(spark, sf_dir):
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY user_id, event_type) GROUP BY user_id""")
 def first_seen(spark, sf_dir):
     """Kinds of each user in the order in which they were first seen."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("all"))
-    return rows.select("user_id", F.array_join(F.array_distinct(F.transform("all", lambda x: x["event_type"])), ",").alias("kinds"))
+    kinds = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    rows = kinds.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("all"))
+    return rows.select("user_id", F.array_join(F.transform("all", lambda x: x["event_type"]), ",").alias("kinds"))
 
 
 @query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS place FROM events WHERE event_type NOT IN ('error', 'view')""")
