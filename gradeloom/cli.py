@@ -77,7 +77,7 @@ def grade(spark: SparkSession, space: Workspace, subject: dict[str, str], answer
 def write_summary(outcomes: DataFrame, space: Workspace, name: str) -> None:
     rows = outcomes.withColumn("week", F.lit(space.week))
     summary = decisions.summary_text(rows, "week", "student_id", "status", F.col("line"))
-    none = outcomes.sparkSession.createDataFrame([(f"周目录：{space.week}\n总学生数：0\n成功数：0\n失败数：0\n跳过数：0\n失败学生列表：\n{decisions.NONE_LINE}\n",)], "summary string")
+    none = outcomes.sparkSession.createDataFrame([("\n".join([*(f"{k}：{v}" for k, v in zip(decisions.SUMMARY_LABELS, (space.week, 0, 0, 0, 0), strict=True)), f"{decisions.FAILED_STUDENTS}：", decisions.NONE_LINE, ""]),)], "summary string")
     files.write_summary(none if outcomes.isEmpty() else summary, str(space.results / SUMMARY / name))
 
 

@@ -11,6 +11,9 @@ from gradeloom.functions.verdicts import NEEDS_REVIEW
 NO_DETAIL, NONE_LINE = "处理失败", "- 无"
 NO_INPUT = "未识别到可处理的 PDF 或图片文件"
 NO_PAGES = "未找到符合 page_*.png 的标准化图片"
+SUMMARY_LABELS = ("周目录", "总学生数", "成功数", "失败数", "跳过数")
+FAILED_STUDENTS = "失败学生列表"
+NOT_RUN, RUNNING, SUCCEEDED, FAILED = "未运行", "运行中", "成功", "失败"
 
 
 def grading_action(result: Column, regrade: bool = False) -> Column:
@@ -68,10 +71,8 @@ def summary_text(outcomes: DataFrame, week: str, student: str, status: str, line
     one = outcomes.groupBy(week).agg(*status_counts(F.col(status)), lines.alias("__lines"))
     shown = F.when(F.size("__lines") == 0, F.lit(NONE_LINE)).otherwise(F.array_join(F.transform("__lines", lambda x: x["line"]), "\n"))
     text = F.concat_ws("\n", *(
-        F.concat(F.lit(f"{label}："), value) for label, value in (
-            ("周目录", F.col(week)), ("总学生数", F.col("total").cast("string")), ("成功数", F.col("succeeded").cast("string")),
-            ("失败数", F.col("failed").cast("string")), ("跳过数", F.col("skipped").cast("string")))
-    ), F.lit("失败学生列表："), shown)
+        F.concat(F.lit(f"{label}："), F.col(value).cast("string")) for label, value in zip(SUMMARY_LABELS, (week, "total", "succeeded", "failed", "skipped"), strict=True)
+    ), F.lit(f"{FAILED_STUDENTS}："), shown)
     return one.select(week, F.concat(text, F.lit("\n")).alias("summary"))
 
 
@@ -98,7 +99,7 @@ def first_missing(required: list[str]) -> Column:
 def task_label(status: Column, error: Column, code: Column) -> Column:
     """What is shown for a task: not run, running, success, or failed with its cause."""
     cause = F.coalesce(F.nullif(error, F.lit("")), F.concat(F.lit("exit "), code.cast("string")), F.lit("unknown"))
-    return F.when(status.isNull(), F.lit("未运行")).when(status == "running", F.lit("运行中")).when(status == "success", F.lit("成功")).otherwise(F.concat(F.lit("失败（"), cause, F.lit("）")))
+    return F.when(status.isNull(), F.lit(NOT_RUN)).when(status == "running", F.lit(RUNNING)).when(status == "success", F.lit(SUCCEEDED)).otherwise(F.concat(F.lit(f"{FAILED}（"), cause, F.lit("）")))
 
 
 def status_flags(status: Column) -> list[Column]:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as T
 from gradeloom.functions import verdicts as V
+from gradeloom.operators.decisions import NO_PAGES
 
 MAX_ATTEMPTS = 2
+#: Texts of failed gradings.
+CALL_FAILED, NO_SCORE, TRY_AGAIN = "判卷脚本调用失败，需人工复核", "评分失败", "请检查该学生图片目录和接口状态后重试。"
 SCHEMA = "student_id string, status string, attempts int, error string, body string"
 #: Called with a prompt and the pages as data addresses; gives parts of the answer as they come.
 Client = Callable[[str, list[str]], Iterator[str]]
@@ -40,7 +43,7 @@ def score(students: DataFrame, client: Callable[[], Client], attempts: int = MAX
             for r in part.itertuples(index=False):
                 pages = [] if r.pages is None else list(r.pages)
                 if not pages:
-                    rows.append((r.student_id, "failed", 1, "未找到符合 page_*.png 的标准化图片", None))
+                    rows.append((r.student_id, "failed", 1, NO_PAGES, None))
                     continue
                 error, body = None, ""
                 for n in range(1, attempts + 1):
@@ -60,7 +63,7 @@ def score(students: DataFrame, client: Callable[[], Client], attempts: int = MAX
 
 def with_failure_reports(scored: DataFrame) -> DataFrame:
     """Failed students get the report that says so, which makes the next run try them again."""
-    report = V.failure_report(F.col("student_id"), F.lit("判卷脚本调用失败，需人工复核"), F.array(F.coalesce("error", F.lit("评分失败"))), F.array(F.lit("请检查该学生图片目录和接口状态后重试。")))
+    report = V.failure_report(F.col("student_id"), F.lit(CALL_FAILED), F.array(F.coalesce("error", F.lit(NO_SCORE))), F.array(F.lit(TRY_AGAIN)))
     return scored.withColumn("body", F.when(F.col("status") == "success", F.col("body")).otherwise(report))
 
 

@@ -15,6 +15,8 @@ from gradeloom.functions import text as T
 
 #: Bounds on what one archive may hold; the rest of it is reported as an error and not read.
 MAX_DEPTH, MAX_FILES, MAX_BYTES = 16, 10_000, 2 << 30
+#: Fixed value: the text of a PDF that gives no page.
+PDF_FAILED = "PDF 转图失败"
 CANDIDATE_SCHEMA = "student_id string, pos int, relative_name string, kind string, data binary, error string"
 PAGE_SCHEMA = "student_id string, pos int, page int, content binary, error string"
 
@@ -84,7 +86,7 @@ def to_pages(files: DataFrame, rasterise: Callable[[bytes], list[bytes]] | None
                 try:
                     made = pdf(bytes(r.data)) if r.kind == "pdf" else [png(bytes(r.data))]
                     if not made:
-                        raise RuntimeError(f"PDF 转图失败：{r.relative_name}")
+                        raise RuntimeError(f"{PDF_FAILED}：{r.relative_name}")
                     rows += [(r.student_id, r.pos, i, d, None) for i, d in enumerate(made)]
                 except Exception as e:
                     rows.append((r.student_id, r.pos, 0, None, str(e)))
