@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import line_rules, mixing, packing, pseudonyms, simhash
+from gradeloom.llm import line_rules, mixing, packing, pseudonyms, similar
 from gradeloom.llm.common import checkpointed, read_documents
 
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies, by the similarity of their 5-word shingles, stays."""
+    return similar.drop_similar(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
