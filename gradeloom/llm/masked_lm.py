@@ -8,8 +8,8 @@ distribution over all slots. A document's score is the sum of the log-probabilit
 
 Everything comes from the whole corpus. Token counts are summed over all documents. Each training round
 reads all documents: a task steps through its documents from the round's parameters, at every `EVERY`th
-place of each text, a fixed share that grows with the input, and the tasks' results are averaged by
-their numbers of tokens in two stages, so no task gathers more than about the square root of all
+place of each text, and the rounds go through all remainders, so that every place of every text is predicted
+in exactly one round; the tasks' results are averaged by their numbers of tokens in two stages, so no task gathers more than about the square root of all
 results. Only counts and parameters, of a fixed size, reach the driver.
 
 Cases: a null, empty or blank text has no tokens, score 0 and no mean; a single word has only padding at its
@@ -32,7 +32,9 @@ from .common import slices, text_bytes
 from .repeats import cut_words, mix
 
 TOKENS, CLASSES, INPUTS, WIDTH, REACH = 1 << 16, 128, 4096, 24, 3
-EVERY, ROUNDS, BATCH, RATE = 6, 2, 4096, 0.05
+#: As many rounds as there are remainders, so that all places train.
+EVERY = ROUNDS = 2
+BATCH, RATE = 4096, 0.05
 PAD = INPUTS  # the embedding beyond a text's ends
 BLOCK = 1024  # parameters a row
 SCHEMA = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"

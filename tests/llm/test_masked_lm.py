@@ -93,3 +93,31 @@ def test_every_document_is_gathered_from(spark):
     rng.shuffle(rows)
     assert lm.count_tokens(table(spark, rows)).sum() == 4000
     assert lm.grade_documents(table(spark, [])).count() == 0
+
+
+def test_every_place_trains(spark, monkeypatch):
+    trained = []
+    train_round = lm.train_round
+
+    def seen(docs, net, number, every=lm.EVERY):
+        trained.append((number, every))
+        return train_round(docs, net, number, every)
+
+    monkeypatch.setattr(lm, "train_round", seen)
+    docs = table(spark, [(1, "one two three four five six seven eight", "", "", 0, None, None, None), (2, "short text", "", "", 0, None, None, None)])
+    lm.grade_documents(docs)
+    assert [sum((place + number) % every == 0 for number, every in trained) for place in range(60)] == [1] * 60
+
+
+def test_columns_of_short_periods_are_learnt_with_the_defaults(spark):
+    rng = random.Random(3)
+    texts = []
+    for i in range(300):
+        keys = [rng.randrange(6) for _ in range(60)]
+        texts.append(" ".join(w for k in keys for w in (f"key{k}", "is", f"val{k}", "and", f"more{k}", "end")))
+    model = lm.fit(table(spark, [(i, t, "", "", 0, None, None, None) for i, t in enumerate(texts)]))
+    slots, first = lm.token_slots([texts[0].encode()])
+    counts = np.bincount(lm.token_slots([t.encode() for t in texts])[0], minlength=lm.TOKENS)
+    better = lm.score_slots(model, slots, first) - np.log(counts[slots] / counts.sum())
+    for column in range(6):
+        assert better[column::6].mean() > 0  # than from the corpus counts alone
