@@ -76,3 +76,12 @@ def test_groups_are_exact():
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     assert got == label
+
+
+def test_rows_are_told_apart_by_doc_id_and_text(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    row = lambda i, t: (i, t, "en", "s", 0, None, None, None)
+    rows = [row(1, a), row(1, b), row(2, b + " more"), row(None, c), row(None, c), row(None, c + " more"), row(None, a), row(3, d), row(3, d)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text.removesuffix(" more")) for r in corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect())
+    assert got == sorted([(False, 1, a), (False, 1, b), (False, 3, d), (True, 0, c)])
