@@ -8,11 +8,14 @@ different, and the key's owner can turn a pseudonym back. Values are validated f
 * card: 13 to 19 digits with an issuer's prefix and a right check digit; the new check digit is right;
 * iban: right country length class and mod-97 remainder; the new check digits are right;
 * ssn: ddd-dd-dddd in the ranges that are given out, as a group of three and joined digits;
-* phone: +c (aaa) nnn-nnnn and the like with 7 to 15 digits in groups; the country code stays;
+* phone: +c (aaa) nnn-nnnn and the like with 7 to 15 digits in groups; the country code stays; without one also
+  aaa nnn nnnn, with an area code that doesn't start with 0 or 1;
 * ip: four octets; email: letters and digits of the address but for the last two labels of its domain;
-* date: a valid day from 1900 to 2099, year first or last, which becomes another such day;
+* date: a valid day from 1900 to 2099, year first or last, which becomes another such day; also with one-digit
+  days and months, with years of two digits (of 2000 to 2099) and with English month names;
 * secret: 32 to 64 hexadecimal digits with letters and digits among them.
 
+A match that fails its test is tried up to each earlier group, then from each later one.
 A pseudonym that equals its value is walked on from, so no value stays in the text.
 
 Cases: a null text stays null with no finds; an empty one stays empty; repeated rows repeat, ties do not
@@ -26,7 +29,9 @@ import datetime
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +164,11 @@ class Pseudonyms:
     def phone(self, text: str, back: bool = False) -> str:
         m = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
         head = m.group() if m else ""
+        if _BLANK_PHONE.fullmatch(text):
+            while True:  # the area code's first digit is walked into its range
+                text = self.digits("phone: ", text, back)
+                if is_phone(text):
+                    return text
         return head + self.digits("phone", text[len(head) :], back)
 
     def ip(self, text: str, back: bool = False) -> str:
@@ -170,6 +180,12 @@ class Pseudonyms:
         return self.characters("email", text[: m.start()], back) + m.group()
 
     def date(self, text: str, back: bool = False) -> str:
+        loose = read_loose_date(text)
+        if loose:
+            shape, day, write = loose
+            days = _days_of(shape)
+            x = self.permute(f"date:{shape}", len(days), int(np.searchsorted(days, day)), back)
+            return write(datetime.date.fromordinal(int(days[x])))
         order, day, mark = read_date(text)
         first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
         n = last - first + 1
@@ -224,6 +240,83 @@ def read_date(text: str) -> tuple[str, datetime.date, str] | None:
     return None
 
 
+_MONTHS = "january february march april may june july august september october november december".split()
+#: Short names; May has no other, so it counts as a long one only.
+_SHORT = {name[:3]: i for i, name in enumerate(_MONTHS, 1) if i != 5} | {"sept": 9}
+_NAME = "|".join([*_MONTHS, "sept", *(x for x in _SHORT if x != "sept")])
+_NAMED_DATE = re.compile(
+    rf"(?P<d1>[0-9]{{1,2}})(?P<o1>st|nd|rd|th)?(?P<s1>[ -]|\ of\ )(?P<m1>{_NAME})(?P<s2>\.?,?[ -])(?P<y1>[0-9]{{4}})"
+    rf"|(?P<m2>{_NAME})(?P<s3>\.?[ ])(?P<d2>[0-9]{{1,2}})(?P<o2>st|nd|rd|th)?(?P<s4>,?[ ])(?P<y2>[0-9]{{4}})", re.IGNORECASE | re.ASCII)
+_NUMBER_DATE = re.compile(r"([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})")
+
+
+@lru_cache(64)
+def _days_of(shape: tuple) -> np.ndarray:
+    """Ordinals of all days that are written in a shape: widths of day and month, months, century, and, for
+    numbers, whether the day is over 12."""
+    day_width, month_width, months, century, wide = shape
+    first = datetime.date(2000 if century else 1900, 1, 1)
+    stamps = np.arange(np.datetime64(first), np.datetime64("2100-01-01"))
+    month = stamps.astype("datetime64[M]").astype(np.int64) % 12 + 1
+    day = (stamps - stamps.astype("datetime64[M]")).astype(np.int64) + 1
+    good = np.isin(month, months) & ((day_width == 2) | (day < 10)) & ((month_width == 2) | (month < 10))
+    if wide is not None:
+        good &= (day > 12) == wide
+    return np.flatnonzero(good) + first.toordinal()
+
+
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
+def read_loose_date(text: str) -> tuple[tuple, int, Callable[[datetime.date], str]] | None:
+    """Shape, ordinal and writer of a date with short numbers, a short year or a month's name."""
+    m = _NUMBER_DATE.fullmatch(text)
+    if m:
+        a, mark, b, year = m[1], m[2], m[3], m[4]
+        if len(a) == len(b) == 2 and len(year) == 4:
+            return None  # read_date has these
+        for first, (d, mo) in ((True, (a, b)), (False, (b, a))):  # day first where both readings are right
+            shape = (len(d), len(mo), tuple(range(1, 13)), len(year) == 2, int(d) > 12)
+
+            def write(x: datetime.date, first=first, d=d, mo=mo) -> str:
+                one, two = f"{x.day:0{len(d)}d}", f"{x.month:0{len(mo)}d}"
+                one, two = (one, two) if first else (two, one)
+                return f"{one}{mark}{two}{mark}" + (f"{x.year:04d}" if len(year) == 4 else f"{x.year % 100:02d}")
+
+            out = _checked(shape, int(year) + 2000 * (len(year) == 2), int(mo), int(d), write)
+            if out:
+                return out
+        return None
+    m = _NAMED_DATE.fullmatch(text)
+    if not m:
+        return None
+    k = "1" if m["d1"] else "2"
+    name, d, suffix, year = m["m" + k], m["d" + k], m["o" + k] or "", m["y" + k]
+    low = name.lower()
+    style = str.upper if name.isupper() else str.lower if name.islower() else str.title
+    months = tuple(range(1, 13)) if low in _MONTHS else (9,) if low == "sept" else tuple(x for x in range(1, 13) if x != 5)
+    number = _MONTHS.index(low) + 1 if low in _MONTHS else _SHORT[low]
+
+    def spell(x: datetime.date) -> str:
+        new = style(_MONTHS[x.month - 1] if low in _MONTHS else "sept" if low == "sept" else _MONTHS[x.month - 1][:3])
+        own = f"{x.day:0{len(d)}d}"
+        end = (_ordinal(x.day).upper() if suffix.isupper() else _ordinal(x.day)) if suffix else ""
+        if k == "1":
+            return f"{own}{end}{m['s1']}{new}{m['s2']}{x.year:04d}"
+        return f"{new}{m['s3']}{own}{end}{m['s4']}{x.year:04d}"
+
+    return _checked((len(d), 2, months, False, None), int(year), number, int(d), spell)
+
+
+def _checked(shape: tuple, year: int, month: int, day: int, write: Callable[[datetime.date], str]) -> tuple | None:
+    try:
+        found = datetime.date(year, month, day)
+    except ValueError:
+        return None
+    return (shape, found.toordinal(), write) if 1900 <= year <= 2099 else None
+
+
 def is_secret(text: str) -> bool:
     return any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
 
@@ -243,7 +336,12 @@ def is_iban(text: str) -> bool:
     return 15 <= len(own) <= 34 and iban_remainder(own) == 1
 
 
+_BLANK_PHONE = re.compile(r"[0-9]{3} [0-9]{3} [0-9]{4}")
+
+
 def is_phone(text: str) -> bool:
+    if _BLANK_PHONE.fullmatch(text) and text[0] in "01":
+        return False
     return 7 <= sum(c.isdigit() for c in text) <= 15
 
 
@@ -257,10 +355,12 @@ _FINDERS: tuple[tuple[str, re.Pattern, Callable[[str], bool]], ...] = (
     ("secret", re.compile(_EDGE + r"(?=[0-9a-fA-F]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})" + _END), is_secret),
     ("iban", re.compile(_EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _END), is_iban),
     ("date", re.compile(_EDGE + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})" + _END), lambda x: read_date(x) is not None),
+    ("date", re.compile(rf"{_EDGE}(?<![0-9][-/.])(?:[0-9]{{1,2}}/[0-9]{{1,2}}/(?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{1,2}}([-.])[0-9]{{1,2}}\1[0-9]{{4}}|[0-9]{{2}}([-.])[0-9]{{2}}\2[0-9]{{2}}){_END}(?![-/.][0-9])"), lambda x: read_loose_date(x) is not None),
+    ("date", re.compile(rf"{_EDGE}(?:[0-9]{{1,2}}(?:st|nd|rd|th)?(?:[ -]|\ of\ )(?:{_NAME})\.?,?[ -][0-9]{{4}}|(?:{_NAME})\.?\ [0-9]{{1,2}}(?:st|nd|rd|th)?,?\ [0-9]{{4}}){_END}", re.IGNORECASE | re.ASCII), lambda x: read_loose_date(x) is not None),
     ("ssn", re.compile(_EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END), is_ssn),
     ("ip", re.compile(r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|\.[0-9])"), is_ip),
     ("card", re.compile(_EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _END), is_card),
-    ("phone", re.compile(r"(?<![0-9A-Za-z_+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})" + _END), is_phone),
+    ("phone", re.compile(r"(?<![0-9A-Za-z_+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{4})" + _END), is_phone),
 )
 _LOCAL = re.compile(r"[^\s@<>()\[\]{},;:\"'|\\/=]+$")
 _DOMAIN = re.compile(r"[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?(?:\.[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?)*\.[A-Za-z]{2,24}(?![0-9A-Za-z_])")
@@ -278,6 +378,21 @@ def _longest(m: re.Match, kind: str, test: Callable[[str], bool]) -> tuple[int,
     return m.start(), m.start() + len(value), kind
 
 
+_GROUP = re.compile(r"[ .-]")
+
+
+def _spans(pattern: re.Pattern, text: str, at: int, kind: str, test: Callable[[str], bool]) -> Iterator[tuple[int, int, str]]:
+    """Valid matches; after one that fails the search goes on from its next group."""
+    while m := pattern.search(text, at):
+        found = _longest(m, kind, test)
+        if found:
+            yield found
+            at = found[1]
+        else:
+            cut = _GROUP.search(text, m.start() + 1, m.end())
+            at = cut.end() if cut else m.end()
+
+
 def find_personal(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of validated values, without overlaps, in the order of the text."""
     found: list[tuple[int, int, str]] = []
@@ -295,7 +410,7 @@ def find_personal(text: str) -> list[tuple[int, int, str]]:
         # What is found is blanked out, so that a later format can't reach into it.
         open_ = text
         for kind, pattern, test in [("email", None, None), *_FINDERS]:
-            spans = list(found) if pattern is None else [x for m in pattern.finditer(open_, start) if (x := _longest(m, kind, test))]
+            spans = list(found) if pattern is None else list(_spans(pattern, open_, start, kind, test))
             if pattern is not None:
                 found += spans
             for a, b, _ in spans:

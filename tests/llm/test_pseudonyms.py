@@ -70,3 +70,23 @@ def test_table(spark):
     assert got[801].text == card and got[800].text.endswith(card) and got[800]["size"] == 3
     assert sum(r.text is None for r in out.collect()) == 2
     assert ps.mask_documents(table(spark, [])).count() == 0
+
+
+def test_short_and_named_dates_blank_phones_and_later_groups():
+    for kind, text in [("date", x) for x in ("3/7/2021", "03/07/21", "31/12/99", "12/31/99", "3.7.2021", "7 March 2021", "March 7, 2021", "7th Mar 2021", "MAY 17, 1999", "29 February 2004", "03-07-21", "9 Sept. 2020")] + [("phone", "555 123 4567")]:
+        new = getattr(MADE, kind)(text)
+        assert new != text and getattr(MADE, kind)(new, True) == text, (text, new)
+        masked, found = ps.mask_text(f"on {text} here", MADE)
+        assert [k for _, _, k in found] == [kind] and masked == f"on {new} here"
+        assert [k for _, _, k in ps.find_personal(new)] == [kind], new
+    masked, found = ps.mask_text("ref 0000 4111 1111 1111 1111 end", MADE)
+    assert [k for _, _, k in found] == ["card"] and masked.startswith("ref 0000 4") and "4111 1111" not in masked
+    for text in ("31/31/21", "30 February 2020", "7 Smarch 2021", "1.2.34", "1/2/2021/4", "155 123 4567", "march 2021"):
+        assert ps.find_personal(f"see {text} here") == [], text
+
+
+def test_short_dates_are_one_to_one():
+    days = [f"{d}/{m}/{y}" for y in range(1990, 2010) for m in range(1, 10) for d in range(1, 29)]
+    named = [f"{d} {m} {y}" for y in (1999, 2000) for m in ("Jan", "Mar", "March", "May", "Sept", "Sep") for d in range(1, 29)]
+    assert len({MADE.date(x) for x in days + named}) == len(days + named)
+    assert all(MADE.date(MADE.date(x), True) == x for x in named)
