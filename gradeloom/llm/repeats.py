@@ -5,28 +5,35 @@ places or more, in one document or in several. Rows for all windows would be man
 
 1. Anchors. In every window the part of `anchor` units with the least hash is chosen, the first of equals. The
    choice depends on the window's content alone, so equal windows choose equal anchors at the same
-   offset: no repeat is lost, while only about 2 in (window - anchor + 2) positions are anchors.
+   offset: no repeat is lost, while only about 2 in (window - anchor + 2) positions are anchors. Parts
+   that merely hash alike cost work and change nothing.
 2. Anchors that occur once are dropped, counted with partial sums over all documents.
 3. The context of an anchor is what the windows that choose it hold. Equal contexts are collapsed before
-   any text moves: one stands for all, with their number, so a group of copies costs one context.
-4. Contexts are dealt out by anchor and decided in blocks by the operator's own method. What it finds
-   for a context holds for all places that have it, and goes back to the documents as stretches.
+   any text moves: one stands for all, with their number, so a group of copies costs one context. They are
+   known by 128 bits of a hash of what they hold.
+4. Contexts are dealt out by anchor and decided in blocks by the operator's own method, on what they hold
+   and not on hashes. What it finds for a context holds for all places that have it, and goes back to the
+   documents as stretches.
 
 An anchor with more than `hot` different contexts (a passage that very many documents share has them at its
-edges) would make one task large. The windows of such contexts are counted one by one instead, by two
-hashes of 64 bits each and with partial sums, so that no task needs the contexts of an anchor together.
+edges) would make one task large. Such an anchor is split by the units beside it: a window that holds the anchor has
+r units to its right, so it's dealt to one of `WAYS` ranges of r, and there by the units that all windows of the
+range hold (so many to the left, so many to the right). What is still hot is split again; at single values
+of r the units are the whole window, so equal ones are one. The operator's method decides all of them.
 
-A document is named by the hash of its doc_id and text throughout; two rows that agree in both share the
-name and count as two places.
+A document is named by 128 bits of hashes of its doc_id and text throughout; two rows that agree in both
+share the name and count as two places. A very long text is read in pieces that overlap.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +44,14 @@ _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Enough for the places in a text; the rest of a hash orders parts.
 _PLACE_BITS = 31
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-#: Units that are hashed in one go, and context units that are decided in one block.
-CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 3 << 18
-#: Text of a batch that is held as separate objects at once.
-SLICE_BYTES = 4_000_000
-#: Different contexts of one anchor beyond which its windows are counted one by one.
-HOT = 100_000
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are hashed in one go, and context bytes that are decided in one block.
+CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 3 << 19
+#: Text of a batch that is held as separate objects at once, and of a long text that is read at once.
+SLICE_BYTES, PIECE_BYTES = 4_000_000, 4_000_000
+#: Different contexts of one anchor beyond which they are split by the units beside it, and into how many ranges.
+HOT, WAYS = 1000, 4
+#: Bytes of a word that are hashed in columns; longer words are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,12 +102,15 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 @dataclass
 class Units:
-    """Texts cut into units: their hashes, and where they lie."""
+    """Texts cut into units: their hashes, and where they lie.
+
+    joined holds the units as they are, words with one blank between, so equal ranges of units are equal bytes.
+    """
 
     hashes: np.ndarray
     owner: np.ndarray  # text of each unit
     first: np.ndarray  # number of each text's first unit, and one more for the end
-    starts: np.ndarray  # byte at which a unit starts, in the joined texts
+    starts: np.ndarray  # byte at which a unit starts, in joined
     ends: np.ndarray
     joined: bytes
 
@@ -112,32 +122,124 @@ def cut_bytes(texts: list[bytes]) -> Units:
     return Units(_BYTE_HASH[np.frombuffer(joined, np.uint8)], np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first)), first, at, at + 1, joined)
 
 
+def word_hashes(joined: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word; eight bytes at a time are mixed in, so no pattern of letters cancels out."""
+    eight = np.ndarray((len(joined) + 1,), "<u8", joined + b"\0" * 8, strides=(1,))
+
+    def part(items: np.ndarray, at: int) -> np.ndarray:
+        left = np.minimum(sizes[items] - at, 8).astype(np.uint64)
+        keep = np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left)
+        return eight[starts[items] + at] & keep
+
+    out = mix(part(slice(None), 0) ^ sizes.astype(np.uint64) * _ODD) if len(starts) else np.zeros(0, np.uint64)
+    items, at = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD)), 8
+    while len(items):
+        out[items] = mix(out[items] * _ODD ^ part(items, at))
+        at += 8
+        items = items[sizes[items] > at]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : starts[i] + sizes[i]])
+    return out
+
+
+def units_of_words(words: list[bytes], first: np.ndarray) -> Units:
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    return Units(word_hashes(joined, ends - sizes, sizes), np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first)), first, ends - sizes, ends, joined)
+
+
 def cut_words(texts: list[bytes]) -> Units:
-    joined = b" ".join(texts)
-    raw = np.frombuffer(joined + b" ", np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    prefix = prefix_hash(_BYTE_HASH[raw])
-    hashes = mix(range_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
-    first = np.searchsorted(starts, bounds)
-    return Units(hashes, np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first)), first, starts, ends, joined)
+    words: list[bytes] = []
+    first = [0]
+    for t in texts:
+        words += t.split()
+        first.append(len(words))
+    return units_of_words(words, np.array(first))
+
+
+def _bytes_at_a_time(text: bytes, size: int) -> Iterator[bytes]:
+    for a in range(0, len(text), size):
+        yield text[a : a + size]
+
+
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def words_at_a_time(text: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, those of about `size` bytes at once."""
+    at = 0
+    while at < len(text):
+        m = _GAP.search(text, min(at + size, len(text)))
+        end = m.end() if m else len(text)
+        yield text[at:end].split()
+        at = end
 
 
 @dataclass(frozen=True)
 class Search:
-    """What is looked for: windows of `window` units cut by `cut`, chosen by anchors of `anchor` units."""
+    """What is looked for: windows of `window` units chosen by anchors of `anchor` units; units are words or bytes."""
 
     window: int
     anchor: int
-    cut: Callable[[list[bytes]], Units]
-    least_bytes: int  # a text with fewer bytes has no window
+    words: bool
+    piece: int = PIECE_BYTES
+
+    @property
+    def least_bytes(self) -> int:
+        """A text with fewer bytes has no window."""
+        return 2 * self.window - 1 if self.words else self.window
+
+    def cut(self, texts: list[bytes]) -> Units:
+        return cut_words(texts) if self.words else cut_bytes(texts)
+
+    def pieces(self, text: bytes) -> Iterator[tuple[int, int, Units]]:
+        """A long text in pieces: (number of the first unit, windows that start in it, its units).
+
+        A piece goes on into the next ones by a window less one unit, so each window is whole in one piece.
+        """
+        more = self.window - 1
+        parts = words_at_a_time(text, self.piece) if self.words else _bytes_at_a_time(text, self.piece)
+        held, at = next(parts, b""), 0
+        for part in parts:
+            if len(part) < more:
+                held += part
+                continue
+            whole = held + part[:more]
+            yield at, len(held), self._units(whole)
+            at += len(held)
+            held = part
+        if len(held) > more:
+            yield at, len(held) - more, self._units(held)
+
+    def _units(self, whole) -> Units:
+        return units_of_words(whole, np.array([0, len(whole)])) if self.words else cut_bytes([whole])
+
+    def read(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Units]]:
+        """(texts, number of each one's first unit here, windows that start in each, units) of the texts that can
+        hold a window: short ones in groups of about CHUNK_UNITS bytes, a long one in pieces."""
+        held, size = [], 0
 
-    def anchors(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """For each anchor: its hash, its context's hash, its text, the unit (in its text) at which the context
-        starts, how far in the anchor stands, and how many windows the context holds."""
-        u = self.cut(texts)
+        def group() -> tuple[np.ndarray, np.ndarray, np.ndarray, Units]:
+            u = self.cut([texts[j] for j in held])
+            return np.array(held), np.zeros(len(held), np.int64), np.maximum(np.diff(u.first) - self.window + 1, 0), u
+
+        for i, t in enumerate(texts):
+            if len(t) > self.piece:
+                for at, n, u in self.pieces(t):
+                    yield np.array([i]), np.array([at]), np.array([n]), u
+            elif len(t) >= self.least_bytes:
+                held.append(i)
+                size += len(t)
+                if size >= CHUNK_UNITS:
+                    yield group()
+                    held, size = [], 0
+        if held:
+            yield group()
+
+    def anchors(self, u: Units, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each anchor: its hash, its context (first unit, one behind the last), its text, how far in the
+        anchor stands, and how many windows the context holds. windows: how many start in each text."""
         w, k = self.window, self.anchor
         if len(u.hashes) < w:
             return tuple(np.zeros(0, np.int64) for _ in range(6))
@@ -147,30 +249,15 @@ class Search:
         # The upper bits order parts, the lower ones name the place: the least is the first of the least.
         placed = part >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS) | np.arange(len(part), dtype=np.uint64)
         chosen = (_sliding(placed, span, np.minimum) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        chosen[u.owner[: len(chosen)] != u.owner[w - 1 :]] = -1  # not within one text
+        own = u.owner[: len(chosen)]
+        chosen[np.arange(len(chosen)) - u.first[own] >= windows[own]] = -1  # not within one text, or another piece's
         # The windows that choose an anchor are neighbours.
         low = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         starts = np.diff(np.append(low, len(chosen)))
         some = chosen[low] >= 0
         low, starts = low[some], starts[some]
         at = chosen[low]
-        lead, own = at - low, u.owner[low]
-        shape = lead.astype(np.uint64) * np.uint64(2 * w) + starts.astype(np.uint64)
-        context = mix(range_hash(prefix, low, low + starts + w - 1) + shape * _ODD)
-        return part[at], context, own, low - u.first[own], lead, starts
-
-    def chunks(self, texts: list[bytes]) -> Iterator[list[int]]:
-        """Numbers of the texts that can hold a window, in groups of about CHUNK_UNITS bytes."""
-        held, size = [], 0
-        for i, t in enumerate(texts):
-            if len(t) >= self.least_bytes:
-                held.append(i)
-                size += len(t)
-                if size >= CHUNK_UNITS:
-                    yield held
-                    held, size = [], 0
-        if held:
-            yield held
+        return part[at], low, low + starts + w - 1, u.owner[low], at - low, starts
 
 
 @dataclass
@@ -231,60 +318,75 @@ def _trimmed(search: Search, u: Units, group: np.ndarray, before: np.ndarray, co
     r, lft = side(at + k, 1, right), side(at - 1, -1, left)
     use = np.flatnonzero(lft + k + r >= w)
     low, high = (at - lft)[use], (at + k + r)[use]
-    prefix = prefix_hash(u.hashes)
-    sides = lft[use].astype(np.uint64) * np.uint64(2 * w) + r[use].astype(np.uint64)
-    _, twin = np.unique(mix(range_hash(prefix, low, high) + sides * _ODD), return_inverse=True)
-    return use, low, high, twin
+    table: dict[tuple[int, bytes], int] = {}
+    begin, end = u.starts[low].tolist(), u.ends[high - 1].tolist()
+    twin = [table.setdefault((n, u.joined[x:y]), len(table)) for n, x, y in zip(lft[use].tolist(), begin, end, strict=True)]
+    return use, low, high, np.array(twin, np.int64)
 
 
 def named(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    """doc_id, text and the two halves of the row's name."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.lit(1), "text", "doc_id").alias("rie"))
+
+
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))
+
+
+def _digests(joined: bytes, begin: np.ndarray, end: np.ndarray, shape: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """128 bits of hash for each range of bytes with its shape, in two columns."""
+    digest, view = xxhash.xxh3_128_digest, memoryview(joined)
+    return _halves([digest(view[x:y], s) for x, y, s in zip(begin.tolist(), end.tolist(), shape.tolist(), strict=True)])
 
 
 def _anchor_rows(search: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
-            rid = batch.column(0).to_numpy()
-            texts = text_bytes(batch.column(1))
-            for own in search.chunks(texts):
-                g, c, i, low, lead, starts = search.anchors([texts[j] for j in own])
+        w = search.window
+        for batch in (part for whole in batches for part in slices(whole, 2, SLICE_BYTES)):
+            names = [batch.column(i).to_numpy() for i in (0, 1)]
+            for own, base, windows, u in search.read(text_bytes(batch.column(2))):
+                g, low, high, i, lead, starts = search.anchors(u, windows)
                 if len(g):
-                    name = rid[np.array(own)[i]]
-                    small = [pa.array(x.astype(np.int32)) for x in (low, lead, starts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(name), *small], names=["g", "c", "rid", "low", "lead", "starts"])
+                    c, d = _digests(u.joined, u.starts[low], u.ends[high - 1], lead * 2 * w + starts)
+                    name = [pa.array(x[own[i]]) for x in names]
+                    small = [pa.array(x.astype(np.int32)) for x in (low - u.first[i] + base[i], lead, starts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), c, d, *name, *small], names=["g", "c", "d", "rid", "rie", "low", "lead", "starts"])
 
     return run
 
 
+_CONTEXT = "g long, c long, d long, n long, place long, lead int, body binary"
+
+
 def _context_rows(search: Search):
-    """doc_id, text, rid, list of (low, lead, starts, g, c, n) -> contexts with their text."""
+    """text, rid, list of (low, lead, starts, g, c, d, n) -> contexts with their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = search.window
-        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
-            texts, rids = text_bytes(batch.column(1)), batch.column(2).to_numpy()
-            lists = batch.column(3)
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
+            rids, lists = batch.column(1).to_numpy(), batch.column(2)
             flat = lists.flatten()
             off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             at, starts = flat.field(0).to_numpy(), flat.field(2).to_numpy()
-            for own in search.chunks(texts):
-                u = search.cut([texts[j] for j in own])
+            for own, base, windows, u in search.read(text_bytes(batch.column(0))):
                 pick = np.concatenate([np.arange(off[j], off[j + 1]) for j in own])
                 text = np.repeat(np.arange(len(own)), [off[j + 1] - off[j] for j in own])
+                here = (at[pick] >= base[text]) & (at[pick] < base[text] + windows[text])  # in this piece
+                pick, text = pick[here], text[here]
                 if not len(pick):
                     continue
-                low = u.first[text] + at[pick]
+                low = u.first[text] + at[pick] - base[text]
                 high = low + starts[pick] + w - 1
                 a, b = u.starts[low].tolist(), u.ends[high - 1].tolist()
                 body = [u.joined[x:y] for x, y in zip(a, b, strict=True)]
-                rid = rids[np.array(own)[text]]
-                place = mix(rid.view(np.uint64)) + at[pick].astype(np.uint64)
+                place = mix(rids[own[text]].view(np.uint64)) + at[pick].astype(np.uint64)
                 for s in range(0, len(pick), 8192):
                     e = s + 8192
                     part = pa.array(pick[s:e])
                     yield pa.RecordBatch.from_arrays(
-                        [flat.field(3).take(part), flat.field(4).take(part), flat.field(5).take(part), pa.array(place[s:e].view(np.int64)), flat.field(1).take(part), pa.array(body[s:e], pa.binary())],
-                        names=["g", "c", "n", "place", "lead", "body"],
+                        [*(flat.field(i).take(part) for i in (3, 4, 5, 6)), pa.array(place[s:e].view(np.int64)), flat.field(1).take(part), pa.array(body[s:e], pa.binary())],
+                        names=["g", "c", "d", "n", "place", "lead", "body"],
                     )
 
     return run
@@ -295,7 +397,7 @@ def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
 
     def verdicts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        g, c = t.column("g").to_numpy(), t.column("c").to_numpy()
+        g, c, d = (t.column(x).to_numpy() for x in "gcd")
         before, count = t.column("lead").to_numpy().astype(np.int64), t.column("n").to_numpy()
         u = search.cut(text_bytes(t.column("body").combine_chunks()))
         use, low, high, twin = _trimmed(search, u, g, before, count)
@@ -319,8 +421,8 @@ def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
         own = np.repeat(use, many)
         begin = np.repeat(low - u.first[use], many)  # of what is left, in the context
         return pa.RecordBatch.from_arrays(
-            [pa.array(g[own]), pa.array(c[own]), pa.array((begin + rel[s[at]]).astype(np.int32)), pa.array((begin + rel[e[at]] + search.window).astype(np.int32))],
-            names=["g", "c", "low", "high"],
+            [pa.array(g[own]), pa.array(c[own]), pa.array(d[own]), pa.array((begin + rel[s[at]]).astype(np.int32)), pa.array((begin + rel[e[at]] + search.window).astype(np.int32))],
+            names=["g", "c", "d", "low", "high"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +430,7 @@ def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
         size = 0
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             held.append(batch)
-            size += batch.column(5).nbytes
+            size += batch.column(6).nbytes
             if size >= BLOCK_UNITS:
                 # The last anchor's contexts may go on in the next batch; the block ends before them.
                 g = np.concatenate([b.column(0).to_numpy() for b in held])
@@ -339,70 +441,106 @@ def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
                 t = pa.Table.from_batches(held)
                 yield verdicts(t.slice(0, end).combine_chunks().to_batches())
                 held = t.slice(end).combine_chunks().to_batches()
-                size = sum(b.column(5).nbytes for b in held)
+                size = sum(b.column(6).nbytes for b in held)
         if held:
             yield verdicts(held)
 
     return run
 
 
-def _decided(contexts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray]) -> DataFrame:
-    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(releasing(_decide_rows(search, decide)), "g long, c long, low int, high int")
-
-
-def _window_rows(search: Search):
-    """Contexts of hot anchors -> two hashes of each of their windows, with its context."""
+def _split_rows(search: Search, low: int, high: int):
+    """Contexts of hot anchors, whose windows have low to high - 1 units to the right of the anchor, -> a row for each
+    range of that number: the units that matter to its windows, dealt out by those that all of them hold."""
+    around = search.window - search.anchor
+    step = -(-(high - low) // WAYS)
+    ranges = [(a, min(a + step, high)) for a in range(low, high, step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
-            u = search.cut(text_bytes(batch.column(5)))
-            one = window_hash(prefix_hash(u.hashes), search.window)
-            two = window_hash(prefix_hash(mix(u.hashes + _ODD)), search.window)
-            at = np.flatnonzero(u.owner[: len(one)] == u.owner[search.window - 1 :])
-            own = u.owner[at]
-            offset = at - u.first[own]
-            pick = pa.array(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(offset.astype(np.int32))],
-                names=["g", "c", "n", "one", "two", "at"],
-            )
+            u = search.cut(text_bytes(batch.column(6)))
+            lead = batch.column(5).to_numpy().astype(np.int64)
+            at, place = u.first[:-1] + lead, batch.column(4).to_numpy()
+            right = u.first[1:] - at - search.anchor
+            for a, b in ranges:
+                # A window with r units to the right has around - r to the left.
+                some = np.flatnonzero((right >= a) & (lead > around - b))
+                if not len(some):
+                    continue
+                first, last = at[some] - np.minimum(lead[some], around - a), at[some] + search.anchor + np.minimum(right[some], b - 1)
+                core, end = at[some] - (around - b + 1), at[some] + search.anchor + a
+                shift, new_lead = first - u.first[some], at[some] - first
+                shape = np.full(len(some), a * 2 * search.window + b)
+                g, _ = _digests(u.joined, u.starts[core], u.ends[end - 1], shape)
+                c, d = _digests(u.joined, u.starts[first], u.ends[last - 1], new_lead * 2 * search.window + a)
+                body = [u.joined[x:y] for x, y in zip(u.starts[first].tolist(), u.ends[last - 1].tolist(), strict=True)]
+                pick = pa.array(some)
+                yield pa.RecordBatch.from_arrays(
+                    [g, c, d, batch.column(3).take(pick), pa.array((place[some].view(np.uint64) + shift.astype(np.uint64)).view(np.int64)), pa.array(new_lead.astype(np.int32)), pa.array(body, pa.binary()),
+                     *(batch.column(i).take(pick) for i in (0, 1, 2)), pa.array(shift.astype(np.int32)), pa.array(np.full(len(some), a, np.int32)), pa.array(np.full(len(some), b, np.int32))],
+                    names=[x.split()[0] for x in f"{_CONTEXT}, g0 long, c0 long, d0 long, shift int, a int, b int".split(", ")],
+                )
 
     return run
 
 
-def _count_windows(contexts: DataFrame, search: Search) -> DataFrame:
-    """(g, c, low, high) of the windows that have two places, for contexts of hot anchors.
+_FOUND = "g long, c long, d long, low int, high int"
 
-    A window of a document is in one context only, that of the anchor it chooses, so numbers are of places.
-    """
-    rows = contexts.mapInArrow(releasing(_window_rows(search)), "g long, c long, n long, one long, two long, at int")
-    often = rows.groupBy("one", "two").agg(F.sum("n").alias("n"))
-    often = often.where("n > 1").select("one", "two")
-    hit = rows.select("g", "c", "one", "two", "at").join(often, ["one", "two"], "left_semi")
-    return hit.select("g", "c", F.col("at").alias("low"), (F.col("at") + search.window).alias("high"))
+
+def _decided(contexts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray]) -> DataFrame:
+    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(releasing(_decide_rows(search, decide)), _FOUND)
+
+
+def _crowded(rows: DataFrame, hot: int) -> DataFrame:
+    return rows.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("g")
+
+
+def _split(contexts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray], hot: int, low: int, high: int) -> DataFrame:
+    """What is found in the contexts of hot anchors, see the module's text; a range of one number is never split."""
+    rows = written(contexts.mapInArrow(releasing(_split_rows(search, low, high)), f"{_CONTEXT}, g0 long, c0 long, d0 long, shift int, a int, b int"))
+    one = rows.groupBy("g", "c", "d").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.any_value("lead").alias("lead"), F.any_value("body").alias("body"), F.any_value("a").alias("a"), F.any_value("b").alias("b"))
+    one = written(one)
+    crowded = _crowded(one.where("b - a > 1"), hot)
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
+    if crowded.isEmpty():
+        found = _decided(one.select(names), search, decide)
+    else:
+        crowded = written(crowded)
+        found = _decided(one.join(crowded, "g", "left_anti").select(names), search, decide)
+        again = written(one.join(crowded, "g", "left_semi"))
+        step = -(-(high - low) // WAYS)
+        for a in range(low, high, step):
+            mine = again.where(F.col("a") == a).select(names)
+            if min(a + step, high) - a > 1 and not mine.isEmpty():
+                found = found.unionByName(_split(mine, search, decide, hot, a, min(a + step, high)))
+    # With an exchange of its own for the join, Spark can split a context that very many others have become.
+    found = written(found)
+    members = rows.select("g", "c", "d", "g0", "c0", "d0", "shift")
+    return members.join(found, ["g", "c", "d"]).select(F.col("g0").alias("g"), F.col("c0").alias("c"), F.col("d0").alias("d"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
 
 
 def stretches(texts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray], hot: int = HOT) -> DataFrame:
-    """(rid, spans): for each document the unit ranges that repeated windows cover; texts is named()."""
-    anchors = written(texts.select("rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(_anchor_rows(search)), "g long, c long, rid long, low int, lead int, starts int"))
+    """(rid, rie, spans): for each document the unit ranges that repeated windows cover; texts is named()."""
+    anchors = written(texts.select("rid", "rie", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(_anchor_rows(search)), "g long, c long, d long, rid long, rie long, low int, lead int, starts int"))
     # As a table of its own the smaller side has its own exchange, so Spark can split frequent anchors.
     often = written(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
     seen = written(anchors.join(often, "g", "left_semi"))
     dropped(anchors)
     dropped(often)
-    groups = seen.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "low", "lead", "starts")).alias("one"))
-    asked = groups.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.low", "one.lead", "one.starts", "g", "c", "n")).alias("asked"))
+    groups = seen.groupBy("g", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "rie", "low", "lead", "starts")).alias("one"))
+    asked = groups.groupBy(F.col("one.rid").alias("rid"), F.col("one.rie").alias("rie")).agg(F.collect_list(F.struct("one.low", "one.lead", "one.starts", "g", "c", "d", "n")).alias("asked"))
     # The same exchange of texts by name serves this join and the one that applies the stretches.
-    contexts = texts.join(asked, "rid").select("doc_id", "text", "rid", "asked")
-    contexts = contexts.mapInArrow(releasing(_context_rows(search)), "g long, c long, n long, place long, lead int, body binary")
-    found = _decided(contexts, search, decide)
-    crowded = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("g")
-    if not crowded.isEmpty():
+    contexts = texts.join(asked, ["rid", "rie"]).select("text", "rid", "asked")
+    contexts = contexts.mapInArrow(releasing(_context_rows(search)), _CONTEXT)
+    crowded = _crowded(groups, hot)
+    if crowded.isEmpty():
+        found = _decided(contexts, search, decide)
+    else:
         crowded = written(crowded)
         contexts = written(contexts)
-        found = _decided(contexts.join(crowded, "g", "left_anti"), search, decide).unionByName(_count_windows(contexts.join(crowded, "g", "left_semi"), search))
-    placed = seen.select("g", "c", "rid", F.col("low").alias("at")).join(found, ["g", "c"]).select("rid", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")).alias("span"))
-    return placed.groupBy("rid").agg(F.collect_set("span").alias("spans"))
+        found = _decided(contexts.join(crowded, "g", "left_anti"), search, decide)
+        found = found.unionByName(_split(contexts.join(crowded, "g", "left_semi"), search, decide, hot, 0, search.window - search.anchor + 1))
+    placed = seen.select("g", "c", "d", "rid", "rie", F.col("low").alias("at")).join(found, ["g", "c", "d"]).select("rid", "rie", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")).alias("span"))
+    return placed.groupBy("rid", "rie").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -426,5 +564,5 @@ def apply_stretches(texts: DataFrame, spans: DataFrame, make, schema: str) -> Da
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c) for c in zip(*rows, strict=True))], names=names)
 
-    joined = texts.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, ["rid", "rie"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(releasing(run), f"doc_id long, {schema}")

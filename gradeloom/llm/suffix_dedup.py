@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .induced import suffix_order
-from .repeats import HOT, Block, Search, Units, apply_stretches, cut_bytes, named, stretches
+from .repeats import HOT, Block, Search, Units, apply_stretches, named, stretches
 
 WINDOW, ANCHOR = 200, 32
 SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -71,5 +71,5 @@ def _keep(text: bytes, spans: list[list[int]]) -> tuple[int, int, int, str, byte
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, memory: int = 128 << 20, hot: int = HOT) -> DataFrame:
     """A row for each document: its bytes, how many went in how many stretches, and what stays."""
     texts = named(docs)
-    search = Search(window, anchor, cut_bytes, window)
+    search = Search(window, anchor, words=False)
     return apply_stretches(texts, stretches(texts, search, by_suffixes(window, memory), hot), _keep, SCHEMA)

@@ -49,9 +49,11 @@ def key(x):
     return tuple(-1 if v is None else v for v in x)
 
 
-@pytest.mark.parametrize("block, hot", [(1 << 21, repeats.HOT), (3000, 5), (3000, 0)])
-def test_words_match_brute_force(spark, block, hot, monkeypatch):
+@pytest.mark.parametrize("block, hot, piece", [(1 << 21, repeats.HOT, repeats.PIECE_BYTES), (3000, 5, 700), (3000, 0, 250)])
+def test_words_match_brute_force(spark, block, hot, piece, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_UNITS", block)
+    monkeypatch.setattr(repeats, "PIECE_BYTES", piece)
+    monkeypatch.setattr(substring_dedup, "Search", lambda w, a, words: repeats.Search(w, a, words, piece))
     rows = shared_rows()
     units = [(r[1] or "").encode().split() for r in rows]
     want = []
@@ -66,7 +68,7 @@ def test_words_match_brute_force(spark, block, hot, monkeypatch):
 
 @pytest.mark.parametrize("memory, hot", [(128 << 20, repeats.HOT), (20000, 5)])
 def test_bytes_match_brute_force(spark, memory, hot):
-    rows = [r for r in shared_rows() if len(r[1] or "") < 8000]
+    rows = shared_rows()
     units = [(r[1] or "").encode() for r in rows]
     want = []
     for r, u, flags in zip(rows, units, brute(units, 200)):
@@ -88,4 +90,27 @@ def test_short_windows_and_empty(spark):
     assert sorted((g.doc_id, g.n_removed) for g in substring_dedup.remove_repeats(table(spark, rows), 3, 1).collect()) == want
     for module in (substring_dedup, suffix_dedup):
         assert module.remove_repeats(table(spark, [])).count() == 0
-    assert substring_dedup.levels(9, 35) == [9, 18, 35]
+
+
+def test_words_that_hash_alike_under_a_polynomial_differ(spark):
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    # A polynomial modulo a power of two gives both the same value.
+    x, y = [f"x{i}" for i in range(20)], [f"y{i}" for i in range(20)]
+    rows = [(i, " ".join([*x, w, *y]), None, None, 0, None, None, None) for i, w in enumerate((a, b))]
+    assert [(g.n_words, g.n_removed) for g in substring_dedup.remove_repeats(table(spark, rows)).collect()] == [(41, 0)] * 2
+    rows = [(i, "-" * 150 + w + "+" * 150, None, None, 0, None, None, None) for i, w in enumerate((a[:128], b[:128]))]
+    assert [g.n_removed for g in suffix_dedup.remove_repeats(table(spark, rows)).collect()] == [0, 0]
+
+
+def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(suffix_dedup, "Search", lambda w, a, words: repeats.Search(w, a, words, 30_000))
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(150_000))
+    rows = [(0, long, None, None, 0, None, None, None), (1, long[29_000:31_000] + "#" + long[59_900:60_100] + "é" + long[149_801:], None, None, 0, None, None, None), (2, long[70_000:70_199], None, None, 0, None, None, None)]
+    rows.append((3, long[3:120_003], None, None, 0, None, None, None))
+    units = [r[1].encode() for r in rows]
+    want = [(r[0], len(u), sum(f), runs(f), hashlib.sha256(bytes(b for b, x in zip(u, f) if not x)).hexdigest()) for r, u, f in zip(rows, units, brute(units, 200))]
+    got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    assert sorted((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == want
