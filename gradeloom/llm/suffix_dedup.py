@@ -1,9 +1,9 @@
 """Repeated byte strings from suffix arrays by external induced sorting.
 
 Contexts that may hold a repeat come from `repeats`, which loses none. A block of them is sorted by
-`induced.suffix_order`: disk-backed queues carry suffix tuples with their common prefixes. Suffixes
-that share `window` bytes stand next to each other; where such a run has two places, each of its
-suffixes starts a repeated string.
+`induced.suffix_order`: disk-backed queues carry suffix tuples with their common prefixes, at every level of its
+recursion. Suffixes that share `window` bytes stand next to each other; where such a run has two places,
+each of its suffixes starts a repeated string.
 
 Each byte that such a string covers is removed. Strings are judged on the input, so all places of a
 repeat lose it. Removal may cut a character's bytes; `kept` is bytes for that reason.
