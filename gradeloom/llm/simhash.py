@@ -16,7 +16,7 @@ fingerprints, so that shards stay small; it doesn't change what is found.
 Cases: a null, empty or blank text has fingerprint zero and links like any other; a text under four
 words is one shingle; ties do not arise, as a component's name is its smallest doc_id; repeated rows get
 equal rows; a component without any doc_id has a null name; an empty table gives no rows; other columns
-are not read by `fingerprints` and are kept by `drop_near_copies`.
+are not read. `similar` finds near copies by similarity with the same trees over wider fingerprints.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, text_bytes
@@ -88,11 +88,18 @@ def _shard_key(fp: Column, blocks: list[tuple[int, int]], chosen: tuple[int, ...
     return key
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, which have one word each or several in a row."""
+    d = np.bitwise_count(a ^ b)
+    return d.astype(np.int64) if d.ndim == 1 else d.sum(axis=1, dtype=np.int64)
+
+
 class Forest:
-    """BK-trees over groups of distinct values, one for each group; groups are given in runs."""
+    """BK-trees over groups of values, one for each group; groups are given in runs."""
 
     def __init__(self, values: np.ndarray, group: np.ndarray):
         self.values = values
+        self.base = 64 * (values.shape[1] if values.ndim > 1 else 1) + 1  # numbers that a distance can be
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         self.roots = dict(zip(group[first].tolist(), first.tolist(), strict=True))
         run = np.cumsum(np.isin(np.arange(len(group)), first)) - 1
@@ -101,7 +108,7 @@ class Forest:
         at = at[rest]
         keys, kids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(rest):
-            edge = at * 65 + np.bitwise_count(values[rest] ^ values[at])
+            edge = at * self.base + distance(values[rest], values[at])
             order = np.argsort(edge, kind="stable")
             edge, rest = edge[order], rest[order]
             new = np.concatenate([[True], edge[1:] != edge[:-1]])
@@ -109,7 +116,7 @@ class Forest:
             kids.append(rest[new])
             at = rest[new][np.cumsum(new) - 1][~new]
             rest = rest[~new]
-        self.levels = [(k // 65, c) for k, c in zip(keys, kids, strict=True)]
+        self.levels = [(k // self.base, c) for k, c in zip(keys, kids, strict=True)]
         self.keys, self.kids = np.concatenate(keys), np.concatenate(kids)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.kids = self.keys[order], self.kids[order]
@@ -133,12 +140,12 @@ class Forest:
         while True:
             new = known[node] != own[q]
             q, node = q[new], node[new]
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            d = distance(queries[q], self.values[node])
             near = d <= radius
             if near.any():
                 yield q[near], node[near]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right") - low
+            low = np.searchsorted(self.keys, node * self.base + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.keys, node * self.base + np.minimum(d + radius, self.base - 1), side="right") - low
             some = n > 0
             if some.any():
                 stack.append((q[some], low[some], n[some]))
@@ -171,19 +178,20 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = further
 
 
-def _search_shards(radius: int):
-    """Rows (shard, part, role, fp), sorted, to links; role 1 is in the tree, 2 asks, 3 both."""
+def _search_shards(radius: int, words: int):
+    """Rows (shard, part, role, name, fingerprint's words), sorted, to links of names; role 1 is in the tree, 2 asks,
+    3 both."""
 
-    def links(shard: np.ndarray, role: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        # A value may stand in several shards; labels are kept by value.
-        nodes, number = np.unique(fp, return_inverse=True)
+    def links(shard: np.ndarray, role: np.ndarray, name: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        # A name may stand in several shards; labels are kept by name.
+        nodes, number = np.unique(name, return_inverse=True)
         tree, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        forest = Forest(fp[tree].view(np.uint64), shard[tree])
+        forest = Forest(fp[tree], shard[tree])
         root = np.array([forest.roots.get(s, -1) for s in shard[asks].tolist()], np.int64)
         asks, root = asks[root >= 0], root[root >= 0]
         label = np.arange(len(nodes))
-        home, kid = forest.keys // 65, forest.kids
-        near = forest.keys % 65 <= radius
+        home, kid = forest.keys // forest.base, forest.kids
+        near = forest.keys % forest.base <= radius
         label = spanning(label, number[tree[home[near]]], number[tree[kid[near]]])
         at, size = 0, 512
         while at < len(asks):
@@ -191,7 +199,7 @@ def _search_shards(radius: int):
             part = slice(at, at + size)
             known = forest.one_label(label[number[tree]])
             mine = number[asks[part]]
-            for q, node in forest.search(fp[asks[part]].view(np.uint64), root[part], radius, label[mine], known):
+            for q, node in forest.search(fp[asks[part]], root[part], radius, label[mine], known):
                 label = spanning(label, mine[q], number[tree[node]])
             at, size = at + size, min(size * 4, 65_536)
         moved = np.flatnonzero(label != np.arange(len(nodes)))
@@ -203,12 +211,13 @@ def _search_shards(radius: int):
 
         def parts(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
-            t, key, part, role, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            t, key, part, role, name, *fp = (np.concatenate(c) for c in zip(*held, strict=True))
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             end = len(t) if last else int(np.flatnonzero(new)[-1])  # the last group may go on
             if end:
-                yield links(np.cumsum(new)[:end], role[:end], fp[:end])
-            held = [[x[end:] for x in (t, key, part, role, fp)]] if end < len(t) else []
+                value = np.stack([x[:end] for x in fp], axis=1).view(np.uint64) if words > 1 else fp[0][:end].view(np.uint64)
+                yield links(np.cumsum(new)[:end], role[:end], name[:end], value)
+            held = [[x[end:] for x in (t, key, part, role, name, *fp)]] if end < len(t) else []
             rows = len(t) - end
 
         for batch in batches:
@@ -223,22 +232,29 @@ def _search_shards(radius: int):
     return run
 
 
-def near_links(values: DataFrame, n: int, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Links (a, b) of distinct fp values that join all pairs within radius; n is their number."""
-    blocks, tables = plan_blocks(n, radius)
-    shards = values.select("fp", F.explode(F.array(*(
-        F.struct(F.lit(i).alias("t"), _shard_key(F.col("fp"), blocks, chosen).alias("key")) for i, chosen in enumerate(tables)))).alias("s"))
-    shards = shards.select("s.t", "s.key", "fp")
+def tree_links(shards: DataFrame, radius: int, tree_rows: int, words: int = 1) -> DataFrame:
+    """Links (a, b) of names that join all pairs within radius in their shard; shards has t, key, name, fp0, fp1 and so
+    on, as many as words."""
+    prints = [f"fp{i}" for i in range(words)]
     large = shards.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_rows)
     large = large.select("t", "key", F.ceil(F.col("n") / tree_rows).cast("int").alias("parts"))
     dealt = shards.join(large, ["t", "key"], "left")
     # In a large shard each value is in one part's tree and asks the trees of all the others.
-    home = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
+    home = F.pmod(F.xxhash64("name"), F.col("parts").cast("long")).cast("int")
     spread = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("part"), F.lit(3).alias("role")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.when(p == home, 3).otherwise(2).alias("role"))))
-    dealt = dealt.select("t", "key", F.explode(spread).alias("x"), "fp").select("t", "key", "x.part", "x.role", "fp")
+    dealt = dealt.select("t", "key", F.explode(spread).alias("x"), "name", *prints).select("t", "key", "x.part", "x.role", "name", *prints)
     dealt = dealt.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part", "role")
-    return dealt.mapInArrow(_search_shards(radius), "a long, b long")
+    kind = shards.schema["name"].dataType.simpleString().replace("bigint", "long")
+    return dealt.mapInArrow(_search_shards(radius, words), f"a {kind}, b {kind}")
+
+
+def near_links(values: DataFrame, n: int, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Links (a, b) of distinct fp values that join all pairs within radius; n is their number."""
+    blocks, tables = plan_blocks(n, radius)
+    shards = values.select("fp", F.explode(F.array(*(
+        F.struct(F.lit(i).alias("t"), _shard_key(F.col("fp"), blocks, chosen).alias("key")) for i, chosen in enumerate(tables)))).alias("s"))
+    return tree_links(shards.select("s.t", "s.key", F.col("fp").alias("name"), F.col("fp").alias("fp0")), radius, tree_rows)
 
 
 def component_names(prints: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -260,18 +276,3 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     names = component_names(prints, radius, tree_rows)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(names, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, in the columns of docs.
-
-    Rows that share the kept doc_id count as one document: the first by the hash of its text stays.
-    Rows without a doc_id can't be named, so they stay.
-    """
-    q = "__near_"
-    found = near_components(docs, shingle, radius)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{q}id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id") == F.col(f"{q}id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn(f"{q}n", F.row_number().over(order)).where(F.col(f"{q}n") == 1).drop(f"{q}n")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))

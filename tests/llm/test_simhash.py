@@ -5,7 +5,7 @@ import xxhash
 
 from gradeloom.llm import simhash
 from gradeloom.llm.components import components
-from helpers import asc_words, awkward, prose, table
+from helpers import awkward, prose, table
 
 
 def brute_print(text):
@@ -97,11 +97,15 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_one_of_each_group_stays(spark):
-    rows = near_rows()
-    docs = table(spark, rows)
-    out = simhash.drop_near_copies(docs)
-    want = sorted({c for d, _, c in brute_components(rows) if d != -1})
-    assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [c for c in want if c != -1]
-    assert sum(len(asc_words(r.text)) for r in out.where("doc_id is null").collect()) == 90
+def test_trees_over_wide_fingerprints():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2**63, (400, 2), dtype=np.uint64)
+    values[200:] = values[:200]
+    for row in values[200:]:
+        for bit in rng.integers(0, 63, 30):
+            row[bit % 2] ^= np.uint64(1) << np.uint64(bit)
+    forest = simhash.Forest(values, np.zeros(400, int))
+    label = -np.ones(400, int)
+    got = {(int(q), int(n)) for a, b in forest.search(values, np.zeros(400, int), 44, np.arange(400), label) for q, n in zip(a, b)}
+    want = {(i, j) for i in range(400) for j in range(400) if sum(int(x).bit_count() for x in values[i] ^ values[j]) <= 44}
+    assert got == want and len(want) >= 800

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from gradeloom.llm import similar
 from helpers import prose, table
@@ -62,6 +64,20 @@ def test_parts_of_a_large_component_give_the_same(spark):
     want = brute_kept(rows)
     assert 40 < len(want) < len(rows)
     assert ids(similar.drop_similar(table(spark, rows), load=150)) == want
+    assert ids(similar.drop_similar(table(spark, rows), tree_rows=2, few=0)) == want
+
+
+def test_fingerprints_of_similar_sets_are_within_the_radius():
+    rng = np.random.default_rng(5)
+    worst = 0
+    for _ in range(4000):
+        union = rng.integers(0, 2**63, int(rng.choice([5, 6, 10, 15, 50, 300])), dtype=np.uint64)
+        both = -(-8 * len(union) // 10)
+        cut = rng.integers(both, len(union) + 1)  # shared ones, then some of the first set alone
+        a, b = union[:cut], np.concatenate([union[:both], union[cut:]])
+        x, y = similar.wide_print(a), similar.wide_print(b)
+        worst = max(worst, sum(int(z).bit_count() for z in x ^ y))
+    assert worst <= similar.RADIUS
 
 
 def test_groups_are_exact():
