@@ -94,6 +94,24 @@ def test_mixing_matches_brute_force(spark):
     taken = mixed.collect()
     assert sum(len(asc_words(r.text)) for r in taken) == sum(w[3] for w in want)
     assert mixing.mix_documents(table(spark, [])).count() == 0
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.source or "", r.text)
+    assert sorted(map(key, mixing.mix_documents(docs, few=0).collect())) == sorted(map(key, taken))
+
+
+def test_equal_rows_at_the_cut_share_what_is_left(spark):
+    row = lambda i, t, s: (i, t, "en", s, 0, None, None, None)
+    # Source b gives 2/7 of all, so its only text is cut, and c 1 of 8 parts; copies of one row are the whole source.
+    rows = [row(1, "a " * 300, "a")] + [row(2, "b " * 40, "b")] * 5 + [row(3, "c " * 30, "c")] * 4
+    want, _ = brute_mix(rows)
+    got = mixing.mix_documents(table(spark, rows)).collect()
+    words = defaultdict(int)
+    for r in got:
+        words[r.doc_id] += len(asc_words(r.text))
+    wanted = defaultdict(int)
+    for d, _, _, t in want:
+        wanted[d] += t
+    assert words == {k: v for k, v in wanted.items() if v} and abs(sum(words.values()) - 620) <= 3
+    assert sum(len(asc_words(r.text)) not in (300, 40, 30) for r in got) <= 3
 
 
 def test_ids_are_the_tokenizers_own():

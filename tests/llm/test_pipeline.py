@@ -9,7 +9,8 @@ from gradeloom.llm import packing, pseudonyms
 from helpers import asc_words, prose, table
 from test_line_rules import brute
 from test_mixing_packing import brute_mix
-from test_simhash import brute_components, near_rows
+from test_similar import brute_kept
+from test_simhash import near_rows
 
 
 def plain(rows):
@@ -37,7 +38,7 @@ def test_each_stage_against_plain_python(spark):
 
     two = corpus_pipeline.near_dedup(spark, table(spark, got), "")
     after = [tuple(r) for r in two.collect()]
-    stay = {c for _, _, c in brute_components(got)}
+    stay = {d for _, d in brute_kept(got)}
     assert two.columns == columns and plain(after) == plain([r for r in got if r[0] in stay])
 
     three = corpus_pipeline.pseudonymise(spark, table(spark, after), "")
