@@ -3,6 +3,12 @@
 A stage is a function of (spark, docs, sf_dir); it works on all that the stage before has kept and
 returns the columns of documents, but for the last, which returns the pieces of the packed sequences.
 A text that a stage changes has its n_chars counted anew.
+
+Cases, by stage: a null, empty or blank text goes with the quality rules; a later stage that is given one keeps it as
+one of a group (near dedup), leaves it (pseudonyms), never takes it (mixing) or packs its closing id alone
+(packing). A null doc_id is kept, and comes last where the least doc_id decides. A null source is a source of its
+own. Repeated rows: near dedup leaves one. Ties are broken by hashes of the text. Very long texts are handled
+whole. An empty table gives an empty table. Further columns stay as they are until packing, which reads none.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import line_rules, mixing, packing, pseudonyms, similar
-from gradeloom.llm.common import checkpointed, read_documents
+from gradeloom.llm.common import dropped, read_documents, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -56,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
+    docs, table = read_documents(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = checkpointed(docs)  # in the shared folder, read back by the next stage
+            docs, before = written(docs), table  # in the shared folder, read back by the next stage
+            if before is not None:
+                dropped(before)
+            table = docs
     return docs
