@@ -1,73 +1,152 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Tokens are words in lower case, hashed to `TOKENS` slots. The network sees the `REACH` tokens on both sides of
-a masked place, never the token itself: their embeddings, weighted per offset and dimension, are summed,
-passed through tanh and a softmax over `CLASSES` classes. A token's class is part of its slot, and within its
-class it has its share of the corpus counts, so P(token | sides) = P(class | sides) * share(token | class) is a
-distribution over all slots. A document's score is the sum of the log-probabilities of all its tokens.
-
-Everything comes from the whole corpus. Token counts are summed over all documents. Each training round
-reads all documents: a task steps through its documents from the round's parameters, at every `EVERY`th
-place of each text, and the rounds go through all remainders, so that every place of every text is predicted
-in exactly one round; the tasks' results are averaged by their numbers of tokens in two stages, so no task gathers more than about the square root of all
-results. Only counts and parameters, of a fixed size, reach the driver.
+Tokens are words in lower case, known by `IDS` hash values. The network sees the `REACH` tokens on both sides of
+a masked place, never the token itself: their embeddings, weighted per offset and dimension, are summed and
+passed through tanh. From there it predicts the token down a tree: a softmax over `CLASSES` classes, then the binary
+decisions of the class's Huffman tree, each with weights of its own, to a leaf. The `OWN` most frequent
+tokens have a leaf each; rarer ones share `SHARED` leaves, and within these a token has its corpus share.
+So P(token | sides) is a distribution over all hash values, and frequent tokens are predicted one by one. A
+document's score is the sum of the log-probabilities of all its tokens.
+
+Everything comes from the whole corpus. Token counts are summed over all documents and give the tree. Documents are
+dealt out by their hash to shards, as many as the corpus has millions of tokens, and ordered by it; a shard
+is trained on by one copy of the network, on every place of every text, and the copies are averaged by
+their numbers of tokens in a fixed order. So the result doesn't depend on how rows are
+partitioned. Only counts and parameters, of a fixed size, reach the driver.
 
 Cases: a null, empty or blank text has no tokens, score 0 and no mean; a single word has only padding at its
-sides; repeated rows are scored alike; very long texts are read whole, in pieces; ties do not arise; an
-empty table gives no rows; other columns are not read.
+sides; repeated rows are scored alike to the bit, as log-probabilities are summed as whole numbers of 2^-32;
+copies of one row in very large numbers are dealt to several shards; very long texts are read whole; ties in the
+order of tokens go by hash value; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import dropped, releasing, slices, text_bytes, written
 from .repeats import cut_words, mix
 
-TOKENS, CLASSES, INPUTS, WIDTH, REACH = 1 << 16, 128, 4096, 24, 3
-#: As many rounds as there are remainders, so that all places train.
-EVERY = ROUNDS = 2
-BATCH, RATE = 4096, 0.05
+IDS, CLASSES, OWN, SHARED = 1 << 18, 128, 1 << 15, 1 << 15
+WIDTH, REACH = 16, 2
+#: Embeddings: of the most frequent tokens one each, the others share as many.
+INPUTS = 1 << 13
 PAD = INPUTS  # the embedding beyond a text's ends
-BLOCK = 1024  # parameters a row
+BATCH, RATE = 2048, 0.1
+SHARD_TOKENS = 3_000_000
+#: Copies of one row, seen by one task, that go to one shard.
+SAME = 1000
+BLOCK = 4096  # parameters a row
+UNIT = 2.0**32
 SCHEMA = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"
 
 
 @dataclass
-class Network:
-    """Embeddings, weights of each offset, and the output layer; shares within classes."""
+class Tree:
+    """What the corpus counts say: each token's input and leaf, and each leaf's way through the tree."""
+
+    counts: np.ndarray
+
+    def __post_init__(self) -> None:
+        n = len(self.counts)
+        order = np.argsort(-self.counts, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        half = INPUTS // 2
+        self.input = np.where(rank < half, rank, half + rank % half).astype(np.uint16)
+        self.leaf = np.where(rank < OWN, rank, OWN + rank % SHARED).astype(np.uint16)
+        weight = self.counts + 0.5  # half a count keeps unseen tokens possible
+        leaves = np.bincount(self.leaf, weight, OWN + SHARED)
+        leaves[leaves == 0] = 0.5
+        self.share = np.log(weight / leaves[self.leaf])
+        self.klass = (np.arange(len(leaves)) % CLASSES).astype(np.uint8)
+        of_class = np.bincount(self.klass, leaves, CLASSES)
+        self.class_bias = np.log(of_class / of_class.sum())
+        nodes, bits, self.first, bias = [], [], np.zeros(len(leaves) + 1, np.int64), []
+        ways: list[tuple[list[int], list[int]]] = [([], [])] * len(leaves)
+        for c in range(CLASSES):
+            own = range(c, len(leaves), CLASSES)
+            heap = [(float(leaves[x]), x, None) for x in own]
+            heapq.heapify(heap)
+            number = len(leaves)
+            while len(heap) > 1:
+                a, b = heapq.heappop(heap), heapq.heappop(heap)
+                heapq.heappush(heap, (a[0] + b[0], number, (a, b)))
+                number += 1
+            stack = [(heap[0], [], [])]
+            while stack:
+                (total, name, both), way, turns = stack.pop()
+                if both is None:
+                    ways[name] = way, turns
+                    continue
+                mine = len(bias)
+                bias.append(np.log(both[1][0] / both[0][0]))
+                stack += [(both[k], [*way, mine], [*turns, k]) for k in (0, 1)]
+        for x, (way, turns) in enumerate(ways):
+            nodes += way
+            bits += turns
+            self.first[x + 1] = len(nodes)
+        self.nodes, self.bits = np.array(nodes, np.uint16), np.array(bits, np.uint8)
+        self.node_bias = np.array(bias)
+
+    def ways(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(node, bit, which of the leaves, first of each) of the decisions that lead to leaves, one after another."""
+        low = self.first[leaf]
+        many = self.first[leaf.astype(np.int64) + 1] - low
+        upto = np.cumsum(many)
+        at = np.arange(int(upto[-1])) + np.repeat(low - upto + many, many)
+        return self.nodes[at], self.bits[at], np.repeat(np.arange(len(leaf)), many), upto - many
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def _segments(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(rows[order], first, axis=0)
+
 
+@dataclass
+class Network:
     embed: np.ndarray  # (INPUTS + 1, WIDTH)
     offset: np.ndarray  # (2 * REACH, WIDTH)
     out: np.ndarray  # (WIDTH, CLASSES)
     bias: np.ndarray  # (CLASSES,)
+    node: np.ndarray  # (nodes, WIDTH + 1): weights of a decision, and its bias
 
     @staticmethod
-    def first(class_counts: np.ndarray, seed: int = 0) -> Network:
+    def first(tree: Tree, seed: int = 0) -> Network:
+        """Before training: the corpus shares, whatever the sides are, but for small random weights."""
         rng = np.random.default_rng(seed)
-        embed = rng.normal(0, 0.5, (INPUTS + 1, WIDTH)).astype(np.float32)
-        out = rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32)
-        share = (class_counts + 1) / (class_counts.sum() + CLASSES)
-        return Network(embed, np.full((2 * REACH, WIDTH), 0.5, np.float32), out, np.log(share).astype(np.float32))
+        node = np.zeros((len(tree.node_bias), WIDTH + 1), np.float32)
+        node[:, -1] = tree.node_bias
+        return Network(
+            rng.normal(0, 0.3, (INPUTS + 1, WIDTH)).astype(np.float32), np.full((2 * REACH, WIDTH), 0.5, np.float32),
+            rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), tree.class_bias.astype(np.float32), node)
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.embed, self.offset, self.out, self.bias, self.node
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.embed, self.offset, self.out, self.bias)])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
-    @staticmethod
-    def of(flat: np.ndarray) -> Network:
-        shapes, parts, at = ((INPUTS + 1, WIDTH), (2 * REACH, WIDTH), (WIDTH, CLASSES), (CLASSES,)), [], 0
-        for s in shapes:
-            n = int(np.prod(s))
-            parts.append(flat[at : at + n].reshape(s).astype(np.float32))
-            at += n
-        return Network(*parts)
+    def of(self, flat: np.ndarray) -> Network:
+        """A network of this one's shapes with other values."""
+        ends = np.cumsum([x.size for x in self.parts()])
+        return Network(*(p.reshape(x.shape).astype(np.float32) for p, x in zip(np.split(flat[: ends[-1]], ends[:-1]), self.parts(), strict=True)))
 
     def hidden(self, sides: np.ndarray) -> np.ndarray:
         total = self.embed[sides[:, 0]] * self.offset[0]
@@ -75,189 +154,261 @@ class Network:
             total += self.embed[sides[:, k]] * self.offset[k]
         return np.tanh(total)
 
-    def class_log_probabilities(self, sides: np.ndarray) -> np.ndarray:
-        """Logarithms over all classes for each row of side tokens."""
-        logits = self.hidden(sides) @ self.out + self.bias
+    def class_log_probabilities(self, h: np.ndarray) -> np.ndarray:
+        logits = h @ self.out + self.bias
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
+    def decisions(self, h: np.ndarray, nodes: np.ndarray, which: np.ndarray) -> np.ndarray:
+        own = self.node[nodes]
+        return np.einsum("ij,ij->i", own[:, :-1], h[which]) + own[:, -1]
+
+    def leaf_log_probabilities(self, sides: np.ndarray, leaf: np.ndarray, tree: Tree) -> np.ndarray:
+        h = self.hidden(sides)
+        chance = self.class_log_probabilities(h)[np.arange(len(leaf)), tree.klass[leaf]].astype(np.float64)
+        nodes, bits, which, first = tree.ways(leaf)
+        z = self.decisions(h, nodes, which).astype(np.float64)
+        return chance + np.add.reduceat(-np.logaddexp(0, np.where(bits == 1, -z, z)), first)
+
 
 class Trainer:
-    """Adaptive gradient steps from given parameters."""
+    """Adaptive gradient steps; embeddings and decisions that a batch doesn't touch stay as they are."""
 
-    def __init__(self, net: Network, rate: float = RATE):
-        self.net, self.rate, self.tokens = net, rate, 0
-        self.seen = [np.full_like(x, 1e-6) for x in (net.embed, net.offset, net.out, net.bias)]
+    def __init__(self, net: Network, tree: Tree, rate: float = RATE):
+        self.net, self.tree, self.rate, self.tokens = net, tree, rate, 0
+        self.seen = [np.ones(len(net.embed), np.float32), np.ones_like(net.offset), np.ones_like(net.out), np.ones_like(net.bias), np.ones(len(net.node), np.float32)]
 
-    def step(self, sides: np.ndarray, classes: np.ndarray) -> float:
-        net, n = self.net, len(classes)
+    def gradients(self, sides: np.ndarray, leaf: np.ndarray) -> tuple[float, tuple, np.ndarray, np.ndarray, np.ndarray, tuple]:
+        net, n = self.net, len(leaf)
         h = net.hidden(sides)
         logits = h @ net.out + net.bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
-        line = np.arange(n)
-        loss = float(-np.log(np.maximum(p[line, classes], 1e-30)).mean())
-        p[line, classes] -= 1
-        p /= n
-        back = p @ net.out.T * (1 - h * h)
-        grads = [np.empty_like(net.embed), np.empty_like(net.offset), h.T @ p, p.sum(axis=0)]
-        width = net.embed.shape[1]
-        spread = np.empty((sides.shape[1], n, width), np.float32)
+        line, target = np.arange(n), self.tree.klass[leaf]
+        loss = -np.log(np.maximum(p[line, target], 1e-30)).sum(dtype=np.float64)
+        p[line, target] -= 1
+        nodes, bits, which, first = self.tree.ways(leaf)
+        own, mine = net.node[nodes], h[which]
+        z = np.einsum("ij,ij->i", own[:, :-1], mine) + own[:, -1]
+        loss += np.logaddexp(0, np.where(bits == 1, -z, z)).sum(dtype=np.float64)
+        g = (_sigmoid(z) - bits).astype(np.float32)
+        back = p @ net.out.T + np.add.reduceat(own[:, :-1] * g[:, None], first, axis=0)
+        back *= 1 - h * h
+        step = np.empty((len(g), own.shape[1]), np.float32)
+        np.multiply(mine, g[:, None], out=step[:, :-1])
+        step[:, -1] = g
+        offset = np.empty_like(net.offset)
+        spread = np.empty((sides.shape[1], n, back.shape[1]), np.float32)
         for k in range(sides.shape[1]):
-            spread[k] = back * net.offset[k]
-            grads[1][k] = (back * net.embed[sides[:, k]]).sum(axis=0)
-        slot, spread = sides.T.ravel(), spread.reshape(-1, width)
-        for d in range(width):
-            grads[0][:, d] = np.bincount(slot, spread[:, d], len(net.embed))
-        for value, seen, g in zip((net.embed, net.offset, net.out, net.bias), self.seen, grads, strict=True):
+            np.multiply(back, net.offset[k], out=spread[k])
+            offset[k] = np.einsum("ij,ij->j", back, net.embed[sides[:, k]])
+        embed = _segments(sides.T.ravel(), spread.reshape(-1, back.shape[1]))
+        return loss, embed, offset, h.T @ p, p.sum(axis=0), _segments(nodes, step)
+
+    def step(self, sides: np.ndarray, leaf: np.ndarray) -> float:
+        net = self.net
+        loss, (inputs, embed), offset, out, bias, (nodes, node) = self.gradients(sides, leaf)
+        for value, seen, rows, g in ((net.embed, self.seen[0], inputs, embed), (net.node, self.seen[4], nodes, node)):
+            total = seen[rows] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+            seen[rows] = total
+            value[rows] -= self.rate * g / np.sqrt(total)[:, None]
+        for value, seen, g in zip((net.offset, net.out, net.bias), self.seen[1:4], (offset, out, bias), strict=True):
             seen += g * g
             value -= self.rate * g / np.sqrt(seen)
-        self.tokens += n
-        return loss
+        self.tokens += len(leaf)
+        return loss / len(leaf)
 
 
-def token_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of each token of the texts, and where each text's tokens start (with the end of the last)."""
+def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash value of each token of the texts, and where each text's tokens start (with the end of the last)."""
     u = cut_words([t.lower() for t in texts])
-    return (mix(u.hashes) & np.uint64(TOKENS - 1)).astype(np.int64), u.first
-
-
-def contexts(slots: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Inputs on both sides of the tokens `at`, nearest last on the left and first on the right."""
-    low = first[np.searchsorted(first, at, side="right") - 1]
-    high = first[np.searchsorted(first, at, side="right")]
-    out = np.empty((len(at), 2 * REACH), np.int64)
-    inputs = slots >> 4  # the classes are the slots' lower bits; inputs overlap them only in part
-    for k, o in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        j = at + o
-        inside = (j >= low) & (j < high)
-        out[:, k] = np.where(inside, inputs[np.clip(j, 0, len(slots) - 1)], PAD)
-    return out
+    return (mix(u.hashes) & np.uint64(IDS - 1)).astype(np.int32), u.first
 
 
-def count_tokens(docs: DataFrame) -> np.ndarray:
-    """Corpus counts of all token slots; one row a slot comes to the driver."""
+class Line:
+    """Inputs of texts in a row, with padding between them, so that a place's sides are where they stand."""
+
+    def __init__(self, inputs: np.ndarray, first: np.ndarray):
+        n = np.diff(first)
+        self.at = np.arange(len(inputs)) + REACH * (1 + np.repeat(np.arange(len(n)), n))
+        self.row = np.full(len(inputs) + REACH * (len(n) + 1), PAD, np.uint16)
+        self.row[self.at] = inputs
+
+    def sides(self, low: int, high: int) -> np.ndarray:
+        """Inputs on both sides of the tokens from low to high - 1, nearest last on the left and first on the right."""
+        return np.stack([self.row[self.at[low:high] + o] for o in (*range(-REACH, 0), *range(1, REACH + 1))], axis=1)
+
+
+def token_table(docs: DataFrame) -> DataFrame:
+    """doc_id, ids of the tokens, and a hash by which rows are dealt out and ordered; one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TOKENS, np.int64)
+        seen: Counter[bytes] = Counter()
         for whole in batches:
-            for batch in slices(whole, 0, 1_000_000):
-                total += np.bincount(token_slots(text_bytes(batch.column(0)))[0], minlength=TOKENS)
+            for batch in slices(whole, 1, 4_000_000):
+                texts = text_bytes(batch.column(1))
+                ids, first = token_ids(texts)
+                deal = []
+                for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                    name = xxhash.xxh3_64_digest(t, 0 if i is None else (2 * i + 1) % 2**64)
+                    if i is None:  # only rows without an id can be equal in large numbers
+                        seen[name] += 1
+                        deal.append(xxhash.xxh3_64_intdigest(name, seen[name] // SAME))
+                    else:
+                        deal.append(int.from_bytes(name, "big"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), pa.array(np.array(deal, np.uint64).view(np.int64))],
+                    names=["doc_id", "ids", "deal"])
+
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, ids array<int>, deal long")
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(), offsets - offsets[0]
+
+
+def count_tokens(tokens: DataFrame) -> np.ndarray:
+    """Corpus counts of all hash values; one row for each comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(IDS, np.int64)
+        for batch in batches:
+            total += np.bincount(_ids(batch.column(0))[0], minlength=IDS)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
-    found = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(TOKENS, np.int64)
+    found = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(IDS, np.int64)
     counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return counts
 
 
-def train_round(docs: DataFrame, net: Network, number: int, every: int = EVERY) -> Network:
-    """One pass over all documents from net; the average of what the tasks come to."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(net.flat())  # of a fixed size
+_PART = "block int, shard int, tokens double, total array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(Network.of(shared.value.copy()))
-        rng = np.random.default_rng(number)
-        sides, classes, held = [], [], 0
-
-        def flush() -> None:
-            nonlocal sides, classes, held
-            x, y = np.concatenate(sides), np.concatenate(classes)
-            order = rng.permutation(len(y))
-            for a in range(0, len(y), BATCH):
-                trainer.step(x[order[a : a + BATCH]], y[order[a : a + BATCH]])
-            sides, classes, held = [], [], 0
 
-        for whole in batches:
-            for batch in slices(whole, 0, 500_000):
-                slots, first = token_slots(text_bytes(batch.column(0)))
-                place = np.arange(len(slots)) - np.repeat(first[:-1], np.diff(first))
-                at = np.flatnonzero((place + number) % every == 0)
-                if len(at):
-                    sides.append(contexts(slots, first, at))
-                    classes.append(slots[at] % CLASSES)
-                    held += len(at)
-                if held >= 16 * BATCH:
-                    flush()
-        if held:
-            flush()
+def _added(table: pa.Table) -> pa.Table:
+    """Sums of a block's rows, in the order of their shards."""
+    table = table.sort_by("shard")
+    total, tokens = np.zeros(BLOCK), 0.0
+    for row, n in zip(table.column("total"), table.column("tokens").to_pylist(), strict=True):
+        total += row.values.to_numpy()
+        tokens += n
+    return pa.table({"block": table.column("block").slice(0, 1), "shard": table.column("shard").slice(0, 1), "tokens": pa.array([tokens]), "total": pa.array([total], pa.list_(pa.float64()))})
+
+
+def train(tokens: DataFrame, net: Network, tree: Tree, n_tokens: int, number: int = 0, shard_tokens: int = SHARD_TOKENS) -> Network:
+    """One round from net over every place of every text: the average of what the shards come to."""
+    shards = max(1, -(-n_tokens // shard_tokens))
+    shared = tokens.sparkSession.sparkContext.broadcast((net, tree))  # of a fixed size
+
+    def learn(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]], rng: np.random.Generator) -> None:
+        ids = np.concatenate([x[0] for x in held])
+        n = np.concatenate([np.diff(x[1]) for x in held])
+        line, leaf = Line(trainer.tree.input[ids], np.concatenate([[0], np.cumsum(n)])), trainer.tree.leaf[ids]
+        sides = line.sides(0, len(ids))
+        order = rng.permutation(len(ids))
+        for a in range(0, len(ids), BATCH):
+            part = order[a : a + BATCH]
+            trainer.step(sides[part], leaf[part])
+
+    def result(trainer: Trainer, shard: int) -> Iterator[pa.RecordBatch]:
         if trainer.tokens:
             flat = trainer.net.flat().astype(np.float64) * trainer.tokens
             flat = np.append(flat, np.zeros(-len(flat) % BLOCK)).reshape(-1, BLOCK)
-            task = TaskContext.get().partitionId()
             n = len(flat)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, float(trainer.tokens))), pa.FixedSizeListArray.from_arrays(flat.ravel(), BLOCK).cast(pa.list_(pa.float64()))],
-                names=["block", "task", "tokens", "total"],
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK)
-        for x in table.column("total").chunks:
-            total += x.flatten().to_numpy().reshape(-1, BLOCK).sum(axis=0)
-        first = table.slice(0, 1)
-        return pa.table({"block": first.column("block"), "task": first.column("task"), "tokens": pa.array([float(np.sum(table.column("tokens").to_numpy()))]), "total": pa.array([total], pa.list_(pa.float64()))})
-
-    schema = "block int, task int, tokens double, total array<double>"
-    parts = docs.select("text").mapInArrow(run, schema)
-    groups = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
-    some = parts.withColumn("task", F.col("task") % groups).groupBy("block", "task").applyInArrow(add, schema)
-    rows = some.groupBy("block").applyInArrow(add, schema).toArrow()
+                [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, float(trainer.tokens))), pa.FixedSizeListArray.from_arrays(flat.ravel(), BLOCK).cast(pa.list_(pa.float64()))],
+                names=["block", "shard", "tokens", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, tree = shared.value
+        now, trainer, rng, held, size = None, None, None, [], 0
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for a, b in zip(cut, cut[1:], strict=False):
+                if shard[a] != now:
+                    if held:
+                        learn(trainer, held, rng)
+                    if trainer:
+                        yield from result(trainer, now)
+                    now, held, size = int(shard[a]), [], 0
+                    trainer, rng = Trainer(net.of(net.flat()), tree), np.random.default_rng([number, now])
+                # Row by row, as batches may be cut anywhere.
+                ids, first = _ids(batch.column(1).slice(a, b - a))
+                for x, y in zip(first.tolist(), first.tolist()[1:], strict=False):
+                    if y > x:
+                        held.append((ids[x:y], np.array([0, y - x])))
+                        size += y - x
+                    if size >= 32 * BATCH:
+                        learn(trainer, held, rng)
+                        held, size = [], 0
+        if held:
+            learn(trainer, held, rng)
+        if trainer:
+            yield from result(trainer, now)
+
+    dealt = tokens.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "ids", "deal").repartition(shards, "shard").sortWithinPartitions("shard", "deal")
+    parts = dealt.select("shard", "ids").mapInArrow(releasing(run), _PART)
+    some = parts.groupBy("block", F.floor(F.col("shard") / 64)).applyInArrow(_added, _PART)
+    rows = some.groupBy("block").applyInArrow(_added, _PART).toArrow()
     if not rows.num_rows:
         return net
-    order = np.argsort(rows.column("block").to_numpy())
-    tokens = rows.column("tokens").to_numpy()[order]
-    total = np.array(rows.column("total").to_pylist())[order] / tokens[:, None]
-    return Network.of(total.ravel())
+    rows = rows.sort_by("block")
+    total = np.concatenate([x.values.to_numpy() / n for x, n in zip(rows.column("total"), rows.column("tokens").to_pylist(), strict=True)])
+    return net.of(total)
 
 
 @dataclass
 class MaskedModel:
     net: Network
-    shares: np.ndarray  # logarithm of each slot's share of its class
+    tree: Tree
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY, seed: int = 0) -> MaskedModel:
-    counts = count_tokens(docs)
-    by_class = counts.reshape(-1, CLASSES).sum(axis=0)
-    # Half a count for each slot keeps unseen tokens possible.
-    shares = np.log(counts + 0.5) - np.log(by_class + 0.5 * TOKENS / CLASSES)[np.arange(TOKENS) % CLASSES]
-    net = Network.first(by_class, seed)
+def fit(tokens: DataFrame, rounds: int = 1, seed: int = 0, shard_tokens: int = SHARD_TOKENS) -> MaskedModel:
+    """A model of all rows of token_table()."""
+    tree = Tree(count_tokens(tokens))
+    net = Network.first(tree, seed)
     for r in range(rounds):
-        net = train_round(docs, net, r, every)
-    return MaskedModel(net, shares.astype(np.float32))
+        net = train(tokens, net, tree, int(tree.counts.sum()), r, shard_tokens)
+    return MaskedModel(net, tree)
 
 
-def score_slots(model: MaskedModel, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-probability of every token from its sides."""
-    out = np.empty(len(slots))
-    for a in range(0, len(slots), BATCH):
-        at = np.arange(a, min(a + BATCH, len(slots)))
-        chance = model.net.class_log_probabilities(contexts(slots, first, at))
-        out[at] = chance[np.arange(len(at)), slots[at] % CLASSES] + model.shares[slots[at]]
-    return out
+def score_ids(model: MaskedModel, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-probability of every token from its sides, in whole numbers of 1 / UNIT.
+
+    Batches have one size, filled up with padding, so that a token's value doesn't depend on its neighbours in the batch.
+    """
+    line, leaf = Line(model.tree.input[ids], first), model.tree.leaf[ids]
+    out = np.empty(len(ids))
+    sides, own = np.full((BATCH, 2 * REACH), PAD, np.uint16), np.zeros(BATCH, np.uint16)
+    for a in range(0, len(ids), BATCH):
+        b = min(a + BATCH, len(ids))
+        sides[: b - a], own[: b - a] = line.sides(a, b), leaf[a:b]
+        out[a:b] = model.net.leaf_log_probabilities(sides, own, model.tree)[: b - a]
+    return np.rint((out + model.tree.share[ids]) * UNIT).astype(np.int64)
 
 
-def score_documents(docs: DataFrame, model: MaskedModel) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model.net.flat(), model.shares))  # of a fixed size
+def score_tokens(tokens: DataFrame, model: MaskedModel) -> DataFrame:
+    shared = tokens.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = MaskedModel(Network.of(shared.value[0]), shared.value[1])
-        for whole in batches:
-            for batch in slices(whole, 1, 500_000):
-                slots, first = token_slots(text_bytes(batch.column(1)))
-                upto = np.concatenate([[0.0], np.cumsum(score_slots(own, slots, first))])
-                n = np.diff(first)
-                total = upto[first[1:]] - upto[first[:-1]]
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), mean], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        for batch in batches:
+            ids, first = _ids(batch.column(1))
+            upto = np.concatenate([[0], np.cumsum(score_ids(shared.value, ids, first))])
+            n = np.diff(first)
+            total = (upto[first[1:]] - upto[first[:-1]]) / UNIT
+            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return tokens.select("doc_id", "ids").mapInArrow(releasing(run), SCHEMA)
 
 
-def grade_documents(docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
+def grade_documents(docs: DataFrame, rounds: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Train on all documents, then score each of them."""
-    return score_documents(docs, fit(docs, rounds, every))
+    tokens = written(token_table(docs))
+    out = written(score_tokens(tokens, fit(tokens, rounds, shard_tokens=shard_tokens)))
+    dropped(tokens)
+    return out
