@@ -95,16 +95,17 @@ class Tree:
             nodes += way
             bits += turns
             self.first[x + 1] = len(nodes)
-        self.nodes, self.bits = np.array(nodes, np.uint16), np.array(bits, np.uint8)
+        self.nodes, self.bits, self.long = np.array(nodes, np.uint16), np.array(bits, np.uint8), np.diff(self.first).astype(np.int8)
         self.node_bias = np.array(bias)
 
-    def ways(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(node, bit, which of the leaves, first of each) of the decisions that lead to leaves, one after another."""
-        low = self.first[leaf]
-        many = self.first[leaf.astype(np.int64) + 1] - low
-        upto = np.cumsum(many)
-        at = np.arange(int(upto[-1])) + np.repeat(low - upto + many, many)
-        return self.nodes[at], self.bits[at], np.repeat(np.arange(len(leaf)), many), upto - many
+    def steps(self, leaf: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """An order of the leaves, longest way first, and for each step of the way the nodes and turns of those that
+        go that far, which stand at the beginning of the order."""
+        low, many = self.first[leaf], self.long[leaf]
+        order = np.argsort(127 - many, kind="stable")
+        low = low[order]
+        going = np.cumsum(np.bincount(many, minlength=1)[::-1])[::-1].tolist()  # how many have so many steps at least
+        return order, [(self.nodes[at := low[:n] + d], self.bits[at]) for d, n in enumerate(going[1:])]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _segments(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, and the sums of their rows."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable")  # 16 bits are sorted by counting
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return key[first], np.add.reduceat(rows[order], first, axis=0)
@@ -154,21 +155,20 @@ class Network:
             total += self.embed[sides[:, k]] * self.offset[k]
         return np.tanh(total)
 
-    def class_log_probabilities(self, h: np.ndarray) -> np.ndarray:
-        logits = h @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-    def decisions(self, h: np.ndarray, nodes: np.ndarray, which: np.ndarray) -> np.ndarray:
-        own = self.node[nodes]
-        return np.einsum("ij,ij->i", own[:, :-1], h[which]) + own[:, -1]
-
     def leaf_log_probabilities(self, sides: np.ndarray, leaf: np.ndarray, tree: Tree) -> np.ndarray:
         h = self.hidden(sides)
-        chance = self.class_log_probabilities(h)[np.arange(len(leaf)), tree.klass[leaf]].astype(np.float64)
-        nodes, bits, which, first = tree.ways(leaf)
-        z = self.decisions(h, nodes, which).astype(np.float64)
-        return chance + np.add.reduceat(-np.logaddexp(0, np.where(bits == 1, -z, z)), first)
+        logits = h @ self.out + self.bias
+        logits -= logits.max(axis=1, keepdims=True)
+        target = logits[np.arange(len(leaf)), tree.klass[leaf]].astype(np.float64)
+        out = target - np.log(np.exp(logits).sum(axis=1, dtype=np.float64))
+        order, steps = tree.steps(leaf)
+        h, chance = h[order], np.ones(len(leaf))
+        for nodes, bits in steps:
+            own, n = self.node[nodes], len(nodes)
+            z = np.einsum("ij,ij->i", own[:, :-1], h[:n]) + own[:, -1]
+            chance[:n] *= _sigmoid(np.where(bits == 1, z, -z).astype(np.float64))
+        out[order] += np.log(np.maximum(chance, 1e-300))
+        return out
 
 
 class Trainer:
@@ -178,37 +178,41 @@ class Trainer:
         self.net, self.tree, self.rate, self.tokens = net, tree, rate, 0
         self.seen = [np.ones(len(net.embed), np.float32), np.ones_like(net.offset), np.ones_like(net.out), np.ones_like(net.bias), np.ones(len(net.node), np.float32)]
 
-    def gradients(self, sides: np.ndarray, leaf: np.ndarray) -> tuple[float, tuple, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    def gradients(self, sides: np.ndarray, leaf: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """Of the summed negative log-probability: (inputs, their rows), offsets, output, bias, (nodes, their rows)."""
         net, n = self.net, len(leaf)
+        order, steps = self.tree.steps(leaf)
+        sides, leaf = sides[order], leaf[order]
         h = net.hidden(sides)
-        logits = h @ net.out + net.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
+        p = h @ net.out
+        p += net.bias
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        line, target = np.arange(n), self.tree.klass[leaf]
-        loss = -np.log(np.maximum(p[line, target], 1e-30)).sum(dtype=np.float64)
-        p[line, target] -= 1
-        nodes, bits, which, first = self.tree.ways(leaf)
-        own, mine = net.node[nodes], h[which]
-        z = np.einsum("ij,ij->i", own[:, :-1], mine) + own[:, -1]
-        loss += np.logaddexp(0, np.where(bits == 1, -z, z)).sum(dtype=np.float64)
-        g = (_sigmoid(z) - bits).astype(np.float32)
-        back = p @ net.out.T + np.add.reduceat(own[:, :-1] * g[:, None], first, axis=0)
+        p[np.arange(n), self.tree.klass[leaf]] -= 1
+        back = p @ net.out.T
+        step, at = np.empty((sum(len(x) for x, _ in steps), net.node.shape[1]), net.node.dtype), 0
+        for nodes, bits in steps:
+            own, m = net.node[nodes], len(nodes)
+            z = np.einsum("ij,ij->i", own[:, :-1], h[:m]) + own[:, -1]
+            g = (_sigmoid(z) - bits).astype(h.dtype)
+            step[at : at + m, -1] = g
+            g = g[:, None]
+            np.multiply(h[:m], g, out=step[at : at + m, :-1])
+            back[:m] += own[:, :-1] * g
+            at += m
         back *= 1 - h * h
-        step = np.empty((len(g), own.shape[1]), np.float32)
-        np.multiply(mine, g[:, None], out=step[:, :-1])
-        step[:, -1] = g
         offset = np.empty_like(net.offset)
-        spread = np.empty((sides.shape[1], n, back.shape[1]), np.float32)
+        spread = np.empty((sides.shape[1], n, back.shape[1]), back.dtype)
         for k in range(sides.shape[1]):
             np.multiply(back, net.offset[k], out=spread[k])
             offset[k] = np.einsum("ij,ij->j", back, net.embed[sides[:, k]])
         embed = _segments(sides.T.ravel(), spread.reshape(-1, back.shape[1]))
-        return loss, embed, offset, h.T @ p, p.sum(axis=0), _segments(nodes, step)
+        return embed, offset, h.T @ p, p.sum(axis=0), _segments(np.concatenate([x for x, _ in steps]), step)
 
-    def step(self, sides: np.ndarray, leaf: np.ndarray) -> float:
+    def step(self, sides: np.ndarray, leaf: np.ndarray) -> None:
         net = self.net
-        loss, (inputs, embed), offset, out, bias, (nodes, node) = self.gradients(sides, leaf)
+        (inputs, embed), offset, out, bias, (nodes, node) = self.gradients(sides, leaf)
         for value, seen, rows, g in ((net.embed, self.seen[0], inputs, embed), (net.node, self.seen[4], nodes, node)):
             total = seen[rows] + np.einsum("ij,ij->i", g, g) / g.shape[1]
             seen[rows] = total
@@ -217,7 +221,6 @@ class Trainer:
             seen += g * g
             value -= self.rate * g / np.sqrt(seen)
         self.tokens += len(leaf)
-        return loss / len(leaf)
 
 
 def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
