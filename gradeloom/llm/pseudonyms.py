@@ -6,17 +6,25 @@ different, and the key's owner can turn a pseudonym back. Values are validated f
 (a long number that fails its check digit, an address octet over 255) are left as they are:
 
 * card: 13 to 19 digits with an issuer's prefix and a right check digit; the new check digit is right;
-* iban: right country length class and mod-97 remainder; the new check digits are right;
+* iban: its country's length and the right mod-97 remainder; the new check digits are right;
 * ssn: ddd-dd-dddd in the ranges that are given out, as a group of three and joined digits;
 * phone: +c (aaa) nnn-nnnn and the like with 7 to 15 digits in groups; the country code stays; without one also
   aaa nnn nnnn, with an area code that doesn't start with 0 or 1;
-* ip: four octets; email: letters and digits of the address but for the last two labels of its domain;
+* ip: four octets; email: letters and digits, of any script, of the address but for the last two labels of its
+  domain, whose labels may be of any script too; the local part has a letter or digit;
 * date: a valid day from 1900 to 2099, year first or last, which becomes another such day; also with one-digit
-  days and months, with years of two digits (of 2000 to 2099) and with English month names;
+  days and months, with years of two digits (of 2000 to 2099) and with English month names. A day becomes the
+  same other day in whatever format it is written. For that, days are permuted within classes that every
+  format can write: the century, the day's range (to 9, to 12, over 12), and the month's (May, September,
+  others with one digit, those with two);
 * secret: 32 to 64 hexadecimal digits with letters and digits among them.
 
 A match that fails its test is tried up to each earlier group, then from each later one.
-A pseudonym that equals its value is walked on from, so no value stays in the text.
+A pseudonym that equals its value is walked on from, so no value stays in the text. Finding and replacing take time
+in proportion to the text, whatever the number of values.
+
+The key is the caller's. `key_of` reads it from the session's setting `spark.gradeloom.pseudonym.key`; where that
+isn't set, the session gets a random one, so nobody can turn its pseudonyms back, and other sessions' differ.
 
 Cases: a null text stays null with no finds; an empty one stays empty; repeated rows repeat, ties do not
 arise; very long texts are read whole; an empty table gives no rows. Other columns are kept by
@@ -28,17 +36,19 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The key of the examples and tests; real runs give their own.
-KEY = b"example key, replace it"
+#: The setting that has the key.
+KEY_SETTING = "spark.gradeloom.pseudonym.key"
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "email", "date", "secret")
 
@@ -99,10 +109,25 @@ _FOREIGN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _PLACE = {c: (a, i) for a in (*_ALPHABETS, _FOREIGN, _FOREIGN.upper().replace("SS", "")) for i, c in enumerate(a)}
 
 
+@lru_cache(4096)
+def _place(c: str) -> tuple[str, int] | None:
+    """The alphabet of a letter or digit and its place there; of others than the above the letters of one kind on its
+    page of 256 characters, or on wider ones if it's alone there."""
+    if c in _PLACE or not c.isalnum():
+        return _PLACE.get(c)
+    kind = unicodedata.category(c)
+    for page in (0x100, 0x1000, 0x110000):
+        low = ord(c) // page * page
+        own = "".join(x for x in map(chr, range(low, min(low + page, 0x110000))) if x not in _PLACE and unicodedata.category(x) == kind and x.isalnum())
+        if len(own) > 1:
+            return own, own.index(c)
+    return None
+
+
 class Pseudonyms:
     """Permutations of one key by kind and format; they are made when first used."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self._made: dict[tuple[str, int], Feistel] = {}
 
@@ -120,11 +145,11 @@ class Pseudonyms:
 
     def characters(self, kind: str, text: str, back: bool = False) -> str:
         """Letters and digits permuted within their classes; all else stays where it is."""
-        spots = [(i, *_PLACE[c]) for i, c in enumerate(text) if c in _PLACE]
+        spots = [(i, *found) for i, c in enumerate(text) if (found := _place(c))]
         n, x = 1, 0
         for _, alphabet, k in spots:
             n, x = n * len(alphabet), x * len(alphabet) + k
-        shape = "".join(chr(97 + len(a) % 26) for _, a, _ in spots)
+        shape = "".join(a[0] for _, a, _ in spots)
         x = self.permute(f"{kind}:{shape}", n, x, back)
         out = list(text)
         for i, alphabet, _ in reversed(spots):
@@ -180,36 +205,11 @@ class Pseudonyms:
         return self.characters("email", text[: m.start()], back) + m.group()
 
     def date(self, text: str, back: bool = False) -> str:
-        loose = read_loose_date(text)
-        if loose:
-            shape, day, write = loose
-            days = _days_of(shape)
-            x = self.permute(f"date:{shape}", len(days), int(np.searchsorted(days, day)), back)
-            return write(datetime.date.fromordinal(int(days[x])))
-        order, day, mark = read_date(text)
-        first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-        n = last - first + 1
-        if order != "ymd":  # day and month first: only days on which the reading is certain stay in their group
-            return self._certain_date(text, order, day, mark, back)
-        d = datetime.date.fromordinal(first + self.permute("date", n, day.toordinal() - first, back))
-        return f"{d.year:04d}{mark}{d.month:02d}{mark}{d.day:02d}"
-
-    def _certain_date(self, text: str, order: str, day: datetime.date, mark: str, back: bool) -> str:
-        wide = day.day > 12  # which of the two numbers is the day is seen
-        top = {1: 31, 2: 28, 3: 31, 4: 30, 5: 31, 6: 30, 7: 31, 8: 31, 9: 30, 10: 31, 11: 30, 12: 31}
-        leap = lambda y: y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
-        days = [(y, m, d) for y in (0, 1) for m in range(1, 13) for d in range(13 if wide else 1, (top[m] + (y == 1 and m == 2) if wide else 12) + 1)]
-        plain = [x[1:] for x in days if x[0] == 0]
-        leaps = [x[1:] for x in days if x[0] == 1]
-        years = range(1900, 2100)
-        starts, total = {}, 0
-        for y in years:
-            starts[y], total = total, total + len(leaps if leap(y) else plain)
-        x = self.permute(f"date:{order}:{wide}", total, starts[day.year] + (leaps if leap(day.year) else plain).index((day.month, day.day)), back)
-        y = max(y for y in years if starts[y] <= x)
-        m, d = (leaps if leap(y) else plain)[x - starts[y]]
-        a, b = (d, m) if order == "dmy" else (m, d)
-        return f"{a:02d}{mark}{b:02d}{mark}{y:04d}"
+        day, write = read_date(text)
+        name = _class_of(day)
+        days = _days_of(name)
+        x = self.permute(f"date:{name}", len(days), int(np.searchsorted(days, day.toordinal())), back)
+        return write(datetime.date.fromordinal(int(days[x])))
 
     def secret(self, text: str, back: bool = False) -> str:
         """The digits 0 to f as one number; a result without a letter or a digit is walked on from."""
@@ -222,24 +222,6 @@ class Pseudonyms:
                 return out.upper() if upper else out
 
 
-def read_date(text: str) -> tuple[str, datetime.date, str] | None:
-    """Order, day and mark of a valid date of 1900 to 2099; day first where both readings are right."""
-    m = re.fullmatch(r"(\d{4})([-/.])(\d{2})\2(\d{2})|(\d{2})([-/.])(\d{2})\6(\d{4})", text, re.ASCII)
-    if not m:
-        return None
-    if m[1]:
-        tries = [("ymd", int(m[1]), int(m[3]), int(m[4]), m[2])]
-    else:
-        tries = [("dmy", int(m[8]), int(m[7]), int(m[5]), m[6]), ("mdy", int(m[8]), int(m[5]), int(m[7]), m[6])]
-    for order, y, mo, d, mark in tries:
-        if 1900 <= y <= 2099:
-            try:
-                return order, datetime.date(y, mo, d), mark
-            except ValueError:
-                pass
-    return None
-
-
 _MONTHS = "january february march april may june july august september october november december".split()
 #: Short names; May has no other, so it counts as a long one only.
 _SHORT = {name[:3]: i for i, name in enumerate(_MONTHS, 1) if i != 5} | {"sept": 9}
@@ -248,73 +230,67 @@ _NAMED_DATE = re.compile(
     rf"(?P<d1>[0-9]{{1,2}})(?P<o1>st|nd|rd|th)?(?P<s1>[ -]|\ of\ )(?P<m1>{_NAME})(?P<s2>\.?,?[ -])(?P<y1>[0-9]{{4}})"
     rf"|(?P<m2>{_NAME})(?P<s3>\.?[ ])(?P<d2>[0-9]{{1,2}})(?P<o2>st|nd|rd|th)?(?P<s4>,?[ ])(?P<y2>[0-9]{{4}})", re.IGNORECASE | re.ASCII)
 _NUMBER_DATE = re.compile(r"([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})")
+_YEAR_FIRST = re.compile(r"([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})")
+#: Months that are permuted among themselves: May has no short name, September has two, others have one digit or two.
+_MONTH_CLASS = (1, 1, 1, 1, 5, 1, 1, 1, 9, 10, 10, 10)
+
+
+def _class_of(day: datetime.date) -> tuple[bool, int, int]:
+    return day.year >= 2000, (day.day > 9) + (day.day > 12), _MONTH_CLASS[day.month - 1]
 
 
 @lru_cache(64)
-def _days_of(shape: tuple) -> np.ndarray:
-    """Ordinals of all days that are written in a shape: widths of day and month, months, century, and, for
-    numbers, whether the day is over 12."""
-    day_width, month_width, months, century, wide = shape
-    first = datetime.date(2000 if century else 1900, 1, 1)
-    stamps = np.arange(np.datetime64(first), np.datetime64("2100-01-01"))
-    month = stamps.astype("datetime64[M]").astype(np.int64) % 12 + 1
-    day = (stamps - stamps.astype("datetime64[M]")).astype(np.int64) + 1
-    good = np.isin(month, months) & ((day_width == 2) | (day < 10)) & ((month_width == 2) | (month < 10))
-    if wide is not None:
-        good &= (day > 12) == wide
-    return np.flatnonzero(good) + first.toordinal()
+def _days_of(name: tuple[bool, int, int]) -> np.ndarray:
+    """Ordinals of all days of a class."""
+    first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+    return np.array([n for n in range(first, last + 1) if _class_of(datetime.date.fromordinal(n)) == name])
 
 
 def _ordinal(day: int) -> str:
     return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
 
 
-def read_loose_date(text: str) -> tuple[tuple, int, Callable[[datetime.date], str]] | None:
-    """Shape, ordinal and writer of a date with short numbers, a short year or a month's name."""
-    m = _NUMBER_DATE.fullmatch(text)
-    if m:
-        a, mark, b, year = m[1], m[2], m[3], m[4]
-        if len(a) == len(b) == 2 and len(year) == 4:
-            return None  # read_date has these
-        for first, (d, mo) in ((True, (a, b)), (False, (b, a))):  # day first where both readings are right
-            shape = (len(d), len(mo), tuple(range(1, 13)), len(year) == 2, int(d) > 12)
-
-            def write(x: datetime.date, first=first, d=d, mo=mo) -> str:
-                one, two = f"{x.day:0{len(d)}d}", f"{x.month:0{len(mo)}d}"
-                one, two = (one, two) if first else (two, one)
-                return f"{one}{mark}{two}{mark}" + (f"{x.year:04d}" if len(year) == 4 else f"{x.year % 100:02d}")
-
-            out = _checked(shape, int(year) + 2000 * (len(year) == 2), int(mo), int(d), write)
-            if out:
-                return out
+def _valid(year: int, month: int, day: int) -> datetime.date | None:
+    try:
+        return datetime.date(year, month, day) if 1900 <= year <= 2099 else None
+    except ValueError:
+        return None
+
+
+def read_date(text: str) -> tuple[datetime.date, Callable[[datetime.date], str]] | None:
+    """A valid date of 1900 to 2099 and what writes another one of its class in its format; day first where both
+    readings are right."""
+    if m := _YEAR_FIRST.fullmatch(text):
+        found = _valid(int(m[1]), int(m[3]), int(m[4]))
+        return (found, lambda x: f"{x.year:04d}{m[2]}{x.month:02d}{m[2]}{x.day:02d}") if found else None
+    if m := _NUMBER_DATE.fullmatch(text):
+        mark, short = m[2], len(m[4]) == 2
+        for d, mo in ((1, 3), (3, 1)):
+            found = _valid(int(m[4]) + 2000 * short, int(m[mo]), int(m[d]))
+            if found:
+
+                def write(x: datetime.date, d: int = d) -> str:
+                    numbers = {d: f"{x.day:0{len(m[d])}d}", 4 - d: f"{x.month:0{len(m[4 - d])}d}"}
+                    return f"{numbers[1]}{mark}{numbers[3]}{mark}" + (f"{x.year % 100:02d}" if short else f"{x.year:04d}")
+
+                return found, write
         return None
     m = _NAMED_DATE.fullmatch(text)
     if not m:
         return None
     k = "1" if m["d1"] else "2"
-    name, d, suffix, year = m["m" + k], m["d" + k], m["o" + k] or "", m["y" + k]
+    name, d, suffix = m["m" + k], m["d" + k], m["o" + k] or ""
     low = name.lower()
     style = str.upper if name.isupper() else str.lower if name.islower() else str.title
-    months = tuple(range(1, 13)) if low in _MONTHS else (9,) if low == "sept" else tuple(x for x in range(1, 13) if x != 5)
-    number = _MONTHS.index(low) + 1 if low in _MONTHS else _SHORT[low]
+    found = _valid(int(m["y" + k]), _MONTHS.index(low) + 1 if low in _MONTHS else _SHORT[low], int(d))
 
     def spell(x: datetime.date) -> str:
         new = style(_MONTHS[x.month - 1] if low in _MONTHS else "sept" if low == "sept" else _MONTHS[x.month - 1][:3])
-        own = f"{x.day:0{len(d)}d}"
         end = (_ordinal(x.day).upper() if suffix.isupper() else _ordinal(x.day)) if suffix else ""
-        if k == "1":
-            return f"{own}{end}{m['s1']}{new}{m['s2']}{x.year:04d}"
-        return f"{new}{m['s3']}{own}{end}{m['s4']}{x.year:04d}"
-
-    return _checked((len(d), 2, months, False, None), int(year), number, int(d), spell)
+        own = f"{x.day:0{len(d)}d}{end}"
+        return f"{own}{m['s1']}{new}{m['s2']}{x.year:04d}" if k == "1" else f"{new}{m['s3']}{own}{m['s4']}{x.year:04d}"
 
-
-def _checked(shape: tuple, year: int, month: int, day: int, write: Callable[[datetime.date], str]) -> tuple | None:
-    try:
-        found = datetime.date(year, month, day)
-    except ValueError:
-        return None
-    return (shape, found.toordinal(), write) if 1900 <= year <= 2099 else None
+    return (found, spell) if found else None
 
 
 def is_secret(text: str) -> bool:
@@ -331,9 +307,20 @@ def is_ssn(text: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
 
 
+#: Characters of an IBAN by country, as the public registry has them.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+
 def is_iban(text: str) -> bool:
     own = text.replace(" ", "")
-    return 15 <= len(own) <= 34 and iban_remainder(own) == 1
+    return len(own) == IBAN_LENGTHS.get(own[:2]) and iban_remainder(own) == 1
 
 
 _BLANK_PHONE = re.compile(r"[0-9]{3} [0-9]{3} [0-9]{4}")
@@ -355,15 +342,16 @@ _FINDERS: tuple[tuple[str, re.Pattern, Callable[[str], bool]], ...] = (
     ("secret", re.compile(_EDGE + r"(?=[0-9a-fA-F]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})" + _END), is_secret),
     ("iban", re.compile(_EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _END), is_iban),
     ("date", re.compile(_EDGE + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})" + _END), lambda x: read_date(x) is not None),
-    ("date", re.compile(rf"{_EDGE}(?<![0-9][-/.])(?:[0-9]{{1,2}}/[0-9]{{1,2}}/(?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{1,2}}([-.])[0-9]{{1,2}}\1[0-9]{{4}}|[0-9]{{2}}([-.])[0-9]{{2}}\2[0-9]{{2}}){_END}(?![-/.][0-9])"), lambda x: read_loose_date(x) is not None),
-    ("date", re.compile(rf"{_EDGE}(?:[0-9]{{1,2}}(?:st|nd|rd|th)?(?:[ -]|\ of\ )(?:{_NAME})\.?,?[ -][0-9]{{4}}|(?:{_NAME})\.?\ [0-9]{{1,2}}(?:st|nd|rd|th)?,?\ [0-9]{{4}}){_END}", re.IGNORECASE | re.ASCII), lambda x: read_loose_date(x) is not None),
+    ("date", re.compile(rf"{_EDGE}(?<![0-9][-/.])(?:[0-9]{{1,2}}/[0-9]{{1,2}}/(?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{1,2}}([-.])[0-9]{{1,2}}\1[0-9]{{4}}|[0-9]{{2}}([-.])[0-9]{{2}}\2[0-9]{{2}}){_END}(?![-/.][0-9])"), lambda x: read_date(x) is not None),
+    ("date", re.compile(rf"{_EDGE}(?:[0-9]{{1,2}}(?:st|nd|rd|th)?(?:[ -]|\ of\ )(?:{_NAME})\.?,?[ -][0-9]{{4}}|(?:{_NAME})\.?\ [0-9]{{1,2}}(?:st|nd|rd|th)?,?\ [0-9]{{4}}){_END}", re.IGNORECASE | re.ASCII), lambda x: read_date(x) is not None),
     ("ssn", re.compile(_EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END), is_ssn),
     ("ip", re.compile(r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|\.[0-9])"), is_ip),
     ("card", re.compile(_EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _END), is_card),
     ("phone", re.compile(r"(?<![0-9A-Za-z_+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{4})" + _END), is_phone),
 )
-_LOCAL = re.compile(r"[^\s@<>()\[\]{},;:\"'|\\/=]+$")
-_DOMAIN = re.compile(r"[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?(?:\.[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?)*\.[A-Za-z]{2,24}(?![0-9A-Za-z_])")
+_LOCAL = r"[^\s@<>()\[\]{},;:\"'|\\/=]"
+#: A local part from where its run of characters starts, so that a run is read once, and a domain of labels.
+_EMAIL = re.compile(rf"(?<!{_LOCAL})({_LOCAL}++)@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{{2,24}}(?!\w)")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -393,28 +381,42 @@ def _spans(pattern: re.Pattern, text: str, at: int, kind: str, test: Callable[[s
             at = cut.end() if cut else m.end()
 
 
+def _emails(text: str) -> Iterator[tuple[int, int, str]]:
+    """Addresses. A local part in letters with case or digits doesn't reach into letters without case before it, as these
+    scripts set no blanks between words."""
+    if "@" not in text:
+        return
+    for m in _EMAIL.finditer(text):
+        local, start = m[1], m.start()
+        last = next((c for c in reversed(local) if c.isalnum()), None)
+        if last is None:
+            continue
+        if unicodedata.category(last) != "Lo":
+            start += max((i + 1 for i, c in enumerate(local) if not c.isascii() and unicodedata.category(c) == "Lo"), default=0)
+        yield start, m.end(), "email"
+
+
+def _blanked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, b, _ in spans:
+        out += [text[at:a], "\0" * (b - a)]
+        at = b
+    return "".join([*out, text[at:]]) if spans else text
+
+
 def find_personal(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of validated values, without overlaps, in the order of the text."""
-    found: list[tuple[int, int, str]] = []
-    at = text.find("@")
-    while at >= 0:
-        m = _DOMAIN.match(text, at + 1)
-        local = _LOCAL.search(text, max(0, at - 128), at) if m else None
-        if m and local:
-            found.append((local.start(), m.end(), "email"))
-        at = text.find("@", at + 1)
+    found = list(_emails(text))
     first = _DIGIT.search(text)
     if first:
         # Every number format has a digit near its start: look only from a little before the first digit.
         start = max(0, first.start() - 70)
         # What is found is blanked out, so that a later format can't reach into it.
-        open_ = text
-        for kind, pattern, test in [("email", None, None), *_FINDERS]:
-            spans = list(found) if pattern is None else list(_spans(pattern, open_, start, kind, test))
-            if pattern is not None:
-                found += spans
-            for a, b, _ in spans:
-                open_ = open_[:a] + "\0" * (b - a) + open_[b:]
+        open_ = _blanked(text, found)
+        for kind, pattern, test in _FINDERS:
+            spans = list(_spans(pattern, open_, start, kind, test))
+            found += spans
+            open_ = _blanked(open_, spans)
     return sorted(found)
 
 
@@ -449,13 +451,22 @@ def _masker(key: bytes):
     return F.pandas_udf(run, _RESULT)
 
 
-def masked_column(docs: DataFrame, name: str, text: str = "text", key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; a random one is set where there is none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
+def masked_column(docs: DataFrame, name: str, key: bytes, text: str = "text") -> DataFrame:
     """docs with a column `name`: the new text and the number of finds of each kind."""
     return docs.withColumn(name, _masker(key)(F.col(text)))
 
 
-def mask_documents(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def mask_documents(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """The documents with pseudonyms in place of personal values, in the columns of docs."""
     q = "__pii"
-    out = masked_column(docs, q, text, key)
+    out = masked_column(docs, q, key, text)
     return out.select(*(F.col(f"{q}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

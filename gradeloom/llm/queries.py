@@ -38,9 +38,9 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pseudonyms import KINDS, masked_column
+    from .pseudonyms import KINDS, key_of, masked_column
 
-    docs = masked_column(read_documents(spark, sf_dir).select("doc_id", "text"), "masked")
+    docs = masked_column(read_documents(spark, sf_dir).select("doc_id", "text"), "masked", key_of(spark))
     return docs.select("doc_id", "masked.text", *(F.col(f"masked.{k}").alias(f"n_{k}") for k in KINDS))
 
 

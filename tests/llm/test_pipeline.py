@@ -42,7 +42,7 @@ def test_each_stage_against_plain_python(spark):
     assert two.columns == columns and plain(after) == plain([r for r in got if r[0] in stay])
 
     three = corpus_pipeline.pseudonymise(spark, table(spark, after), "")
-    made = pseudonyms.Pseudonyms(pseudonyms.KEY)
+    made = pseudonyms.Pseudonyms(pseudonyms.key_of(spark))
     masked = [tuple(r) for r in three.collect()]
     assert three.columns == columns
     assert plain(masked) == plain([(r[0], pseudonyms.mask_text(r[1], made)[0], *r[2:]) for r in after])

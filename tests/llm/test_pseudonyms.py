@@ -69,7 +69,7 @@ def test_table(spark):
     card = MADE.card("4111111111111111")
     assert got[801].text == card and got[800].text.endswith(card) and got[800]["size"] == 3
     assert sum(r.text is None for r in out.collect()) == 2
-    assert ps.mask_documents(table(spark, [])).count() == 0
+    assert ps.mask_documents(table(spark, []), b"k").count() == 0
 
 
 def test_short_and_named_dates_blank_phones_and_later_groups():
@@ -90,3 +90,90 @@ def test_short_dates_are_one_to_one():
     named = [f"{d} {m} {y}" for y in (1999, 2000) for m in ("Jan", "Mar", "March", "May", "Sept", "Sep") for d in range(1, 29)]
     assert len({MADE.date(x) for x in days + named}) == len(days + named)
     assert all(MADE.date(MADE.date(x), True) == x for x in named)
+
+
+def test_addresses_of_any_script():
+    for text in ("иван@mail.ru", "李雷@example.com", "x@пример.рф", "a" * 200 + "@foo.example.com", "ῥ@x.gr", "o'neil.b+tag@sub.example.co", "५@x.in"):
+        masked, found = ps.mask_text(f"to {text} now", MADE)
+        assert len(found) == 1 and found[0][2] == "email", text
+        new = masked[3:-4]
+        assert new != text and all(a != b for a, b in [(new.split("@")[0], text.split("@")[0])]), (text, new)
+        assert MADE.email(new[len(new) - (found[0][1] - found[0][0]):], True) == text[len(text) - (found[0][1] - found[0][0]):]
+    masked, found = ps.mask_text("请联系li@example.com", MADE)
+    assert masked.startswith("请联系") and "li@" not in masked
+    assert ps.find_personal("++@example.com") == []
+
+
+def test_a_day_has_one_pseudonym_in_every_format():
+    rng = random.Random(9)
+    import datetime
+
+    names = "January February March April May June July August September October November December".split()
+    for _ in range(300):
+        d = datetime.date.fromordinal(rng.randrange(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()))
+        forms = [f"{d:%Y-%m-%d}", f"{d:%d/%m/%Y}", f"{d.day}/{d.month}/{d.year}", f"{d.day} {names[d.month - 1]} {d.year}", f"{names[d.month - 1][:3]} {d.day}, {d.year}"]
+        if d.day > 12:
+            forms.append(f"{d:%m-%d-%Y}")
+        if d.year >= 2000:
+            forms.append(f"{d:%d.%m.%y}")
+        new = [ps.read_date(MADE.date(x))[0] for x in forms]
+        assert len(set(new)) == 1 and new[0] != d, (forms, new)
+        assert all(MADE.date(MADE.date(x), True) == x for x in forms)
+
+
+def test_country_lengths():
+    body = next(f"ZZ{i:02d}40440532013000123" for i in range(98) if ps.iban_remainder(f"ZZ{i:02d}40440532013000123") == 1)
+    assert len(body) == 21 and ps.find_personal(f"see {body} here") == []
+
+
+def plain_values(rng):
+    """Values made here, by rules of this test's own."""
+    digits = lambda n: [rng.randrange(10) for _ in range(n)]
+    card = [4, *digits(14)]
+    total = sum(sum(divmod(2 * x, 10)) if i % 2 == 0 else x for i, x in enumerate(card))
+    card = "".join(map(str, [*card, -total % 10]))
+    account = "".join(map(str, digits(18)))
+    check = 98 - int(account + "131400") % 97
+    yield card
+    yield f"DE{check:02d}{account}"
+    yield f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}"
+    yield f"+1 ({rng.randrange(201, 999)}) 555-{rng.randrange(10000):04d}"
+    yield ".".join(str(rng.randrange(256)) for _ in range(4))
+    yield f"{rng.choice(['ann', 'bob', 'zoé', 'олег'])}{rng.randrange(100)}@{rng.choice(['mail', 'post'])}.example.org"
+    yield f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+    yield "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))
+
+
+def test_no_planted_value_stays_and_all_else_does(spark):
+    rng = random.Random(12)
+    rows, planted = [], {}
+    for i in range(60):
+        parts, own = [], []
+        for v in plain_values(rng):
+            parts += [prose_words(rng), v]
+            own.append(v)
+        rows.append((i, " ; ".join([*parts, "end"]), "en", "s", 0, None, None, None))
+        planted[i] = own
+    for r in ps.mask_documents(table(spark, rows), b"k").collect():
+        old = next(x[1] for x in rows if x[0] == r.doc_id).split(" ; ")
+        new = r.text.split(" ; ")
+        assert len(old) == len(new)
+        for a, b in zip(old, new):
+            assert (a != b) == (a in planted[r.doc_id]), (a, b)
+
+
+def prose_words(rng):
+    return " ".join(f"word{chr(97 + rng.randrange(26))}" for _ in range(rng.randrange(1, 9)))
+
+
+def test_time_is_in_proportion():
+    import time
+
+    text = "id 4068516892505468 and a.b@mail.example.org " * 300
+    start = time.perf_counter()
+    ps.mask_text(text, MADE)
+    one = time.perf_counter() - start
+    start = time.perf_counter()
+    ps.mask_text(text * 10, MADE)
+    ps.find_personal("a" * 300_000 + " " + "@" * 100_000)
+    assert time.perf_counter() - start < 40 * one + 2
