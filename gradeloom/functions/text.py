@@ -146,10 +146,14 @@ def html_text(text: Column) -> Column:
     return text
 
 
+#: Characters that are meant as a backslash, and a slash before a command's letters.
+OTHER_BACKSLASHES = "[＼﹨∖]"
+COMMAND_SLASH = r"(^|[\s{\[(,;:=<>+\-*])[/／]([A-Za-z]+)\b"
+
+
 def command_slashes(text: Column) -> Column:
     """Wide and forward slashes before a command's letters become backslashes."""
-    text = F.regexp_replace(text, "[＼﹨∖]", r"\\")
-    return F.regexp_replace(text, r"(^|[\s{\[(,;:=<>+\-*])[/／]([A-Za-z]+)\b", r"$1\\$2")
+    return F.regexp_replace(F.regexp_replace(text, OTHER_BACKSLASHES, r"\\"), COMMAND_SLASH, r"$1\\$2")
 
 
 def quoted_pattern(text: Column) -> Column:
@@ -163,14 +167,27 @@ MARKDOWN_SECTIONS = ("错误细节", "证明题审查", "改进建议")
 
 
 def markdown(text: Column) -> Column:
-    """A report as markdown: rules go, fields are bold, sections are headings."""
-    out = strip(unix_lines(F.coalesce(text, F.lit(""))))
-    out = F.regexp_replace(out, r"(?m)^[=\-*_]{6,}[ \t]*$", "")
-    for name in MARKDOWN_FIELDS:
-        out = F.regexp_replace(out, rf"(?m)^\s*{name}\s*[：:]\s*(.*)$", f"**{name}：**$1")
-    for name in MARKDOWN_SECTIONS:
-        out = F.regexp_replace(out, rf"(?m)^\s*{name}\s*[：:]*\s*$", f"\n## {name}\n")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    """A report as markdown, line by line: rules go, fields are bold and sections are headings with blank lines around.
+
+    Blank lines before a field go, and of several others one stays.
+    """
+    joins = "\x01"  # what follows stands right under the line before
+
+    def line(x: Column) -> Column:
+        bare, at = strip(x), colon_at(x)
+        label = F.when(at > 0, strip(F.substring(x, F.lit(1), at - 1)))
+        field = F.concat(F.lit(f"{joins}**"), label, F.lit("：**"), F.ltrim(F.substring(x, at + 1, F.length(x)), F.lit(SPACE_CHARS)))
+        title = strip(F.rtrim(bare, F.lit("：:")))
+        return (
+            F.when(x.rlike(rf"^[=*_-]{{6,}}[{SPACE}]*$"), "")
+            .when(label.isin(*MARKDOWN_FIELDS), field)
+            .when(title.isin(*MARKDOWN_SECTIONS), F.concat(F.lit("\n## "), title, F.lit("\n")))
+            .otherwise(x)
+        )
+
+    whole = F.array_join(F.transform(lines_of(strip(unix_lines(F.coalesce(text, F.lit(""))))), line), "\n")
+    whole = F.replace(F.regexp_replace(whole, f"[{SPACE}]*{joins}", f"\n{joins}"), F.lit(joins), F.lit(""))
+    return strip(F.regexp_replace(whole, r"\n{3,}", "\n\n"))
 
 
 def cell_text(text: Column) -> Column:
@@ -198,10 +215,6 @@ def attachment_name(header: Column) -> Column:
     return F.coalesce(F.nullif(F.try_url_decode(coded), F.lit("")), F.nullif(plain, F.lit("")))
 
 
-#: Digits of a number in a sort key; longer runs of digits sort after shorter ones anyway.
-KEY_DIGITS = 20
-
-
 def natural_key(name: Column) -> Column:
     """A string whose order is the natural one: runs of digits by value, other characters in lower case.
 
@@ -231,7 +244,10 @@ def question_ids(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), found).otherwise(F.array().cast("array<string>"))
 
 
+#: Environments that are matrices.
+MATRIX_NAMES = ("matrix", "pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "array", "cases", "aligned", "smallmatrix")
+
+
 def has_matrix(text: Column) -> Column:
     """Whether a matrix-like environment begins in the text."""
-    names = "matrix|pmatrix|bmatrix|Bmatrix|vmatrix|Vmatrix|smallmatrix|array|cases|aligned"
-    return text.rlike(rf"\\begin\{{(?:{names})\*?\}}")
+    return text.rlike(r"\\begin\{(?:" + "|".join(MATRIX_NAMES) + r")\}")

@@ -1,7 +1,7 @@
 """Reports of a fixed template: parsing into nested columns, and writing.
 
 A report is text with labelled lines. Which labels there are is read from a format text, so the sections are
-a map and not fields. All of a report is handled within its row by folds over its lines: nothing is
+a map and not fields. All of a report is handled within its row by cutting its lines at labels and numbers: nothing is
 shuffled. Order matters and is kept: sections as the format has them, questions as first seen.
 """
 
@@ -55,73 +55,82 @@ class ReportFormat:
         return next((s for s in self.sections if word in s), None)
 
 
+#: Kinds of lines in a format text, the first that fits: rules, the name's, the overall's and a section's label.
+_FORMAT_LINE = re.compile(rf"(?P<rule>=+)|(?P<name>.*?){re.escape(NAME_MARK)}.*|(?P<overall>{OVERALL_PREFIX}[^\[]*).*|(?P<section>.*[：:])")
+
+
 def read_format(text: str) -> ReportFormat:
     """Labels of a format text: the name's, the overall's, and the sections', each section once."""
-    bare = lambda s: s.strip().rstrip("：:").strip()
-    name = overall = None
-    sections: dict[str, None] = {}
-    for line in filter(None, (x.strip() for x in text.splitlines())):
-        if re.fullmatch("=+", line):
-            continue
-        if NAME_MARK in line:
-            name = bare(line.partition(NAME_MARK)[0])
-        elif line.startswith(OVERALL_PREFIX):
-            overall = bare(line.partition("[")[0])
-        elif line[-1] in "：:":
-            sections.setdefault(bare(line))
-    return ReportFormat(name, overall, tuple(sections))
+    found: dict[str, dict[str, None]] = {"rule": {}, "name": {}, "overall": {}, "section": {}}
+    for m in filter(None, (_FORMAT_LINE.fullmatch(x.strip()) for x in text.splitlines())):
+        label, labels = m[m.lastgroup].strip().rstrip("：:").strip(), found[m.lastgroup]
+        if m.lastgroup != "section":
+            labels.clear()  # the last one holds
+        labels.setdefault(label)
+    last = lambda kind: next(reversed(found[kind]), None)
+    return ReportFormat(last("name"), last("overall"), tuple(found["section"]))
+
+
+def editable_section(title: Column) -> Column:
+    """Whether items may be added to a section and taken from it: errors, proofs and advice."""
+    return F.coalesce(title.contains(ERROR_SECTION) | title.contains(PROOF_SECTION) | title.contains(ADVICE_SECTION), F.lit(False))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, also where use() puts it into a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _stretches(values: Column, starts: Column, use) -> Column:
+    """use(elements from one start up to the next) for each of the ascending places in starts; linear."""
+    n = F.size(values)
+    return F.transform(starts, lambda i, k: _bound(F.slice(values, i + 1, F.coalesce(F.get(starts, k + 1), n) - i), use))
+
+
+def _places(values: Column, wanted) -> Column:
+    """Places of the elements that are wanted."""
+    return F.filter(F.transform(values, lambda x, i: F.when(wanted(x, i), i)), lambda i: i.isNotNull())
 
 
 def tagged_lines(text: Column, fmt: ReportFormat) -> Column:
-    """Array of (kind, section, line): kind is name, overall or body; lines outside any section are left out."""
+    """Array of (kind, section, line): kind is name, overall or body; lines outside any section are left out.
+
+    The text is cut at its labels, so the work is in proportion to its lines.
+    """
     line_type = "array<struct<kind:string,section:string,line:string>>"
     sections = F.array(*map(F.lit, fmt.sections)) if fmt.sections else F.array().cast("array<string>")
 
     # Each stage is a pass of its own, so that no expression is worked out twice for a line.
     bare = F.transform(T.lines_of(T.unix_lines(F.coalesce(text, F.lit("")), lone=False)), lambda x: F.struct(x.alias("raw"), T.strip(x).alias("bare")))
+    bare = F.filter(bare, lambda x: F.btrim(x["bare"], F.lit("=")) != "")  # rules and blank lines
     bare = F.transform(bare, lambda x: F.struct(x["raw"].alias("raw"), x["bare"].alias("bare"), T.colon_at(x["bare"]).alias("at")))
     # A label ends before the first colon, so none is left to strip from it.
     split = F.transform(bare, lambda x: F.struct(
-        x["raw"].alias("raw"), (F.btrim(x["bare"], F.lit("=")) == "").alias("drop"),
-        F.when(x["at"] > 1, T.strip(F.substring(x["bare"], F.lit(1), x["at"] - 1))).otherwise("").alias("label"), T.value_of(x["bare"], x["at"]).alias("value")))
-    nothing = F.lit(None).cast("string")
-    none = F.array().cast(line_type)
-
-    def step(state: Column, x: Column) -> Column:
-        is_name = (x["label"] == fmt.name_label) if fmt.name_label else F.lit(False)
-        is_overall = (x["label"] == fmt.overall_label) if fmt.overall_label else F.lit(False)
-        opens = F.array_contains(sections, x["label"])
-        row = lambda kind, section, line: F.array(F.struct(F.lit(kind).alias("kind"), section.alias("section"), line.alias("line")))
-        now = F.when(x["drop"], state["section"]).when(is_name | is_overall, nothing).when(opens, x["label"]).otherwise(state["section"])
-        add = (
-            F.when(x["drop"], none)
-            .when(is_name, row("name", nothing, x["value"]))
-            .when(is_overall, row("overall", nothing, x["value"]))
-            .when(opens, F.when(x["value"] != "", row("body", x["label"], x["value"])).otherwise(none))
-            .when(state["section"].isNotNull(), row("body", state["section"], x["raw"]))
-            .otherwise(none)
-        )
-        return F.struct(now.alias("section"), F.concat(state["out"], add).alias("out"))
-
-    start = F.struct(nothing.alias("section"), none.alias("out"))
-    return F.aggregate(split, start, step)["out"]
+        x["raw"].alias("raw"), F.when(x["at"] > 1, T.strip(F.substring(x["bare"], F.lit(1), x["at"] - 1))).otherwise("").alias("label"), T.value_of(x["bare"], x["at"]).alias("value")))
+    is_label = lambda x, label: (x["label"] == label) if label else F.lit(False)
+    split = F.transform(split, lambda x: F.struct(
+        x["raw"].alias("raw"), x["label"].alias("label"), x["value"].alias("value"),
+        F.when(is_label(x, fmt.name_label), "name").when(is_label(x, fmt.overall_label), "overall").when(F.array_contains(sections, x["label"]), "body").alias("kind")))
+    nothing, none = F.lit(None).cast("string"), F.array().cast(line_type)
+    row = lambda kind, section, line: F.struct(kind.alias("kind"), section.alias("section"), line.alias("line"))
+
+    def rows(stretch: Column) -> Column:
+        head = stretch[0]
+        body = F.transform(F.slice(stretch, 2, F.size(stretch)), lambda x: row(F.lit("body"), head["label"], x["raw"]))
+        first = F.when(head["value"] != "", F.array(row(F.lit("body"), head["label"], head["value"]))).otherwise(none)
+        return F.when(head["kind"] == "body", F.concat(first, body)).otherwise(F.array(row(head["kind"], nothing, head["value"])))
+
+    return _bound(split, lambda s: F.flatten(_bound(_places(s, lambda x, i: x["kind"].isNotNull()), lambda at: _stretches(s, at, rows))))
 
 
 def numbered_items(lines: Column) -> Column:
     """Items of numbered lines: a number starts one, other lines go on; lines before any number are one."""
-
-    bare = F.transform(lines, lambda x: T.strip(x))
+    bare = F.filter(F.transform(lines, T.strip), lambda x: x != "")
     cut = F.transform(bare, lambda x: F.struct(x.alias("more"), F.regexp_replace(x, ITEM_MARK, "").alias("rest")))
-
-    def step(items: Column, x: Column) -> Column:
-        n = F.size(items)
-        last = F.try_element_at(items, F.lit(-1))
-        longer = F.when(last == "", x["more"]).otherwise(F.concat(last, F.lit("\n"), x["more"]))
-        rest = F.slice(items, 1, F.greatest(n - 1, F.lit(0)))
-        starts = F.length(x["rest"]) < F.length(x["more"])
-        return F.when(x["more"] == "", items).when(starts, F.concat(items, F.array(T.strip(x["rest"])))).when(n == 0, F.array(x["more"])).otherwise(F.concat(rest, F.array(longer)))
-
-    found = F.aggregate(cut, F.array().cast("array<string>"), step)
+    starts = lambda x, i: (i == 0) | (F.length(x["rest"]) < F.length(x["more"]))
+    # An item's first line is what follows its number, if anything does.
+    joined = lambda part: F.array_join(F.filter(F.transform(part, lambda x: T.strip(x["rest"])), lambda x: x != ""), "\n")
+    found = _bound(cut, lambda c: _bound(_places(c, starts), lambda at: _stretches(c, at, joined)))
     return F.filter(F.transform(found, T.strip), lambda x: x != "")
 
 
@@ -130,14 +139,15 @@ def by_question(items: Column) -> Column:
     none = F.array(F.lit(UNKNOWN_QUESTION))
 
     def pairs(item: Column) -> Column:
-        ids = F.transform(F.array(T.question_ids(item)), lambda x: F.when(F.size(x) == 0, none).otherwise(x))[0]
+        ids = _bound(T.question_ids(item), lambda x: F.when(F.size(x) == 0, none).otherwise(x))
         return F.transform(ids, lambda q: F.struct(q.alias("q"), item.alias("item")))
 
-    # Bound once, as it is used twice.
-    return F.transform(F.array(F.flatten(F.transform(items, pairs))), lambda ps: F.transform(
-        F.array_distinct(F.transform(ps, lambda p: p["q"])),
-        lambda q: F.struct(q.alias("question"), F.transform(F.filter(ps, lambda p: p["q"] == q), lambda p: p["item"]).alias("items")),
-    ))[0]
+    # Sorted by question and place, cut where the question changes, and put back in the order of first places.
+    placed = F.transform(F.flatten(F.transform(items, pairs)), lambda p, i: F.struct(p["q"].alias("q"), i.alias("i"), p["item"].alias("item")))
+    group = lambda part: F.struct(part[0]["i"].alias("i"), part[0]["q"].alias("question"), F.transform(part, lambda p: p["item"]).alias("items"))
+    groups = _bound(F.array_sort(placed), lambda ps: _bound(
+        _places(ps, lambda x, i: (i == 0) | (F.get(ps, F.greatest(i - 1, F.lit(0)))["q"] != x["q"])), lambda at: _stretches(ps, at, group)))
+    return F.transform(F.array_sort(groups), lambda g: F.struct(g["question"].alias("question"), g["items"].alias("items")))
 
 
 def _last(tagged: Column, kind: str) -> Column:

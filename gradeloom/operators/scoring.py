@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions import media
 from gradeloom.functions import text as T
 from gradeloom.functions import verdicts as V
 from gradeloom.operators.decisions import NO_PAGES
@@ -67,12 +68,30 @@ def with_failure_reports(scored: DataFrame) -> DataFrame:
     return scored.withColumn("body", F.when(F.col("status") == "success", F.col("body")).otherwise(report))
 
 
-def usable_pages(pages: DataFrame, content: str = "content") -> DataFrame:
-    """Data addresses of each student's pages by number; unreadable or too large ones are left out and counted."""
-    from gradeloom.functions import media
+def usable_pages(pages: DataFrame, content: str = "content", limit: int = media.SAFE_IMAGE_BYTES, compress: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """Data addresses of each student's pages by number.
 
-    uri = media.data_uri(F.col(content), F.lit("image/png"))
-    ok = F.col(content).isNotNull() & (F.octet_length(content) > 0) & ~media.uri_too_long(uri)
-    marked = pages.withColumn("__uri", F.when(ok, uri))
-    parts: Column = F.array_sort(F.collect_list(F.when(ok, F.struct("page_no", F.col("__uri").alias("uri")))))
-    return marked.groupBy("student_id").agg(F.transform(parts, lambda x: x["uri"]).alias("pages"), F.count_if(~ok).alias("left_out"))
+    Pages of more than `limit` bytes are made smaller, and only these go to Python. Unreadable ones, and those
+    that are too large even then, are left out and counted.
+    """
+    smaller = compress or media.Shrinker(limit)
+    rows = pages.select("student_id", "page_no", F.col(content).alias("content"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            made = []
+            for data in part["content"]:
+                try:
+                    made.append(smaller(bytes(data)))
+                except Exception:  # a page that can't be read; it's counted below
+                    made.append(None)
+            yield part.assign(content=made)
+
+    large = F.coalesce(F.octet_length("content") > limit, F.lit(False))
+    both = rows.where(~large).unionByName(rows.where(large).mapInPandas(run, rows.schema))
+    jpeg = F.startswith("content", F.lit(b"\xff\xd8\xff"))
+    uri = media.data_uri(F.col("content"), F.when(jpeg, "image/jpeg").otherwise("image/png"))
+    ok = F.coalesce((F.octet_length("content") > 0) & ~media.uri_too_long(uri), F.lit(False))
+    marked = both.select("student_id", "page_no", F.when(ok, uri).alias("uri"))
+    parts: Column = F.array_sort(F.collect_list(F.when(F.col("uri").isNotNull(), F.struct("page_no", "uri"))))
+    return marked.groupBy("student_id").agg(F.transform(parts, lambda x: x["uri"]).alias("pages"), F.count_if(F.col("uri").isNull()).alias("left_out"))

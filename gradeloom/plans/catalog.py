@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.plans import domain, ordering, submissions, texts
+from gradeloom.plans import domain, library, ordering, submissions, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (submissions, texts, ordering, domain)
+_MODULES = (submissions, texts, ordering, domain, library)
 
 
 def queries() -> dict[str, Query]:

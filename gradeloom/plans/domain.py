@@ -113,7 +113,34 @@ def export_events(spark, sf_dir):
         F.when(F.col("event_type") == "purchase", F.lit("text")).alias("text"), F.when(F.col("event_type") == "error", F.lit("broken")).alias("error"))
 
 
-@query()
+#: The machine's rules as a recursion over each student's events. A source is there once `src` isn't null.
+FSM = """WITH RECURSIVE e AS (
+SELECT user_id::VARCHAR AS student_id, event_id AS seq, event_id::DOUBLE AS at, coalesce(value > 30, FALSE) AS urgent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'signup' THEN 'source' ELSE CASE WHEN event_id % 3 = 0 THEN 'finish' ELSE 'request' END END AS kind,
+CASE WHEN event_type = 'purchase' THEN 'text' END AS text, CASE WHEN event_type = 'error' THEN 'broken' END AS error FROM events),
+s AS (
+SELECT student_id, 0::BIGINT AS n, 0::BIGINT AS seq, 'missing' AS status, '' AS error, '' AS text, NULL::DOUBLE AS src, 0::DOUBLE AS cached, NULL::DOUBLE AS rendering, FALSE AS rerun, FALSE AS urgent FROM e WHERE n = 1
+UNION ALL
+SELECT e.student_id, e.n, e.seq,
+CASE WHEN e.kind = 'request' THEN CASE WHEN s.src IS NULL THEN 'missing' WHEN s.status = 'rendering' THEN 'rendering' ELSE 'queued' END
+     WHEN e.kind = 'start' AND s.status = 'queued' THEN 'rendering'
+     WHEN done THEN CASE WHEN again THEN 'queued' WHEN e.error IS NULL THEN 'ready' ELSE 'error' END ELSE s.status END,
+CASE WHEN e.kind = 'request' OR e.kind = 'start' AND s.status = 'queued' THEN '' WHEN done THEN CASE WHEN again OR e.error IS NULL THEN '' ELSE e.error END ELSE s.error END,
+CASE WHEN done AND NOT again THEN CASE WHEN e.error IS NULL THEN coalesce(e.text, '') ELSE '' END ELSE s.text END,
+CASE WHEN e.kind = 'source' THEN e.at ELSE s.src END,
+CASE WHEN done AND NOT again AND e.error IS NULL THEN coalesce(s.rendering, 0) ELSE s.cached END,
+CASE WHEN e.kind = 'start' AND s.status = 'queued' THEN s.src WHEN done THEN NULL ELSE s.rendering END,
+CASE WHEN e.kind = 'request' AND s.src IS NOT NULL AND s.status = 'rendering' THEN TRUE WHEN done THEN FALSE ELSE s.rerun END,
+CASE WHEN e.kind = 'request' AND s.src IS NOT NULL AND s.status <> 'rendering' THEN e.urgent OR (s.status = 'queued' AND s.urgent)
+     WHEN e.kind = 'start' AND s.status = 'queued' THEN FALSE WHEN done AND again THEN TRUE WHEN done AND e.error IS NULL THEN s.urgent ELSE s.urgent END
+FROM s JOIN e ON e.student_id = s.student_id AND e.n = s.n + 1,
+LATERAL (SELECT e.kind = 'finish' AND s.status = 'rendering' AS done) d,
+LATERAL (SELECT s.rerun OR (e.error IS NULL AND coalesce(s.src, 0) > coalesce(s.rendering, 0) + 1e-6) AS again) g)
+SELECT student_id, seq, shown AS status, error, shown = 'ready' AS ready, urgent FROM
+(SELECT *, CASE WHEN status IN ('queued', 'rendering') THEN status WHEN src IS NULL THEN 'missing' WHEN trim(text) <> '' AND cached >= src - 1e-6 THEN 'ready' ELSE 'stale' END AS shown FROM s WHERE n > 0)"""
+
+
+@query(FSM)
 def export_fsm(spark, sf_dir):
     """Reported states of exports after every event."""
     return export_state.export_batch(export_events(spark, sf_dir))

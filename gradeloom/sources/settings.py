@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -24,40 +25,67 @@ SUBJECT_SCHEMA = ", ".join(f"{f} string" for f in SUBJECT_FIELDS)
 ASSIGNMENT_SCHEMA = "assignment_id string, week_name string, week_dir string, answer_key string, raw_submissions_dir string, processed_images_dir string, results_dir string, preprocess_summary string, grading_summary string, subject_config string"
 
 
+#: A line NAME=value with one pair of quotes around the value or none: name, quote, quoted value, bare value. Comments and
+#: other names don't fit. Columns and the driver read lines by it alike.
+ENV_LINE = rf"""^[{T.SPACE}]*([A-Za-z_][A-Za-z0-9_]*)[{T.SPACE}]*=[{T.SPACE}]*(?:(["'])(.*)\2|(.*?))[{T.SPACE}]*$"""
+
+
 def parse_env_lines(rows: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
     """name and value of lines NAME=value; the last line of a name wins within keys."""
-    bare = T.strip(F.col(line))
-    rows = rows.where(bare.contains("=") & ~bare.startswith("#"))
-    rows = rows.withColumn("name", T.strip(T.before_first(bare, "="))).withColumn("value", T.strip_quotes(T.strip(T.after_first(bare, "="))))
-    return latest(rows.where(F.col("name").rlike(ENV_NAME)), [*keys, "name"], [F.desc(order)]).select(*keys, "name", "value")
+    part = lambda i: F.regexp_extract(line, ENV_LINE, i)
+    rows = rows.where(F.col(line).rlike(ENV_LINE))
+    rows = rows.withColumn("name", part(1)).withColumn("value", F.when(part(2) != "", part(3)).otherwise(part(4)))
+    return latest(rows, [*keys, "name"], [F.desc(order)]).select(*keys, "name", "value")
 
 
 def env_of(text: str) -> dict[str, str]:
     """The same for one small file on the driver; its values are secrets and never become rows."""
-    out = {}
-    for raw in text.splitlines():
-        line = raw.strip()
-        if not line or line.startswith("#") or "=" not in line:
-            continue
-        name, value = (x.strip() for x in line.split("=", 1))
-        if re.match(ENV_NAME, name) and not name.endswith("\n"):
-            out[name] = value[1:-1] if len(value) >= 2 and value[0] == value[-1] and value[0] in "'\"" else value
-    return out
+    found = filter(None, (re.match(ENV_LINE, x) for x in text.splitlines()))
+    return {m[1]: m[3] if m[2] else m[4] for m in found}
 
 
 def env_text(values: dict[str, str]) -> str:
     """A settings file with its names in order and its values quoted."""
-    quote = lambda v: '"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"'
-    return "".join(f"{k}={quote(values[k])}\n" for k in sorted(values))
+    escape = str.maketrans({"\\": "\\\\", '"': '\\"'})
+    return "".join(f'{name}="{value.translate(escape)}"\n' for name, value in sorted(values.items()))
 
 
 def resolve_key(name: str, local: dict[str, str]) -> tuple[str | None, str]:
     """A key and where it is from: the process's environment goes before the file."""
-    if not name:
-        return None, "missing_env_name"
-    if os.environ.get(name):
-        return os.environ[name], "process_env"
-    return (local[name], "local_env") if local.get(name) else (None, "missing")
+    places = (("process_env", os.environ), ("local_env", local)) if name else ()
+    held = ((values.get(name, "").strip(), place) for place, values in places)
+    return next(((key, place) for key, place in held if key), (None, "missing" if name else "missing_env_name"))
+
+
+@dataclass(frozen=True)
+class LocalConfig:
+    """Keys and options of one installation, in two small files. Each change reads, changes and replaces a whole file."""
+
+    keys_file: Path
+    options_file: Path
+
+    def _replace(self, path: Path, text: str) -> None:
+        path.parent.mkdir(parents=True, exist_ok=True)
+        fresh = path.with_name(f"{path.name}.new")
+        fresh.write_text(text, encoding="utf-8")
+        fresh.replace(path)
+
+    def keys(self) -> dict[str, str]:
+        return env_of(self.keys_file.read_text(encoding="utf-8")) if self.keys_file.is_file() else {}
+
+    def options(self) -> dict:
+        return settings_of(self.options_file.read_text(encoding="utf-8")) if self.options_file.is_file() else {}
+
+    def set_key(self, name: str, value: str) -> None:
+        name, value = name.strip(), value.strip()
+        if not re.fullmatch(ENV_NAME, name) or not value:
+            raise ValueError("a key needs a name of letters, digits and underscores, and a value")
+        self._replace(self.keys_file, env_text(self.keys() | {name: value}))
+
+    def set_engine(self, engine: str) -> None:
+        if export_engine({"export_engine": engine}) != engine.strip().lower():
+            raise ValueError(f"no such engine: {engine}")
+        self._replace(self.options_file, json.dumps(self.options() | {"export_engine": engine.strip().lower()}, ensure_ascii=False, indent=2) + "\n")
 
 
 def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -77,16 +105,15 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
 
 def settings_of(text: str | None) -> dict:
     """A settings object; anything else counts as empty."""
-    try:
-        found = json.loads(text or "")
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
+    with contextlib.suppress(ValueError):
+        if isinstance(found := json.loads(text or "null"), dict):
+            return found
+    return {}
 
 
 def export_engine(settings: dict) -> str:
-    engine = str(settings.get("export_engine", "")).lower()
-    return engine if engine in ENGINES else DEFAULT_ENGINE
+    """The engine that the settings name, if it is one."""
+    return next((e for e in ENGINES if e == str(settings.get("export_engine") or "").strip().lower()), DEFAULT_ENGINE)
 
 
 @dataclass(frozen=True)

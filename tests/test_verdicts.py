@@ -101,3 +101,18 @@ def test_export_text(spark):
         V.export_text(F.lit("  "), F.lit("x"), nothing, nothing, nothing).alias("b"),
     ).first()
     assert row.a == "a\nb" and row.b is None
+
+
+def test_a_long_report(spark):
+    lines = ["错误细节："] + [f"{i}. 第{i % 5000}.1题 x" if i % 2 else f"more {i}" for i in range(100_000)]
+    row = V.parse_reports(spark.createDataFrame([("\n".join(lines),)], "t string"), "t", FMT).select("sections", "error_questions").first()
+    items = row.sections[0]["items"]
+    assert len(items) == 50_001 and items[0] == "more 0" and items[1] == "第1.1题 x\nmore 2" and items[-1] == "第4999.1题 x"
+    assert [q.question for q in row.error_questions][:3] == [V.UNKNOWN_QUESTION, "1.1", "3.1"] and len(row.error_questions) == 2501
+    assert all(len(q["items"]) == 20 for q in row.error_questions[1:])
+
+
+def test_lines_that_only_mark(spark):
+    text = "错误细节：1. a\n2.\nb\n3. \n\n证明题审查：\n=====\nfree\n4) c"
+    row = V.parse_reports(spark.createDataFrame([(text,)], "t string"), "t", FMT).select("sections").first()
+    assert [s["items"] for s in row.sections][:2] == [["a", "b"], ["free", "c"]]
