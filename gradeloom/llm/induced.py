@@ -5,7 +5,8 @@ A string is sorted in four passes over monotone priority queues, at every level
 1. The suffixes that begin a rise after a fall (LMS suffixes) seed the queues by their first run of symbols alone. A
    pass in ascending order of symbols induces all falling suffixes, one in descending order all rising
    ones. This sorts the LMS substrings. Tuples carry the common prefix with the tuple before, and
-   `same` as long as two substrings are equal; so neighbours that aren't the same begin a new name.
+   `same` as long as two substrings are equal; so neighbours that aren't the same begin a new name. A level that
+   fits into memory sorts its LMS substrings as they are, which gives the same.
 2. If names repeat, the string of names is sorted by the same sorter, which gives the order of the LMS
    suffixes and how many names neighbours share. Their common prefix is the length of the shared names
    and that of the two names that differ, a range minimum over the neighbours of step 1.
@@ -127,11 +128,16 @@ class Queues:
                 self.read[number] += n
                 yield tuple(np.array(x[a : a + n]) for x in self.disk)
             elif self.chunks[number]:
-                chunk = self.chunks[number].pop(0)
-                size = sum(x.nbytes for x in chunk) + 128
+                # Small chunks together, as many as there are now.
+                queue, n, k = self.chunks[number], 0, 0
+                while k < len(queue) and (limit is None or k == 0 or n + len(queue[k][0]) <= limit):
+                    n += len(queue[k][0])
+                    k += 1
+                got, self.chunks[number] = queue[:k], queue[k:]
+                size = sum(x.nbytes for chunk in got for x in chunk) + 128 * k
                 self.size[number] -= size
                 self.held -= size
-                yield chunk
+                yield got[0] if k == 1 else tuple(np.concatenate(x) for x in zip(*got, strict=True))
             else:
                 return
 
@@ -213,6 +219,7 @@ class _Pass:
         self.least = scratch.zeros(level.symbols, level.kind)  # after the last inducer of each symbol, in its batch
         self.batch = scratch.zeros(level.symbols, np.int64)  # that inducer's batch; there is none before the first
         self.number = 1
+        self.none = 4 * level.symbols  # a key beyond all
         # Least values of the batches so far as a stack: the least from a batch on stands at the first one from it on.
         self.when: list[int] = []
         self.low: list[int] = []
@@ -231,52 +238,57 @@ class _Pass:
     def _next_key(self, pos: np.ndarray) -> np.ndarray:
         """Twice the symbol that a tuple induces, or a key beyond all where it induces none."""
         code = np.asarray(self.level.code[pos - 1]).astype(np.int64)  # of the closing symbol for position 0
-        symbol = code >> 1
-        if self.down:
-            symbol = self.level.symbols - 1 - symbol
-        return np.where(((code & 1) == self.down) & (code > 1), 2 * symbol, 4 * self.level.symbols)
+        key = (2 * self.level.symbols - 1 - code if self.down else code) & -2
+        key[((code & 1) != self.down) | (code < 2)] = self.none
+        return key
 
     def _feed(self, key: np.ndarray, pos: np.ndarray, common: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...] | None:
         """Take tuples in order: those induced before go out, and their preceding ones come back by symbol."""
-        level, kind = self.level, self.level.kind
+        level, n = self.level, len(key)
         given = (key & 1) == 1
-        before = np.append(self.last[0], key[:-1])
-        first = np.flatnonzero(given & (before != key))
+        before = np.empty(n, np.int64)
+        before[0], before[1:] = self.last[0], key[:-1]
+        first = (given & (before != key)).nonzero()[0]
         if len(first):
             # The first given tuple of a symbol is next to one of the other type, or of another symbol.
-            prior = np.append(self.last[1], pos[:-1])[first]
+            prior = np.where(first > 0, pos[first - 1], self.last[1])
             common = common.copy()
             common[first] = np.where(before[first] == key[first] - 1, np.minimum(level.run[prior], level.run[pos[first]]), 0)
         self.last = (int(key[-1]), int(pos[-1]))
-        own = np.flatnonzero(~given)
+        own = (~given).nonzero()[0]
         if len(own):
             end = self.done + len(own)
             self.out_pos[self.done : end], self.out_common[self.done : end] = pos[own], common[own]
             self.done = end
-        at = np.flatnonzero(nxt < 4 * level.symbols)
+        at = (nxt < self.none).nonzero()[0]
         new = None
         if len(at):
-            order = np.argsort(nxt[at], kind="stable")
-            at = at[order]
-            symbol = nxt[at] >> 1
-            fresh = np.concatenate([[True], symbol[1:] != symbol[:-1]])
-            starts = np.flatnonzero(fresh)
-            ends = np.append(starts[1:], len(at)) - 1
-            seen = symbol[starts]
+            key = nxt[at]
+            order = key.argsort(kind="stable")
+            at, symbol = at[order], key[order] >> 1
+            fresh = np.empty(len(at), bool)
+            fresh[0] = True
+            np.not_equal(symbol[1:], symbol[:-1], out=fresh[1:])
+            starts = fresh.nonzero()[0]
+            begin, seen = at[starts], symbol[starts]
+            final = np.empty(len(starts), np.int64)
+            final[:-1], final[-1] = at[starts[1:] - 1], at[-1]
             value = np.empty(len(at), np.int64)
-            inner = np.flatnonzero(~fresh)
-            if len(inner):
+            if len(starts) < len(at):
+                inner = (~fresh).nonzero()[0]
                 value[inner] = range_min(common, at[inner - 1] + 1, at[inner])
-            upto = np.minimum.accumulate(common)[at[starts]]
-            since = np.searchsorted(np.array(self.when, np.int64), self.batch[seen] + 1)
-            between = np.array([*self.low, level.same], np.int64)[since]
+            batch = self.batch[seen]
+            upto = np.minimum.accumulate(common)[begin]
+            between = np.array([*self.low, level.same], np.int64)[np.array(self.when, np.int64).searchsorted(batch + 1)]
             value[starts] = np.minimum(np.minimum(self.least[seen], between), upto)
-            value = np.where(value == level.same, level.same, np.minimum(value + 1, level.depth))
-            value[starts[self.batch[seen] == 0]] = 0
-            tail = np.append(np.minimum.accumulate(common[::-1])[::-1], level.same).astype(kind)
-            self.least[seen] = tail[at[ends] + 1]
+            more = np.minimum(value + 1, level.depth)
+            more[value == level.same] = level.same
+            more[starts[batch == 0]] = 0
+            tail = np.empty(n + 1, level.kind)
+            tail[n], tail[:n] = level.same, np.minimum.accumulate(common[::-1])[::-1]
+            self.least[seen] = tail[final + 1]
             self.batch[seen] = self.number
-            new = symbol, (pos[at] - 1).astype(level.index), value.astype(kind)
+            new = symbol, (pos[at] - 1).astype(level.index, copy=False), more.astype(level.kind)
         low = int(common.min())
         while self.low and self.low[-1] >= low:
             self.low.pop()
@@ -319,19 +331,19 @@ class _Pass:
         while len(key):
             # Up to the first tuple that what was induced before it has to precede.
             bound = np.minimum.accumulate(nxt[:8192])
-            late = np.flatnonzero(key[1 : len(bound)] > bound[:-1])
+            late = (key[1 : len(bound)] > bound[:-1]).nonzero()[0]
             end = int(late[0]) + 1 if len(late) else len(bound)
             new = self._feed(key[:end], pos[:end], common[:end], nxt[:end])
             key, pos, common, nxt = key[end:], pos[end:], common[end:], nxt[end:]
             if new is None:
                 continue
-            here = int(np.searchsorted(new[0], b))
+            here = int(new[0].searchsorted(b))
             if here < len(new[0]):
                 self.queues.put(tuple(c[here:] for c in new))
             if here:
                 symbol, at, value = (c[:here] for c in new)
                 # Behind the tuples of its symbol that are there, before the given ones.
-                place = np.searchsorted(key, 2 * symbol, side="right") + np.arange(here)
+                place = key.searchsorted(2 * symbol, side="right") + np.arange(here)
                 old = np.ones(len(key) + here, bool)
                 old[place] = False
 
@@ -350,11 +362,13 @@ def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     level, step = values, 1
     top = int(length.max())
     while True:
-        own = np.flatnonzero((length >= step) & (length < 2 * step))
-        if len(own):
-            out[own] = np.minimum(level[low[own]], level[high[own] - step + 1])
         if 2 * step > top:
+            own = (length >= step).nonzero()[0]
+            out[own] = np.minimum(level[low[own]], level[high[own] - step + 1])
             return out
+        own = ((length >= step) & (length < 2 * step)).nonzero()[0]
+        if len(own):
+            out[own] = np.minimum(level[low[own]], level[high[own] - step + 1])
         level = np.minimum(level[:-step], level[step:])
         step *= 2
 
@@ -460,10 +474,87 @@ def _seeds(level: _Level, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, common
 
 
+def _words(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Eight bytes from each position on as one number, the first symbol on top; and symbols a number."""
+    width = 8 // values.itemsize
+    padded = np.append(values, np.zeros(width - 1, values.dtype)).astype(values.dtype.newbyteorder(">"))
+    return np.ndarray((len(values),), ">u8", padded, strides=(values.itemsize,)).astype(np.uint64), width
+
+
+def _substrings(level: _Level, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the two passes of naming give, for a level in memory: LMS substrings in order, by radix from the first word
+    of symbols and types on, and the common prefixes of neighbours, `same` for equal substrings."""
+    m, n = len(lms), level.n
+    lms = lms.astype(np.int64)
+    length = np.append(lms[1:], n - 1) - lms + 1  # up to the next one's first symbol
+    words, width = _words(level.code)
+    bits = np.uint64(64 // width)
+
+    def word(items: np.ndarray, t: int) -> np.ndarray:
+        # Symbols beyond the substring's end are cleared.
+        cut = (width - np.minimum(length[items] - t * width, width)).astype(np.uint64) * bits
+        return words[np.minimum(lms[items] + t * width, n - 1)] >> cut << cut
+
+    key = word(np.arange(m), 0)
+    order = key.argsort(kind="stable")
+    key = key[order]
+    new = np.empty(m, bool)  # whether a place differs from the one before
+    new[0] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+
+    def split(places: np.ndarray, key: np.ndarray) -> None:
+        """Sort the items of equal groups, which the places are all of, by key."""
+        group = np.cumsum(new)[places]
+        by = np.lexsort((key, group))
+        order[places], key, group = order[places][by], key[by], group[by]
+        new[places[1:][(group[1:] == group[:-1]) & (key[1:] != key[:-1])]] = True
+
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places whose group has others
+    t, open_ = 1, tied[length[order[tied]] > width]
+    while len(open_):
+        split(open_, word(order[open_], t))
+        t += 1
+        open_ = open_[~(new & np.append(new[1:], True))[open_]]
+        open_ = open_[length[order[open_]] > t * width]
+    # Of equal substrings that with the longer last run is less.
+    tied = tied[~(new & np.append(new[1:], True))[tied]]
+    if len(tied):
+        split(tied, -level.run[(lms + length - 1)[order[tied]]].astype(np.int64))
+    common = np.full(m, level.same, np.int64)
+    first = np.flatnonzero(new)
+    common[first] = _neighbours(level, words, width, lms[order[np.maximum(first - 1, 0)]], lms[order[first]])
+    common[0] = 0
+    return lms[order].astype(level.index), common.astype(level.kind)
+
+
+def _neighbours(level: _Level, words: np.ndarray, width: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefixes of the suffixes at a and b, whose substrings differ: equal codes, then the equal symbols where
+    types part, which are the shorter of the two runs."""
+    out, pair, at, n = np.zeros(len(a), np.int64), np.arange(len(a)), 0, level.n
+    while len(pair) and at < level.depth:
+        x, y = words[np.minimum(a, n - 1)], words[np.minimum(b, n - 1)]
+        off = np.flatnonzero((x != y) | (np.maximum(a, b) >= n))
+        if len(off):
+            differ = x[off] ^ y[off]
+            for k in (1, 2, 4, 8, 16, 32):
+                differ |= differ >> np.uint64(k)
+            equal = (64 - np.bitwise_count(differ).astype(np.int64)) * width // 64
+            p, q = np.minimum(a[off] + equal, n - 1), np.minimum(b[off] + equal, n - 1)
+            parted = (level.code[p] >> 1) == (level.code[q] >> 1)
+            out[pair[off]] = at + equal + np.where(parted, np.minimum(level.run[p], level.run[q]).astype(np.int64), 0)
+        stay = (x == y) & (np.maximum(a, b) < n)
+        a, b, pair = a[stay] + width, b[stay] + width, pair[stay]
+        at += width
+    out[pair] = level.depth
+    return np.minimum(out, level.depth)
+
+
 def _sorted_lms(level: _Level, deeper: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """The LMS suffixes in order, and each one's common prefix with the one before."""
     scratch, m, part = level.scratch, level.lms_count, level.scratch.part()
     lms = level.lms()
+    if level.n * 24 <= scratch.memory and m > 1:
+        return _resolved(level, lms, *_substrings(level, lms), deeper)
     _, down = _two_passes(level, *_seeds(level, lms))
     # The LMS ones among the rising suffixes, in ascending order, and the closing one before them all.
     order, common = scratch.array(m, level.index), scratch.array(m, level.kind)

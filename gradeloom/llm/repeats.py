@@ -45,11 +45,11 @@ _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE_BITS = 31
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 #: Bytes that are hashed in one go, and context bytes that are decided in one block.
-CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 3 << 18
+CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 3 << 19
 #: Text of a batch that is held as separate objects at once, and of a long text that is read at once.
 SLICE_BYTES, PIECE_BYTES = 4_000_000, 4_000_000
 #: Different contexts of one anchor beyond which they are split by the units beside it, and into how many ranges.
-HOT, WAYS = 1000, 4
+HOT, WAYS = 200, 4
 #: Bytes of a word that are hashed in columns; longer words are hashed one by one.
 LONG_WORD = 64
 
