@@ -5,15 +5,16 @@ a document's score s, and ordered thresholds t(1) < ... < t(K-1), shared by all,
 P(grade >= k) = sigmoid(s - t(k)). The expected grade is the sum of these tails; the uppermost tail
 selects. The labels table gives three grades: quality plus 1 for a text that isn't toxic.
 
-The fit takes at most `max_labelled` labelled rows, those of the least hash of their id; the weights have
-a fixed size, and scoring reads all documents whole. A word's features are its letters in lower case,
-their beginnings of four and five, and its other characters; rates of repeated neighbours, bars, marks of noise
-and repeated lines are features too. Weights are at or below 0, see `fit`.
-
-Cases: a null or empty text has score 0; labels with nulls are not used, and several labels of one document
-are used as they are; without any usable label all weights are 0 and the thresholds their first values;
-repeated rows are scored alike; very long texts are read whole; an empty table gives no rows; other columns
-are not read.
+The fit takes at most `max_labelled` labelled rows, those of the least hash of doc_id and text among the documents that
+have a label; the weights have a fixed size, and scoring reads all documents whole. A word's features are its
+letters in lower case, their beginnings of four and five, and its other characters; rates of repeated
+neighbours, bars, marks of noise and repeated lines are features too. A feature counts with the square root of the
+number of different words that have it. Weights of either sign are shrunk towards 0 by a fixed amount a step.
+
+Cases: a null or empty text has score 0; labels with nulls are not used; a document with several different labels is
+used with each, equal ones and equal rows count once; without any usable label all weights are 0 and the
+thresholds their first values; repeated rows are scored alike; a tail of exactly `keep_from` is kept; very long
+texts are read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,6 @@ from .common import slices, text_bytes
 
 DIMENSIONS = 1 << 18
 MAX_LABELLED = 12_000
-#: Different words beyond which a feature counts no further.
-MOST = 4
 SCHEMA = "doc_id long, score double, expected_grade double, tail_probability double, kept boolean"
 #: Words whose features a worker remembers; a speed matter only.
 CACHE_WORDS = 1_000_000
@@ -96,72 +96,64 @@ class OrdinalModel:
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 .. K-1, one column each."""
-        return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -500, 500)))
+        return _sigmoid(score[:, None] - self.thresholds)
 
 
-def telling_slots(rows: list[tuple[np.ndarray, int]], dimensions: int, least: float) -> np.ndarray:
-    """Which slots tell of defects: the mean grade of their documents is `least` standard errors too low."""
-    y = np.array([r[1] for r in rows], float)
-    spread = y.std()
-    count, total = np.zeros(dimensions), np.zeros(dimensions)
-    for slots, grade in rows:
-        own = np.unique(slots)
-        count[own] += 1
-        total[own] += grade - y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(-total / (spread * np.sqrt(count))) >= least
-
-
-def fit(rows: list[tuple[np.ndarray, int]], grades: int, dimensions: int = DIMENSIONS, epochs: int = 200, batch: int = 128, rate: float = 1.0, l1: float = 0.0, least: float = 4.0, seed: int = 0) -> OrdinalModel:
-    """Adaptive proximal gradient steps on the likelihood, over the slots that tell of defects.
-
-    Weights are kept at or below 0: a defect lowers a grade and nothing makes up for it, so a text without
-    any has the top score, however short it is.
-    """
-    w, seen = np.zeros(dimensions), np.full(dimensions, 1e-8)
-    t = np.linspace(-1.0, 0.0, grades - 1)
+def fit(rows: list[tuple[np.ndarray, int]], grades: int, dimensions: int = DIMENSIONS, steps: int = 1200, batch: int = 128, rate: float = 0.5, l1: float = 0.006, seed: int = 0) -> OrdinalModel:
+    """Adaptive proximal gradient steps on the likelihood, in whole passes over the rows. The slots that occur are numbered anew, and a step costs
+    what its rows' slots do."""
+    w, t = np.zeros(dimensions, np.float32), np.linspace(-2.0, -1.0, grades - 1)
     if not rows:
-        return OrdinalModel(w.astype(np.float32), t)
-    use = telling_slots(rows, dimensions, least)
-    chosen = [np.unique(s[use[s]], return_counts=True) for s, _ in rows]
-    seen_t = np.full(len(t), 1e-8)
+        return OrdinalModel(w, t)
+    counted = [np.unique(s, return_counts=True) for s, _ in rows]
+    used, number = np.unique(np.concatenate([c[0] for c in counted]), return_inverse=True)
+    value = np.sqrt(np.concatenate([c[1] for c in counted]))
+    many = np.array([len(c[0]) for c in counted])
+    first = np.cumsum(many) - many
+    weight, seen, seen_t = np.zeros(len(used)), np.full(len(used), 1e-4), np.full(len(t), 1e-4)
     rng = np.random.default_rng(seed)
     y = np.array([r[1] for r in rows])
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(rows))):
         order = rng.permutation(len(rows))
-        for at in range(0, len(rows), batch):
-            part = order[at : at + batch]
-            slot = np.concatenate([chosen[i][0] for i in part])
-            value = damped(np.concatenate([chosen[i][1] for i in part]))
-            row = np.repeat(np.arange(len(part)), [len(chosen[i][0]) for i in part])
-            s = np.bincount(row, w[slot] * value, len(part))
-            cut = 1 / (1 + np.exp(-np.clip(np.concatenate([[-np.inf], t, [np.inf]])[None, :] - s[:, None], -500, 500)))
+        for a in range(0, len(rows), batch):
+            part = order[a : a + batch]
+            n = many[part]
+            row = np.repeat(np.arange(len(part)), n)
+            at = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(len(row))
+            slot, x = number[at], value[at]
+            s = np.bincount(row, weight[slot] * x, len(part))
+            cut = _sigmoid(np.concatenate([[-np.inf], t, [np.inf]])[None, :] - s[:, None])
             k, line = y[part], np.arange(len(part))
             above, below = cut[line, k + 1], cut[line, k]
             chance = np.maximum(above - below, 1e-12)
-            g = np.bincount(slot, (above + below - 1)[row] * value, dimensions) / len(part)
-            own = np.unique(slot)
-            g = g[own]
-            seen[own] += g * g
-            step = rate / np.sqrt(seen[own])
-            new = w[own] + step * g
-            w[own] = np.minimum(new + step * l1, 0)
+            by = slot.argsort(kind="stable")
+            slot = slot[by]
+            starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+            if len(starts):
+                own = slot[starts]
+                g = np.add.reduceat(((above + below - 1)[row] * x)[by], starts) / len(part)
+                seen[own] += g * g
+                step = rate / np.sqrt(seen[own])
+                new = weight[own] + step * g
+                weight[own] = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
             gt = np.array([(np.where(k == c, above * (1 - above) / chance, 0) - np.where(k == c + 1, below * (1 - below) / chance, 0)).sum() / len(part) for c in range(len(t))])
             seen_t += gt * gt
             t = np.sort(t + rate / np.sqrt(seen_t) * gt)
-    return OrdinalModel(w.astype(np.float32), t)
+    w[used] = weight
+    return OrdinalModel(w, t)
 
 
-def damped(count: np.ndarray) -> np.ndarray:
-    """A feature's value for the number of different words that have it."""
-    return np.minimum(count, MOST).astype(float)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[tuple[np.ndarray, int]]:
     """Feature rows of the labelled sample, whose size is bounded by max_labelled."""
     usable = labels.where("doc_id is not null and quality is not null and toxic is not null")
     usable = usable.select(F.col("doc_id"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled)
+    named = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    found = named.select("doc_id", "h").join(usable, "doc_id").distinct()  # names alone are shuffled
+    sample = found.orderBy("h", "doc_id", "grade").limit(max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +161,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int = MA
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())), batch.column(2)], names=["slots", "grade"])
 
     # At most max_labelled short rows are sent to every executor.
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
+    joined = named.join(F.broadcast(sample), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "grade"]).select("doc_id", "text", "grade")
     table = joined.mapInArrow(run, "slots array<int>, grade int").toArrow()
     rows = [(np.array(s, np.int32), g) for s, g in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[1], len(r[0]), r[0].tobytes()))  # one order, however the rows came
@@ -195,7 +187,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel, keep_from: float = 0.5
                         telling[x] = tuple(s for s in word_features(x) if weight[s])
                     found = Counter(s for x in words if (own := telling[x]) for s in own)
                     found.update(s for s in rates if weight[s])
-                    scores.append(sum(weight[s] * min(n, MOST) for s, n in sorted(found.items())))
+                    scores.append(sum(weight[s] * sqrt(n) for s, n in sorted(found.items())))
                 s = np.array(scores, float)
                 tails = model.tails(s)
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep_from)], names=[x.split()[0] for x in SCHEMA.split(", ")])

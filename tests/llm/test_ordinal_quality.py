@@ -41,7 +41,7 @@ def test_held_out_accuracy(spark):
 
 def test_thresholds_are_ordered_and_tails_fall():
     rows = [(np.array([1] * g + [2], np.int32), 2 - g) for g in (0, 1, 2) for _ in range(50)]
-    model = oq.fit(rows, 3, dimensions=8, least=1.0)
+    model = oq.fit(rows, 3, dimensions=8)
     assert list(model.thresholds) == sorted(model.thresholds)
     tails = model.tails(np.array([-3.0, 0.0, 3.0]))
     assert (tails[:, 0] >= tails[:, 1]).all() and (np.diff(tails, axis=0) > 0).all()
@@ -62,3 +62,61 @@ def test_bound_of_the_sample(spark):
     rows, labels = graded(60, 4)
     found = oq.labelled_features(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=25)
     assert len(found) == 25
+
+
+def test_repeated_documents_and_lost_labels_keep_the_bound(spark):
+    rows, labels = graded(40, 5)
+    rows = rows + rows[:20] + [(3, "another text", None, None, 0, None, None, None)]
+    labels = labels + labels[:10] + [(1000 + i, 1, 0) for i in range(100)]
+    found = oq.labelled_features(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=30)
+    assert len(found) == 30
+    assert len(oq.labelled_features(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))) == 41
+
+
+def test_scores_are_the_plain_sums(spark):
+    import math
+
+    import xxhash
+
+    rng = np.random.default_rng(1)
+    model = oq.OrdinalModel(rng.normal(0, 1, oq.DIMENSIONS).astype(np.float32), np.array([-1.0, 0.5]))
+    slot = lambda kind, value: xxhash.xxh64_intdigest(value.encode(), ord(kind)) % oq.DIMENSIONS
+    rows = awkward()
+    got = {r.doc_id: r for r in oq.score_documents(table(spark, rows), model).collect()}
+    for r in rows:
+        words = (r[1] or "").encode().split()
+        count = {}
+        for w in {x.decode() for x in words}:
+            letters = "".join(c for c in w if c.isalpha()).lower()
+            marks = "".join(c for c in w if not c.isalnum())
+            own = [slot("w", letters)] if letters else []
+            own += [slot("4", letters[:4])] * (len(letters) > 4) + [slot("5", letters[:5])] * (len(letters) > 5)
+            for s in own + ([slot("m", marks)] if marks else []):
+                count[s] = count.get(s, 0) + 1
+        lines = [x for x in (r[1] or "").split("\n") if x]
+        rates = [(sum(a == b for a, b in zip(words, words[1:])), len(words)), (words.count(b"|"), len(words)), (sum(w[-1:] in b"%&$#*" for w in words), len(words)), (len(lines) - len(set(lines)), len(lines))]
+        for i, (c, n) in enumerate(rates):
+            if c and words:
+                s = slot("r", f"{i}:{min(9, int(math.log2(n / c)))}")
+                count[s] = count.get(s, 0) + 1
+        score = sum(float(model.weights[s]) * math.sqrt(n) for s, n in count.items())
+        if sum(x[0] == r[0] for x in rows) == 1:
+            assert abs(got[r[0]].score - score) < 1e-6 * (1 + abs(score))
+            tails = [1 / (1 + math.exp(t - score)) for t in (-1.0, 0.5)]
+            assert abs(got[r[0]].expected_grade - sum(tails)) < 1e-6 and got[r[0]].kept == (got[r[0]].tail_probability >= 0.5)
+
+
+def test_held_out_documents_of_the_tables():
+    import pandas as pd
+
+    folder = "/root/testdata/sf0.01"
+    rows = pd.read_parquet(f"{folder}/labels.parquet").merge(pd.read_parquet(f"{folder}/documents.parquet"), on="doc_id").dropna(subset=["quality", "toxic", "text"])
+    rows = rows.sample(frac=1, random_state=3)
+    made = [(np.array(oq.features(t.encode()), np.int32), int(q + 1 - x)) for t, q, x in zip(rows.text, rows.quality, rows.toxic)]
+    n = len(made) * 3 // 4
+    model = oq.fit(made[:n], 3)
+    kept = []
+    for slots, grade in made[n:]:
+        u, c = np.unique(slots, return_counts=True)
+        kept.append((model.tails(np.array([(model.weights[u] * np.sqrt(c)).sum()]))[0, -1] >= 0.5, grade))
+    assert np.mean([k for k, g in kept if g == 2]) > 0.95 and np.mean([not k for k, g in kept if g < 2]) > 0.75
