@@ -163,3 +163,60 @@ def test_scoring(spark):
     pages = spark.createDataFrame([("a", 2, b"x"), ("a", 1, b"y"), ("a", 3, None), ("b", 1, b"")], "student_id string, page_no int, content binary")
     got = {r.student_id: (r.pages, r.left_out) for r in scoring.usable_pages(pages).collect()}
     assert got == {"a": (["data:image/png;base64,eQ==", "data:image/png;base64,eA=="], 1), "b": ([], 1)}
+
+
+def test_local_config_is_read_changed_and_replaced(tmp_path):
+    config = settings.LocalConfig(tmp_path / "new" / "keys", tmp_path / "new" / "options.json")
+    assert config.keys() == config.options() == {} and settings.export_engine(config.options()) == "katex"
+    config.set_key(" A_1 ", " one ")
+    config.set_key("B", "two = 2")
+    config.set_key("A_1", "again")
+    assert config.keys() == {"A_1": "again", "B": "two = 2"}
+    config.options_file.write_text('{"other": 1}', encoding="utf-8")
+    config.set_engine(" LaTeX ")
+    assert config.options() == {"other": 1, "export_engine": "latex"}
+    for change in (lambda: config.set_key("1A", "x"), lambda: config.set_key("A", " "), lambda: config.set_engine("word")):
+        with pytest.raises(ValueError):
+            change()
+    assert len(list((tmp_path / "new").iterdir())) == 2
+
+
+def filtered_png(pixels):
+    """A PNG whose lines go through all five filters, written pixel by pixel."""
+    import struct
+    import zlib
+
+    height, width, channels = pixels.shape
+    body = b""
+    for y in range(height):
+        kind = y % 5
+        line = [kind]
+        for x in range(width):
+            for c in range(channels):
+                a = int(pixels[y, x - 1, c]) if x else 0
+                b = int(pixels[y - 1, x, c]) if y else 0
+                d = int(pixels[y - 1, x - 1, c]) if x and y else 0
+                near = sorted(((abs(b - d), 0, a), (abs(a - d), 1, b), (abs(a + b - 2 * d), 2, d)))[0][2]
+                line.append((int(pixels[y, x, c]) - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        body += bytes(line)
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return media.PNG_MARK + part(b"IHDR", head) + part(b"IDAT", zlib.compress(body)[:9]) + part(b"IDAT", zlib.compress(body)[9:]) + part(b"IEND", b"")
+
+
+def test_pngs_are_read_and_made_smaller():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for channels in (1, 3):
+        pixels = rng.integers(0, 256, (11, 7, channels), dtype=np.uint8)
+        assert (media.png_pixels(filtered_png(pixels)) == pixels).all()
+        assert (media.png_pixels(media.png_bytes(pixels)) == pixels).all()
+    big = rng.integers(0, 256, (300, 200, 3), dtype=np.uint8)
+    small = media.Shrinker(20_000, (None, 150, 60))(media.png_bytes(big))
+    if small.startswith(media.PNG_MARK):  # without the image library
+        assert media.png_pixels(small).shape == (60, 40, 3) and len(small) <= 20_000
+    flat = media.thumbnail(np.full((10, 10, 1), 7, np.uint8), 3)
+    assert flat.shape == (3, 3, 1) and (flat == 7).all()
+    with pytest.raises(ValueError):
+        media.png_pixels(b"no image")
