@@ -19,7 +19,7 @@ from gradeloom.functions import verdicts as V
 from gradeloom.operators import decisions, scoring
 from gradeloom.session import build_session, ship_code
 from gradeloom.sources import archives, files
-from gradeloom.sources.settings import Workspace, env_of, resolve_key, safe_week
+from gradeloom.sources.settings import Workspace, choose_assignment, env_of, resolve_key, safe_week
 
 #: What a run writes: reports by student, their parsed form, and the summary.
 REPORTS, PARSED, SUMMARY = "reports", "parsed", "summary"
@@ -74,6 +74,22 @@ def grade(spark: SparkSession, space: Workspace, subject: dict[str, str], answer
     return outcomes
 
 
+def grade_one(spark: SparkSession, student: str, images: list[bytes], subject: dict[str, str], answer: str, client) -> tuple[bool, str]:
+    """Whether one student's pages could be scored, and the report, also if they couldn't."""
+    pages = spark.createDataFrame([(student, i, x) for i, x in enumerate(images, 1)], "student_id string, page_no int, content binary")
+    prompts = scoring.build_prompts(scoring.usable_pages(pages).select("student_id", "pages"), subject["prompt_template"], subject, answer)
+    row = scoring.with_failure_reports(scoring.score(prompts, client)).first()
+    return row.status == "success", row.body
+
+
+def chosen_week(root: Path, week: str | None, assignment: str | None) -> str:
+    """The week that is named, that of the assignment that is, or that of the only assignment there is."""
+    if week:
+        return week
+    found = choose_assignment([str(p) for p in sorted(root.glob("*/assignment.json"))], assignment)
+    return json.loads(Path(found).read_text(encoding="utf-8"))["week_name"]
+
+
 def write_summary(outcomes: DataFrame, space: Workspace, name: str) -> None:
     rows = outcomes.withColumn("week", F.lit(space.week))
     summary = decisions.summary_text(rows, "week", "student_id", "status", F.col("line"))
@@ -84,27 +100,38 @@ def write_summary(outcomes: DataFrame, space: Workspace, name: str) -> None:
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gradeloom", description=__doc__.splitlines()[0])
     sub = parser.add_subparsers(dest="command", required=True)
-    commands = {name: sub.add_parser(name) for name in ("new-week", "preprocess", "grade")}
-    for p in commands.values():
-        p.add_argument("week")
+    commands = {name: sub.add_parser(name) for name in ("new-week", "preprocess", "grade", "grade-one")}
+    for name, p in commands.items():
+        if name == "new-week":
+            p.add_argument("week")
+        else:
+            p.add_argument("week", nargs="?")
+            p.add_argument("--assignment", help="its configuration; neither is needed where there is one assignment")
         p.add_argument("--root", type=Path, default=Path("."))
         p.add_argument("--max-workers", type=int, default=4)
     commands["new-week"].add_argument("--force", action="store_true")
     commands["new-week"].add_argument("--dry-run", action="store_true")
     commands["preprocess"].add_argument("--reprocess", action="store_true")
     commands["grade"].add_argument("--regrade", "--retry-failed", dest="regrade", action="store_true")
-    commands["grade"].add_argument("--answer-key", "--tex", dest="answer_key", type=Path)
-    commands["grade"].add_argument("--client", required=True, help="module:factory of the model's client")
-    commands["grade"].add_argument("--subject", type=Path, required=True)
+    for name in ("grade", "grade-one"):
+        commands[name].add_argument("--answer-key", "--tex", dest="answer_key", type=Path)
+        commands[name].add_argument("--client", required=True, help="module:factory of the model's client")
+        commands[name].add_argument("--subject", type=Path, required=True)
+    commands["grade-one"].add_argument("--student", required=True)
+    commands["grade-one"].add_argument("--images", nargs="+", type=Path, required=True)
     a = parser.parse_args(args)
     if a.max_workers < 1:
         parser.error("--max-workers must be 1 or more")
-    space = Workspace(a.root, a.week)
     if a.command == "new-week":
-        print("\n".join(space.create(a.force, a.dry_run)))
+        print("\n".join(Workspace(a.root, a.week).create(a.force, a.dry_run)))
         return 0
-    if not (a.root / safe_week(a.week)).is_dir():
-        parser.error(f"there is no week {a.week}")
+    try:
+        week = chosen_week(a.root, a.week, a.assignment)
+    except (ValueError, KeyError, OSError) as e:
+        parser.error(f"no assignment to work on: {e}")
+    space = Workspace(a.root, week)
+    if not (a.root / safe_week(week)).is_dir():
+        parser.error(f"there is no week {week}")
     spark = build_session()
     ship_code(spark)
     if a.command == "preprocess":
@@ -116,8 +143,12 @@ def main(args: list[str] | None = None) -> int:
         if key is None:
             parser.error(f"no key for the model ({source})")
         module, _, factory = a.client.partition(":")
-        answer = (a.answer_key or space.answer).read_text(encoding="utf-8")
-        outcomes = grade(spark, space, subject, answer, getattr(importlib.import_module(module), factory), a.regrade, a.max_workers)
+        answer, client = (a.answer_key or space.answer).read_text(encoding="utf-8"), getattr(importlib.import_module(module), factory)
+        if a.command == "grade-one":
+            good, report = grade_one(spark, a.student, [p.read_bytes() for p in a.images], subject, answer, client)
+            print(report)
+            return 0 if good else 1
+        outcomes = grade(spark, space, subject, answer, client, a.regrade, a.max_workers)
     for row in outcomes.groupBy("status").count().orderBy("status").collect():
         print(row["status"], row["count"])
     return 0

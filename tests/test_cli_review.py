@@ -86,3 +86,21 @@ def test_tasks_and_logs(spark):
     weeks = review.weeks(spark.createDataFrame([("w1", "一", "s")], "assignment_id string, week_name string, subject_config string"), spark.createDataFrame([("w1", 1.0), ("w2", 2.0)], "week string, created_at double"))
     assert {r.week: r["name"] for r in weeks.collect()} == {"w1": "一", "w2": "w2"}
     assert weeks.where(F.col("subject_config") == "").count() == 1
+
+
+def test_the_week_of_an_assignment(tmp_path):
+    with pytest.raises(ValueError):
+        cli.chosen_week(tmp_path, None, None)
+    Workspace(tmp_path, "w 1").create()
+    assert cli.chosen_week(tmp_path, None, None) == "w 1" and cli.chosen_week(tmp_path, "x", None) == "x"
+    Workspace(tmp_path, "w2").create()
+    with pytest.raises(ValueError):
+        cli.chosen_week(tmp_path, None, None)
+    assert cli.chosen_week(tmp_path, None, str(tmp_path / "w2" / "assignment.json")) == "w2"
+
+
+def test_one_student_is_graded(spark):
+    good, report = cli.grade_one(spark, "Al", [b"x", b"y"], SUBJECT, "answer", Client)
+    assert good and "1. 2 pages" in report and "Al" in report
+    good, report = cli.grade_one(spark, "bad", [b"x"], SUBJECT, "answer", Client)
+    assert not good and V.NEEDS_REVIEW in report and "RuntimeError: down" in report
