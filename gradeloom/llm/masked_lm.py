@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from .common import dropped, releasing, slices, text_bytes, written
 from .repeats import cut_words, mix
 
-IDS, CLASSES, OWN, SHARED = 1 << 18, 128, 1 << 15, 1 << 15
-WIDTH, REACH = 16, 2
+IDS, CLASSES, OWN, SHARED = 1 << 18, 64, 1 << 15, 1 << 15
+WIDTH, REACH = 8, 2
 #: Embeddings: of the most frequent tokens one each, the others share as many.
 INPUTS = 1 << 13
 PAD = INPUTS  # the embedding beyond a text's ends
-BATCH, RATE = 2048, 0.1
+BATCH, RATE = 8192, 0.2
 SHARD_TOKENS = 3_000_000
 #: Copies of one row, seen by one task, that go to one shard.
 SAME = 1000
@@ -112,12 +112,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _segments(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segments(key: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, ...]:
     """Different keys in order, and the sums of their rows."""
     order = np.argsort(key, kind="stable")  # 16 bits are sorted by counting
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(rows[order], first, axis=0)
+    return key[first], *(np.add.reduceat(x[order], first, axis=0) for x in rows)
 
 
 @dataclass
@@ -126,20 +126,19 @@ class Network:
     offset: np.ndarray  # (2 * REACH, WIDTH)
     out: np.ndarray  # (WIDTH, CLASSES)
     bias: np.ndarray  # (CLASSES,)
-    node: np.ndarray  # (nodes, WIDTH + 1): weights of a decision, and its bias
+    node: np.ndarray  # (nodes, WIDTH): weights of a decision
+    node_bias: np.ndarray  # (nodes,)
 
     @staticmethod
     def first(tree: Tree, seed: int = 0) -> Network:
         """Before training: the corpus shares, whatever the sides are, but for small random weights."""
         rng = np.random.default_rng(seed)
-        node = np.zeros((len(tree.node_bias), WIDTH + 1), np.float32)
-        node[:, -1] = tree.node_bias
         return Network(
             rng.normal(0, 0.3, (INPUTS + 1, WIDTH)).astype(np.float32), np.full((2 * REACH, WIDTH), 0.5, np.float32),
-            rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), tree.class_bias.astype(np.float32), node)
+            rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), tree.class_bias.astype(np.float32), np.zeros((len(tree.node_bias), WIDTH), np.float32), tree.node_bias.astype(np.float32))
 
     def parts(self) -> tuple[np.ndarray, ...]:
-        return self.embed, self.offset, self.out, self.bias, self.node
+        return self.embed, self.offset, self.out, self.bias, self.node, self.node_bias
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts()])
@@ -155,18 +154,25 @@ class Network:
             total += self.embed[sides[:, k]] * self.offset[k]
         return np.tanh(total)
 
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """Of all classes, so that their exponentials have a sum in range."""
+        out = h @ self.out
+        out += self.bias
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max() > 60:  # h is within 1
+            out -= out.max(axis=1, keepdims=True)
+        return out
+
     def leaf_log_probabilities(self, sides: np.ndarray, leaf: np.ndarray, tree: Tree) -> np.ndarray:
         h = self.hidden(sides)
-        logits = h @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = self.logits(h)
         target = logits[np.arange(len(leaf)), tree.klass[leaf]].astype(np.float64)
-        out = target - np.log(np.exp(logits).sum(axis=1, dtype=np.float64))
+        out = target - np.log(np.exp(logits, out=logits).sum(axis=1).astype(np.float64))
         order, steps = tree.steps(leaf)
         h, chance = h[order], np.ones(len(leaf))
         for nodes, bits in steps:
-            own, n = self.node[nodes], len(nodes)
-            z = np.einsum("ij,ij->i", own[:, :-1], h[:n]) + own[:, -1]
-            chance[:n] *= _sigmoid(np.where(bits == 1, z, -z).astype(np.float64))
+            n = len(nodes)
+            z = np.einsum("ij,ij->i", self.node[nodes], h[:n]) + self.node_bias[nodes]
+            chance[:n] *= _sigmoid(np.where(bits == 1, z, -z))
         out[order] += np.log(np.maximum(chance, 1e-300))
         return out
 
@@ -176,30 +182,28 @@ class Trainer:
 
     def __init__(self, net: Network, tree: Tree, rate: float = RATE):
         self.net, self.tree, self.rate, self.tokens = net, tree, rate, 0
-        self.seen = [np.ones(len(net.embed), np.float32), np.ones_like(net.offset), np.ones_like(net.out), np.ones_like(net.bias), np.ones(len(net.node), np.float32)]
+        self.seen = [np.ones(len(net.embed), np.float32), np.ones_like(net.offset), np.ones_like(net.out), np.ones_like(net.bias), np.ones(len(net.node), np.float32), np.ones(len(net.node), np.float32)]
 
     def gradients(self, sides: np.ndarray, leaf: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """Of the summed negative log-probability: (inputs, their rows), offsets, output, bias, (nodes, their rows)."""
+        """Of the summed negative log-probability: (inputs, their rows), offsets, output, bias, (nodes, their rows, their biases)."""
         net, n = self.net, len(leaf)
         order, steps = self.tree.steps(leaf)
         sides, leaf = sides[order], leaf[order]
         h = net.hidden(sides)
-        p = h @ net.out
-        p += net.bias
-        p -= p.max(axis=1, keepdims=True)
+        p = net.logits(h)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), self.tree.klass[leaf]] -= 1
         back = p @ net.out.T
-        step, at = np.empty((sum(len(x) for x, _ in steps), net.node.shape[1]), net.node.dtype), 0
+        total, at = sum(len(x) for x, _ in steps), 0
+        step, own_bias = np.empty((total, net.node.shape[1]), net.node.dtype), np.empty(total, net.node.dtype)
         for nodes, bits in steps:
             own, m = net.node[nodes], len(nodes)
-            z = np.einsum("ij,ij->i", own[:, :-1], h[:m]) + own[:, -1]
-            g = (_sigmoid(z) - bits).astype(h.dtype)
-            step[at : at + m, -1] = g
-            g = g[:, None]
-            np.multiply(h[:m], g, out=step[at : at + m, :-1])
-            back[:m] += own[:, :-1] * g
+            g = own_bias[at : at + m]
+            np.subtract(_sigmoid(np.einsum("ij,ij->i", own, h[:m]) + net.node_bias[nodes]), bits, out=g)
+            np.multiply(h[:m], g[:, None], out=step[at : at + m])
+            own *= g[:, None]
+            back[:m] += own
             at += m
         back *= 1 - h * h
         offset = np.empty_like(net.offset)
@@ -208,15 +212,18 @@ class Trainer:
             np.multiply(back, net.offset[k], out=spread[k])
             offset[k] = np.einsum("ij,ij->j", back, net.embed[sides[:, k]])
         embed = _segments(sides.T.ravel(), spread.reshape(-1, back.shape[1]))
-        return embed, offset, h.T @ p, p.sum(axis=0), _segments(np.concatenate([x for x, _ in steps]), step)
+        return embed, offset, h.T @ p, p.sum(axis=0), _segments(np.concatenate([x for x, _ in steps]), step, own_bias)
 
     def step(self, sides: np.ndarray, leaf: np.ndarray) -> None:
         net = self.net
-        (inputs, embed), offset, out, bias, (nodes, node) = self.gradients(sides, leaf)
+        (inputs, embed), offset, out, bias, (nodes, node, node_bias) = self.gradients(sides, leaf)
         for value, seen, rows, g in ((net.embed, self.seen[0], inputs, embed), (net.node, self.seen[4], nodes, node)):
             total = seen[rows] + np.einsum("ij,ij->i", g, g) / g.shape[1]
             seen[rows] = total
-            value[rows] -= self.rate * g / np.sqrt(total)[:, None]
+            value[rows] -= g * (self.rate / np.sqrt(total))[:, None]
+        total = self.seen[5][nodes] + node_bias * node_bias
+        self.seen[5][nodes] = total
+        net.node_bias[nodes] -= self.rate * node_bias / np.sqrt(total)
         for value, seen, g in zip((net.offset, net.out, net.bias), self.seen[1:4], (offset, out, bias), strict=True):
             seen += g * g
             value -= self.rate * g / np.sqrt(seen)
@@ -345,7 +352,7 @@ def train(tokens: DataFrame, net: Network, tree: Tree, n_tokens: int, number: in
                     if y > x:
                         held.append((ids[x:y], np.array([0, y - x])))
                         size += y - x
-                    if size >= 32 * BATCH:
+                    if size >= 16 * BATCH:
                         learn(trainer, held, rng)
                         held, size = [], 0
         if held:
@@ -353,7 +360,7 @@ def train(tokens: DataFrame, net: Network, tree: Tree, n_tokens: int, number: in
         if trainer:
             yield from result(trainer, now)
 
-    dealt = tokens.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "ids", "deal").repartition(shards, "shard").sortWithinPartitions("shard", "deal")
+    dealt = tokens.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "ids", "deal").repartitionById(shards, "shard").sortWithinPartitions("shard", "deal")
     parts = dealt.select("shard", "ids").mapInArrow(releasing(run), _PART)
     some = parts.groupBy("block", F.floor(F.col("shard") / 64)).applyInArrow(_added, _PART)
     rows = some.groupBy("block").applyInArrow(_added, _PART).toArrow()

@@ -40,11 +40,11 @@ def test_gradients_are_right():
     tree = lm.Tree(rng.integers(0, 50, lm.IDS))
     net = lm.Network.first(tree)
     net = lm.Network(*(x.astype(np.float64) for x in net.parts()))
-    net.node[:, :-1] = rng.normal(0, 0.1, (len(net.node), lm.WIDTH))
+    net.node[:] = rng.normal(0, 0.1, (len(net.node), lm.WIDTH))
     sides, leaf = rng.integers(0, 50, (20, 2 * lm.REACH)), rng.integers(0, lm.OWN + lm.SHARED, 20).astype(np.uint16)
-    (inputs, embed), offset, out, bias, (nodes, node) = lm.Trainer(net, tree).gradients(sides, leaf)
+    (inputs, embed), offset, out, bias, (nodes, node, node_bias) = lm.Trainer(net, tree).gradients(sides, leaf)
     total = lambda: -net.leaf_log_probabilities(sides, leaf, tree).sum()
-    for value, spot, got in ((net.embed, (inputs[3], 3), embed[3, 3]), (net.offset, (2, 5), offset[2, 5]), (net.out, (4, tree.klass[leaf[0]]), out[4, tree.klass[leaf[0]]]), (net.bias, (7,), bias[7]), (net.node, (nodes[2], 6), node[2, 6]), (net.node, (nodes[5], lm.WIDTH), node[5, lm.WIDTH])):
+    for value, spot, got in ((net.embed, (inputs[3], 3), embed[3, 3]), (net.offset, (2, 5), offset[2, 5]), (net.out, (4, tree.klass[leaf[0]]), out[4, tree.klass[leaf[0]]]), (net.bias, (7,), bias[7]), (net.node, (nodes[2], 6), node[2, 6]), (net.node_bias, (nodes[5],), node_bias[5])):
         keep = value[spot]
         value[spot] = keep + 1e-5
         up = total()
@@ -89,7 +89,7 @@ def test_scores_are_the_plain_sums(spark):
             leaf = int(tree.leaf[x])
             total += logits[tree.klass[leaf]] - math.log(np.exp(logits).sum()) + tree.share[x]
             for k in range(tree.first[leaf], tree.first[leaf + 1]):
-                z = net.node[tree.nodes[k]] @ np.append(h, 1)
+                z = net.node[tree.nodes[k]] @ h + net.node_bias[tree.nodes[k]]
                 total -= math.log1p(math.exp(-z if tree.bits[k] else z))
         found = [g[2] for g in got if g[0] == r[0] and g[1] == len(ids)]
         assert any(abs(x - total) < 1e-3 * (1 + len(ids)) for x in found)
