@@ -69,6 +69,9 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
+
         folder = tempfile.mkdtemp(prefix="checkpoint")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -92,6 +95,6 @@ def written(df: DataFrame) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete the table that written() made, once nothing will read it again."""
     spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:  # an empty table has files too
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -448,36 +448,43 @@ def _decide_rows(search: Search, decide: Callable[[Block, Units], np.ndarray]):
     return run
 
 
-def _split_rows(search: Search, low: int, high: int):
-    """Contexts of hot anchors, whose windows have low to high - 1 units to the right of the anchor, -> a row for each
-    range of that number: the units that matter to its windows, dealt out by those that all of them hold."""
-    around = search.window - search.anchor
-    step = -(-(high - low) // WAYS)
-    ranges = [(a, min(a + step, high)) for a in range(low, high, step)]
+_RANGE = "a int, b int"
+_PARTS = f"{_CONTEXT}, {_RANGE}, g0 long, c0 long, d0 long, shift int"
+
+
+def _split_rows(search: Search):
+    """Contexts of hot anchors, whose windows have a to b - 1 units to the right of the anchor, -> a row for each of
+    WAYS ranges of that number: the units that matter to its windows, dealt out by those that all of them hold."""
+    around, w = search.window - search.anchor, search.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             u = search.cut(text_bytes(batch.column(6)))
-            lead = batch.column(5).to_numpy().astype(np.int64)
-            at, place = u.first[:-1] + lead, batch.column(4).to_numpy()
+            lead, place = batch.column(5).to_numpy().astype(np.int64), batch.column(4).to_numpy()
+            low, high = (batch.column(i).to_numpy().astype(np.int64) for i in (7, 8))
+            step = -(-(high - low) // WAYS)
+            at = u.first[:-1] + lead
             right = u.first[1:] - at - search.anchor
-            for a, b in ranges:
+            for k in range(WAYS):
+                a = low + k * step
+                b = np.minimum(a + step, high)
                 # A window with r units to the right has around - r to the left.
-                some = np.flatnonzero((right >= a) & (lead > around - b))
+                some = np.flatnonzero((a < b) & (right >= a) & (lead > around - b))
                 if not len(some):
                     continue
+                a, b = a[some], b[some]
                 first, last = at[some] - np.minimum(lead[some], around - a), at[some] + search.anchor + np.minimum(right[some], b - 1)
                 core, end = at[some] - (around - b + 1), at[some] + search.anchor + a
                 shift, new_lead = first - u.first[some], at[some] - first
-                shape = np.full(len(some), a * 2 * search.window + b)
-                g, _ = _digests(u.joined, u.starts[core], u.ends[end - 1], shape)
-                c, d = _digests(u.joined, u.starts[first], u.ends[last - 1], new_lead * 2 * search.window + a)
+                g, _ = _digests(u.joined, u.starts[core], u.ends[end - 1], a * 2 * w + b)
+                c, d = _digests(u.joined, u.starts[first], u.ends[last - 1], (new_lead * 2 * w + a) * 2 * w + b)
                 body = [u.joined[x:y] for x, y in zip(u.starts[first].tolist(), u.ends[last - 1].tolist(), strict=True)]
                 pick = pa.array(some)
+                small = [pa.array(x.astype(np.int32)) for x in (new_lead, a, b, shift)]
                 yield pa.RecordBatch.from_arrays(
-                    [g, c, d, batch.column(3).take(pick), pa.array((place[some].view(np.uint64) + shift.astype(np.uint64)).view(np.int64)), pa.array(new_lead.astype(np.int32)), pa.array(body, pa.binary()),
-                     *(batch.column(i).take(pick) for i in (0, 1, 2)), pa.array(shift.astype(np.int32)), pa.array(np.full(len(some), a, np.int32)), pa.array(np.full(len(some), b, np.int32))],
-                    names=[x.split()[0] for x in f"{_CONTEXT}, g0 long, c0 long, d0 long, shift int, a int, b int".split(", ")],
+                    [g, c, d, batch.column(3).take(pick), pa.array((place[some].view(np.uint64) + shift.astype(np.uint64)).view(np.int64)), small[0], pa.array(body, pa.binary()),
+                     small[1], small[2], *(batch.column(i).take(pick) for i in (0, 1, 2)), small[3]],
+                    names=[x.split()[0] for x in _PARTS.split(", ")],
                 )
 
     return run
@@ -494,26 +501,25 @@ def _crowded(rows: DataFrame, hot: int) -> DataFrame:
     return rows.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("g")
 
 
-def _split(contexts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray], hot: int, low: int, high: int) -> DataFrame:
-    """What is found in the contexts of hot anchors, see the module's text; a range of one number is never split."""
-    rows = written(contexts.mapInArrow(releasing(_split_rows(search, low, high)), f"{_CONTEXT}, g0 long, c0 long, d0 long, shift int, a int, b int"))
-    one = rows.groupBy("g", "c", "d").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.any_value("lead").alias("lead"), F.any_value("body").alias("body"), F.any_value("a").alias("a"), F.any_value("b").alias("b"))
+def _split(contexts: DataFrame, search: Search, decide: Callable[[Block, Units], np.ndarray], hot: int, held: list[DataFrame]) -> DataFrame:
+    """What is found in the contexts of hot anchors, see the module's text; a range of one number is never split.
+    Tables that the result reads go into held."""
+    names = [x.split()[0] for x in f"{_CONTEXT}, {_RANGE}".split(", ")]
+    rows = written(contexts.select(names).mapInArrow(releasing(_split_rows(search)), _PARTS))
+    one = rows.groupBy("g", "c", "d").agg(F.sum("n").alias("n"), F.min("place").alias("place"), *(F.any_value(c).alias(c) for c in ("lead", "body", "a", "b")))
     one = written(one)
+    held += [rows, one]
     crowded = _crowded(one.where("b - a > 1"), hot)
-    names = [x.split()[0] for x in _CONTEXT.split(", ")]
     if crowded.isEmpty():
-        found = _decided(one.select(names), search, decide)
+        found = _decided(one.select(names[:7]), search, decide)
     else:
         crowded = written(crowded)
-        found = _decided(one.join(crowded, "g", "left_anti").select(names), search, decide)
-        again = written(one.join(crowded, "g", "left_semi"))
-        step = -(-(high - low) // WAYS)
-        for a in range(low, high, step):
-            mine = again.where(F.col("a") == a).select(names)
-            if min(a + step, high) - a > 1 and not mine.isEmpty():
-                found = found.unionByName(_split(mine, search, decide, hot, a, min(a + step, high)))
+        held.append(crowded)
+        found = _decided(one.join(crowded, "g", "left_anti").select(names[:7]), search, decide)
+        found = found.unionByName(_split(one.join(crowded, "g", "left_semi"), search, decide, hot, held))
     # With an exchange of its own for the join, Spark can split a context that very many others have become.
     found = written(found)
+    held.append(found)
     members = rows.select("g", "c", "d", "g0", "c0", "d0", "shift")
     return members.join(found, ["g", "c", "d"]).select(F.col("g0").alias("g"), F.col("c0").alias("c"), F.col("d0").alias("d"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
 
@@ -526,6 +532,7 @@ def stretches(texts: DataFrame, search: Search, decide: Callable[[Block, Units],
     seen = written(anchors.join(often, "g", "left_semi"))
     dropped(anchors)
     dropped(often)
+    held = [seen]
     groups = seen.groupBy("g", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "rie", "low", "lead", "starts")).alias("one"))
     asked = groups.groupBy(F.col("one.rid").alias("rid"), F.col("one.rie").alias("rie")).agg(F.collect_list(F.struct("one.low", "one.lead", "one.starts", "g", "c", "d", "n")).alias("asked"))
     # The same exchange of texts by name serves this join and the one that applies the stretches.
@@ -537,10 +544,15 @@ def stretches(texts: DataFrame, search: Search, decide: Callable[[Block, Units],
     else:
         crowded = written(crowded)
         contexts = written(contexts)
+        held += [crowded, contexts]
         found = _decided(contexts.join(crowded, "g", "left_anti"), search, decide)
-        found = found.unionByName(_split(contexts.join(crowded, "g", "left_semi"), search, decide, hot, 0, search.window - search.anchor + 1))
+        whole = contexts.join(crowded, "g", "left_semi").withColumns({"a": F.lit(0), "b": F.lit(search.window - search.anchor + 1)})
+        found = found.unionByName(_split(whole, search, decide, hot, held))
     placed = seen.select("g", "c", "d", "rid", "rie", F.col("low").alias("at")).join(found, ["g", "c", "d"]).select("rid", "rie", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")).alias("span"))
-    return placed.groupBy("rid", "rie").agg(F.collect_set("span").alias("spans"))
+    spans = written(placed.groupBy("rid", "rie").agg(F.collect_set("span").alias("spans")))
+    for t in held:
+        dropped(t)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
